@@ -14,7 +14,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for j in range(k):
         key *= letters
-        key[: n - j] += s[j:] + 1
+        key[: max(0, n - j)] += s[j:] + 1
     sa = np.argsort(key, kind="stable")
     new = np.empty(n, bool)
     new[0] = True

@@ -139,8 +139,8 @@ class LabelModel:
 
     def repeats(self, v: np.ndarray, q: np.ndarray) -> np.ndarray:
         """For each voter, 1 plus its squared correlations with other voters within the classes."""
-        left = v - np.outer(q, self.toxic) - np.outer(1 - q, self.clean)
-        sd = np.sqrt((left**2).mean(0)) + 1e-9
+        left = v - np.outer(q, q @ v / q.sum()) - np.outer(1 - q, (1 - q) @ v / (1 - q).sum())
+        sd = np.sqrt((left**2).mean(0)) + 1e-3  # voters that say next to nothing repeat nobody
         self.correlation = (left.T @ left) / len(v) / np.outer(sd, sd)
         off = self.correlation - np.diag(np.diag(self.correlation))
         return 1 + (off**2).sum(0)
