@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEPTH, RERANK_DEPTH, RERANK_KEEP, RRF_K, TOP_N
 from ..operators import answer, chunking, documents, fusion, lexical, records, vectors
+from .stages import materialised
 
 
 @dataclass
@@ -64,7 +65,7 @@ class Index:
         turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string") if turns is None else turns
         asked = questions.withColumn("conv_id", F.col("conv_id") if "conv_id" in questions.columns else F.lit(None).cast("long")).withColumn("query", F.col("text"))
         asked = answer.retrieval_queries(asked, turns)
-        found = self.search(asked.select("query_id", F.col("retrieval_query").alias("text")), n=n)
+        found = materialised(self.search(asked.select("query_id", F.col("retrieval_query").alias("text")), n=n))
         sources = answer.packed(found).withColumn("methods", answer.method_names(F.col("methods")))
         out = asked.join(answer.contexts(found), "query_id", "left").withColumn("context", F.coalesce("context", F.lit("")))
         used = found.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("chunks_used"))
@@ -74,9 +75,11 @@ class Index:
 
 def index_of(chunks: DataFrame) -> Index:
     """chunks: ord, id, page, type, course_code, title, text."""
-    posts = lexical.postings(chunks)
+    chunks = materialised(chunks)
+    posts = materialised(lexical.postings(chunks))
     s = lexical.corpus_stats(chunks).first()
-    return Index(chunks, posts, lexical.vocabulary(posts, s.n), vectors.embed(chunks.select("ord", "id", "text")).drop("text"), s.n, s.tokens)
+    vocab = materialised(lexical.vocabulary(posts, s.n))
+    return Index(chunks, posts, vocab, materialised(vectors.embed(chunks.select("ord", "id", "text")).drop("text")), s.n, s.tokens)
 
 
 def documents_of(pages: DataFrame, tables: DataFrame | None = None) -> DataFrame:
@@ -84,7 +87,8 @@ def documents_of(pages: DataFrame, tables: DataFrame | None = None) -> DataFrame
     found = records.page_records(pages)
     if tables is not None:
         found = found.unionByName(records.table_records(tables))
-    return documents.unified(documents.dedup_courses(records.page_courses(pages)), documents.dedup_records(found))
+    courses, found = materialised(records.page_courses(pages)), materialised(found)
+    return materialised(documents.unified(documents.dedup_courses(courses), documents.dedup_records(found)))
 
 
 def build(pages: DataFrame, tables: DataFrame | None = None) -> Index:

@@ -23,7 +23,7 @@ def test_tokens(spark, text, want):
 
 
 def test_cleaning(spark):
-    assert one(spark, T.clean_whitespace(F.col("t")), t="  a b\t c\r\n \n\n d​ ") == "a b c\n\nd"
+    assert one(spark, T.clean_whitespace(F.col("t")), t="  a b\t c\r\n \n\n d​ ") == "a b c\n\n d"
     assert one(spark, T.clean_description(F.col("t")), t="a\nb , c .") == "a b, c."
     assert one(spark, T.repaired_code(F.col("t")), t="GER-Cor e") == "GER-Core"
     assert one(spark, T.lines(F.col("t")), t="a\r\n\n b  c") == ["a", "b c"]
