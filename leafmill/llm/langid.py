@@ -95,7 +95,7 @@ class Centroids:
         rows = sorted(rows, key=lambda r: r[0])
         self.idf, self.langs = idf, [lang for lang, _, _ in rows]
         self.least = np.array([least for _, _, least in rows])
-        self.matrix = np.array([c for _, c, _ in rows], np.float32).reshape(len(rows), -1)
+        self.matrix = np.array([c for _, c, _ in rows], np.float32).reshape(len(rows), len(idf))
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score and whether the text is too far from all of them."""
