@@ -4,10 +4,12 @@ Each permutation of a document's 5-word shingles gives two signature values, its
 maximum, so half the hash evaluations fill a signature; bands of it propose candidates, and every
 candidate pair is confirmed on the full sets (100 * intersection >= 75 * union).
 
-Exact copies share a set and are one node.  In a bucket, every member is first compared with one
-centre (another one in each band), which joins a large group in a number of comparisons that grows
-with the group and not with its square.  Then buckets whose members are still in different
-components have all pairs across components compared, so no link that a band proposes is lost.
+Exact copies share a set and are one node.  In a bucket, every member is first compared with two
+centres, the member that shares most buckets with others and a random one, which joins a large group
+in a number of comparisons that grows with the group and not with its square.  The nodes of
+buckets that still hold several components are then compared across components wherever
+they can be similar enough at all: the rarest shingles of both, up to the most that may differ,
+have one in common.  That condition is exact, so no link that a band proposes is lost.
 
 With BANDS bands of ROWS values a pair at the threshold is missed with probability
 (1 - 0.75**ROWS)**BANDS = 2e-5; pairs above it less often.
@@ -115,6 +117,35 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Dat
     return map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb"), one, "a binary, b binary")
 
 
+def possible(texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) of nodes (node, text, root) of different roots that can be similar enough.
+
+    Sets of n and m shingles need overlap o = ceil(percent (n + m) / (100 + percent)).  With the
+    shingles of every set in one order, rarest first, the first common one is among the first n - o + 1
+    of the one and the first m - o + 1 of the other.
+    """
+
+    def one(batch: pa.RecordBatch) -> dict:
+        sets = [shingles(t) for t in batch.column("text").to_pylist()]
+        return {"node": batch.column("node"), "root": batch.column("root"), "h": [s.view(np.int64).tolist() for s in sets]}
+
+    items = map_arrow(texts.select("node", "root", "text"), one, "node binary, root binary, h array<long>").select("node", "root", F.explode("h").alias("h"))
+    items = written(items, "near-items")
+    rare = items.groupBy("h").agg(F.count(F.lit(1)).alias("c"))
+    ordered = items.join(rare, "h").groupBy("node", "root").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("s"))
+    n = F.size("s")
+    most = n - F.ceil(n * percent / 100).cast("int") + 1
+    heads = ordered.select("node", "root", n.alias("n"), F.posexplode(F.slice("s", F.lit(1), most)).alias("i", "x")).where("x.c > 1")
+    heads = written(heads.select("node", "root", "n", "i", F.col("x.h").alias("h")), "near-heads")
+    # within a shingle's nodes, those of the largest component meet only the others
+    big = heads.groupBy("h", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(F.max(F.struct("k", "root")).alias("top"), F.count(F.lit(1)).alias("roots"))
+    small = heads.join(big.where("roots > 1").select("h", F.col("top.root").alias("top")), "h").where("root <> top").drop("top")
+    other = heads.select("h", F.col("node").alias("node2"), F.col("root").alias("root2"), F.col("n").alias("n2"), F.col("i").alias("i2"))
+    need = F.ceil((F.col("n") + F.col("n2")) * percent / (100 + percent))
+    met = small.join(other, (small.h == other.h) & (F.col("root") != F.col("root2")) & (F.col("i") <= F.col("n") - need) & (F.col("i2") <= F.col("n2") - need))
+    return met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+
+
 def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, row, n_shingles, component_id, kept for every row."""
     sig = written(signatures(docs), "near-signatures")
@@ -122,12 +153,14 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     nodes = full.groupBy("node").agg(F.min("doc_id").alias("min_id"), F.first("row").alias("row"), F.first("bands").alias("bands"))
     nodes = written(nodes, "near-nodes")
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
-    # a bucket's centre is the member with the least hash of node and bucket: another one in each band
+    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = written(buckets.join(sizes, "bucket"), "near-members")
+    # two centres: the member that most others share buckets with, and a random one, another in each band
+    shared = members.groupBy("node").agg(F.sum("n").alias("shared"))
     draw = F.xxhash64("node", "bucket")
-    centres = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(draw.alias("draw"), "node")).alias("centre"))
-    centres = centres.where("n > 1").select("bucket", F.col("centre.node").alias("centre"))
-    members = written(buckets.join(centres, "bucket"), "near-members")
-    tried = members.where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    centres = members.join(shared, "node").groupBy("bucket").agg(F.max(F.struct("shared", "node")).alias("most"), F.min(F.struct(draw.alias("draw"), "node")).alias("any"))
+    centres = centres.select("bucket", F.explode(F.array_distinct(F.array("most.node", "any.node"))).alias("centre"))
+    tried = members.join(centres, "bucket").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     tried = written(tried, "near-tried")
 
     # the texts of the nodes that share any bucket
@@ -137,12 +170,11 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = written(confirmed(tried, texts, percent), "near-links")
     root = components(links)
 
-    # pairs across components in buckets that hold more than one
+    # nodes of buckets that hold more than one component
     placed = members.select("bucket", "node").join(root, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    mixed_buckets = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    placed = written(placed.join(mixed_buckets, "bucket"), "near-mixed")
-    other = placed.select("bucket", F.col("node").alias("node2"), F.col("root").alias("root2"))
-    across = placed.join(other, "bucket").where("root < root2").select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    several = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+    left = written(placed.join(several, "bucket").select("node", "root").distinct(), "near-left")
+    across = possible(texts.join(left, "node"), percent).join(tried, ["a", "b"], "left_anti")
     more = written(confirmed(across, texts, percent), "near-links")
     if not more.isEmpty():
         root = components(links.unionByName(more))
