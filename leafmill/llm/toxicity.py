@@ -128,9 +128,9 @@ class LabelModel:
 
     def __init__(self, votes: np.ndarray, labels: np.ndarray, rounds: int = 25) -> None:
         v = np.column_stack([votes, labels]).astype(np.float64)
-        q = np.where(labels > 0, 0.9, 0.05)  # the start; the rounds decide
+        q = np.where(labels > 0, 0.95, 0.02)  # the start; the rounds decide, but for the class's share
+        self.prior = float(np.clip((labels > 0).mean(), 1e-4, 1 - 1e-4))
         for _ in range(rounds):
-            self.prior = float(np.clip(q.mean(), 1e-4, 1 - 1e-4))
             self.toxic = (q @ v + 0.5) / (q.sum() + 1)
             self.clean = ((1 - q) @ v + 0.5) / ((1 - q).sum() + 1)
             self.discount = 1 / self.repeats(v, q)
@@ -139,7 +139,8 @@ class LabelModel:
 
     def repeats(self, v: np.ndarray, q: np.ndarray) -> np.ndarray:
         """For each voter, 1 plus its squared correlations with other voters within the classes."""
-        left = v - np.outer(q, q @ v / q.sum()) - np.outer(1 - q, (1 - q) @ v / (1 - q).sum())
+        h = (q > 0.5).astype(np.float64)  # whole rows: shares of a row in both classes would look like correlation
+        left = v - np.outer(h, h @ v / max(h.sum(), 1)) - np.outer(1 - h, (1 - h) @ v / max((1 - h).sum(), 1))
         sd = np.sqrt((left**2).mean(0)) + 1e-3  # voters that say next to nothing repeat nobody
         self.correlation = (left.T @ left) / len(v) / np.outer(sd, sd)
         off = self.correlation - np.diag(np.diag(self.correlation))

@@ -250,7 +250,7 @@ def test_language(spark):
 
 def test_mixing_meets_its_targets(spark):
     texts = [("word " * (1 + i % 40)) + ("license" if i % 4 == 0 else "") for i in range(400)] + [None, ""]
-    docs = documents(spark, texts, ["en" if i % 3 else "de" for i in range(402)]).withColumn("lang", F.when(F.col("doc_id") == 3, None).otherwise(F.col("lang")))
+    docs = documents(spark, texts, ["en" if i % 5 else "de" for i in range(402)]).withColumn("lang", F.when(F.col("doc_id") == 3, None).otherwise(F.col("lang")))
     rows = mixing.mixed(docs).collect()
     assert len(rows) == 402
     for m in mixing.MARGINS:
