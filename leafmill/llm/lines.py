@@ -5,8 +5,9 @@ host, are the line's frequency there; a line above the ratio (on a host with eno
 boilerplate and every occurrence on that host goes.
 
 The lines above a ratio r are fewer on a host than its mean number of distinct lines a page
-divided by r, so the list of one host is small; it is joined to pages by host and may be broadcast
-only where Spark finds it small.  A hot host splits, as that join has no state beside the list.
+divided by r, so the list of one host is small.  The lists are written, and their size is checked:
+up to LIST_BYTES they are broadcast and no page is shuffled; beyond, pages are joined by host and
+one of SALTS parts of it, so that a hot host is spread over as many tasks.
 
 Defined cases: a null or unusable url is the host ''; a null or empty page has no lines; a line
 that repeats within a page counts once for it; repeated rows are pages of their own; further
@@ -18,9 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 RATIO, MIN_PAGES = 0.2, 5
+LIST_BYTES, SALTS = 32 << 20, 64
 #: Script, style and comments go; so do tags inside a line.  Any other tag ends a line.
 DROPPED = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|</?(?:a|b|i|em|span|strong|u|small|sup|sub|code|font)(?:\s[^>]*)?>"
 BREAK = r"<[^>]*>|[\r\n]"
@@ -47,11 +49,16 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAG
     return common.groupBy("host").agg(F.array_sort(F.collect_list("key")).alias("keys"))
 
 
-def analyse(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def analyse(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, list_bytes: int = LIST_BYTES) -> DataFrame:
     """page_id, host, n_lines, n_dropped and the text that stays, for every row."""
-    lists = boilerplate(pages, ratio, min_pages)
-    lined = pages.select("page_id", host_of(F.col("url")).alias("host"), lines_of(F.col("html")).alias("lines"))
-    joined = lined.join(lists, "host", "left")
+    lists = written(boilerplate(pages, ratio, min_pages), "boilerplate")
+    size = lists.agg(F.sum(F.octet_length("host") + 16 * F.size("keys"))).first()[0] or 0
+    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int").alias("salt")
+    lined = pages.select("page_id", host_of(F.col("url")).alias("host"), salt, lines_of(F.col("html")).alias("lines"))
+    if size <= list_bytes:
+        joined = lined.join(F.broadcast(lists), "host", "left")
+    else:
+        joined = lined.join(lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["host", "salt"], "left")
     kept = F.when(F.col("keys").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains(F.col("keys"), F.unhex(F.md5(x)))))
     return joined.withColumn("kept", kept).select(
         "page_id", "host", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"), F.array_join("kept", "\n").alias("text")

@@ -98,6 +98,8 @@ def test_lines(spark):
     rest = {r.page_id: r for r in rows if r.host != "a.example.com"}
     assert rest[10].n_lines == 0 and rest[11].host == "" and rest[12].text == "Menu"
     assert lines.analyse(df.limit(0)).count() == 0
+    parts = lines.analyse(df, ratio=0.5, list_bytes=0).collect()  # joined by host and part of it
+    assert sorted(map(str, parts)) == sorted(map(str, rows))
 
 
 def test_toxicity_learns_and_handles_odd_rows(spark):
