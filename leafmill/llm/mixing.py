@@ -6,7 +6,8 @@ at once, and each document is kept with a probability in proportion to its cell'
 by a hash of its id, so the choice is the same on every run and machine.
 
 Without given targets, a marginal's target shares are its natural shares to the power ALPHA.
-Cells are sums over all rows.  Up to CELLS of them (checked) are raked on the driver; more are raked by Spark.
+Cells are sums over all rows.  Up to CELLS of them with names of CELL_BYTES (both checked) are raked on the
+driver and broadcast, so no document is shuffled; more are raked and joined by Spark.
 
 Defined cases: a null source or language is the value ''; a null text has no tokens and topic 'short';
 documents without tokens have the weight of their cell; rows without an id draw as the empty string;
@@ -16,12 +17,12 @@ repeated rows are kept or dropped together; further columns are kept by ``mix``.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, text_or_empty, written
 
-ALPHA, ROUNDS, CELLS = 0.7, 20, 100_000
+ALPHA, ROUNDS, CELLS, CELL_BYTES = 0.7, 20, 100_000, 32 << 20
 MARGINS = ("source", "lang", "topic")
 
 
@@ -35,18 +36,30 @@ def topic_of(text: Column, tokens: Column) -> Column:
     )
 
 
+def tokens_of(text: Column) -> Column:
+    return F.size(F.filter(F.split(text, r"[ \t\n\r\f\x0b]+"), lambda w: w != F.lit(""))).cast("long")
+
+
+def named(c: str) -> Column:
+    return F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+
+
 def described(docs: DataFrame) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens of every row."""
     text = text_or_empty()
-    tokens = F.size(F.filter(F.split(text, r"[ \t\n\r\f\x0b]+"), lambda w: w != F.lit(""))).cast("long")
-    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
-    return docs.select("doc_id", named("source"), named("lang"), text.alias("text"), tokens.alias("n_tokens")).select("doc_id", "source", "lang", topic_of(F.col("text"), F.col("n_tokens")).alias("topic"), "n_tokens")
+    rows = docs.select("doc_id", named("source"), named("lang"), text.alias("text"), tokens_of(text).alias("n_tokens"))
+    return rows.select("doc_id", "source", "lang", topic_of(F.col("text"), F.col("n_tokens")).alias("topic"), "n_tokens")
+
+
+def cells_of(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"))
 
 
 def targets_of(cells: DataFrame, margin: str, alpha: float = ALPHA) -> DataFrame:
     """margin's values and their target shares."""
     by = cells.groupBy(margin).agg(F.sum("tokens").alias("t")).where("t > 0").withColumn("p", F.pow("t", F.lit(alpha)))
-    return by.crossJoin(by.agg(F.sum("p").alias("all"))).select(margin, (F.col("p") / F.col("all")).alias("target"))
+    every = by.agg(F.sum("p")).first()[0] or 1.0
+    return by.select(margin, (F.col("p") / F.lit(every)).alias("target"))
 
 
 def rake(keys: list[np.ndarray], tokens: np.ndarray, targets: list[np.ndarray], rounds: int = ROUNDS) -> np.ndarray:
@@ -60,8 +73,9 @@ def rake(keys: list[np.ndarray], tokens: np.ndarray, targets: list[np.ndarray],
     return w
 
 
-def _rake_spark(cells: DataFrame, targets: list[DataFrame], rounds: int) -> DataFrame:
+def _rake_spark(cells: DataFrame, alpha: float, rounds: int) -> DataFrame:
     """The same for more cells than the driver should hold; each round is written to the shared folder."""
+    targets = [targets_of(cells, m, alpha) for m in MARGINS]
     total = cells.agg(F.sum("tokens")).first()[0]
     now = cells.withColumn("w", F.lit(1.0))
     for _ in range(rounds):
@@ -70,15 +84,16 @@ def _rake_spark(cells: DataFrame, targets: list[DataFrame], rounds: int) -> Data
             step = have.join(target, margin, "left").select(margin, F.when(F.col("have") > 0, F.coalesce("target", F.lit(0.0)) / F.col("have")).otherwise(0.0).alias("step"))
             now = now.join(step, margin).withColumn("w", F.col("w") * F.col("step")).drop("step")
         now = written(now, "rake")
-    return now.select(*MARGINS, "w")
+    top = now.agg(F.max("w")).first()[0] or 0.0
+    return now.select(*MARGINS, "w", (F.col("w") / F.lit(max(top, 1e-300))).alias("p"))
 
 
 def weights(cells: DataFrame, alpha: float = ALPHA, rounds: int = ROUNDS, most: int = CELLS) -> DataFrame:
-    """source, lang, topic, w: the raked factor of each cell (cells has tokens)."""
+    """source, lang, topic, w, p: the raked factor of each cell (cells has tokens), and its share of the largest."""
     cells = written(cells, "cells")
-    targets = [targets_of(cells, m, alpha) for m in MARGINS]
-    if cells.count() > most:
-        return _rake_spark(cells, targets, rounds)
+    n, size = cells.agg(F.count(F.lit(1)), F.sum(sum(F.octet_length(m) for m in MARGINS))).first()
+    if n > most or (size or 0) > CELL_BYTES:
+        return _rake_spark(cells, alpha, rounds)
     rows = sorted(cells.collect(), key=lambda r: tuple(r[m] for m in MARGINS))
     spark = cells.sparkSession
     tokens = np.array([float(r.tokens) for r in rows])
@@ -92,25 +107,30 @@ def weights(cells: DataFrame, alpha: float = ALPHA, rounds: int = ROUNDS, most:
         keys.append(key)
         shares.append(t / t.sum() if t.sum() else t)
     w = rake(keys, tokens, shares, rounds) if tokens.sum() else np.ones(len(rows))
-    return spark.createDataFrame([(*(r[m] for m in MARGINS), float(x)) for r, x in zip(rows, w, strict=True)], "source string, lang string, topic string, w double")
+    top = max(w.max(initial=0.0), 1e-300)
+    raked = [(*(r[m] for m in MARGINS), float(x), float(x / top)) for r, x in zip(rows, w, strict=True)]
+    return F.broadcast(spark.createDataFrame(raked, "source string, lang string, topic string, w double, p double"))
+
+
+def drawn(doc_id: Column) -> Column:
+    """52 bits of a digest as a number from 0 to 1, the same in any engine; whether it is below the cell's p."""
+    bits = F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10)
+    return bits.cast("double") / float(1 << 52) < F.col("p")
 
 
 def mixed(docs: DataFrame, alpha: float = ALPHA, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, weight, p, sampled for every row."""
     rows = described(docs)
-    cells = rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"))
-    w = weights(cells, alpha, rounds)
-    scaled = w.withColumn("p", F.col("w") / F.greatest(F.max("w").over(Window.partitionBy()), F.lit(1e-300)))
-    # 52 bits of a digest, the same in any engine
-    u = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
-    joined = rows.join(scaled, list(MARGINS))
-    return joined.select("doc_id", *MARGINS, "n_tokens", F.round("w", 6).alias("weight"), F.round("p", 6).alias("p"), (u < F.col("p")).alias("sampled"))
+    joined = rows.join(weights(cells_of(rows), alpha, rounds), list(MARGINS))
+    return joined.select("doc_id", *MARGINS, "n_tokens", F.round("w", 6).alias("weight"), F.round("p", 6).alias("p"), drawn(F.col("doc_id")).alias("sampled"))
 
 
 def mix(docs: DataFrame, alpha: float = ALPHA, rounds: int = ROUNDS) -> DataFrame:
     """The rows of docs that are drawn, with their columns."""
-    kept = written(mixed(docs, alpha, rounds).where("sampled").select("doc_id").distinct(), "mixed")
-    return docs.join(kept.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    w = weights(cells_of(described(docs)), alpha, rounds)
+    text = text_or_empty()
+    placed = docs.select(F.struct("*").alias("doc"), named("source"), named("lang"), topic_of(text, tokens_of(text)).alias("topic"))
+    return placed.join(w, list(MARGINS)).where(drawn(F.col("doc.doc_id"))).select("doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
