@@ -36,6 +36,8 @@ WIDTH, PERCENT = 5, 75
 BANDS, ROWS = 40, 5
 #: Two values from each permutation.
 PERMUTATIONS = BANDS * ROWS // 2
+#: Keys of dropped rows that are broadcast (8 bytes each); more are joined.
+BROADCAST_KEYS = 1 << 20
 
 _rng = np.random.RandomState(715517)
 _MULTIPLY = _rng.randint(0, 1 << 62, PERMUTATIONS, np.uint64) * np.uint64(4) + np.uint64(1)
@@ -187,16 +189,30 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _sized(keys: DataFrame) -> DataFrame:
+    """Row keys, written; broadcast where their number is within BROADCAST_KEYS."""
+    keys = written(keys, "near-keys")
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component, the one of least id; documents without words stay."""
-    row = F.xxhash64("doc_id", text_or_empty())
-    kept = written(classes(docs).where("kept"), "near-kept")
-    rows = kept.groupBy("row").agg(F.count(F.lit(1)).alias("__n"), F.max("n_shingles").alias("__s"))
-    out = docs.withColumn("__row", row).join(rows.withColumnRenamed("row", "__row"), "__row")
-    if not rows.where("__n > 1 and __s > 0").isEmpty():  # repeated rows: one stays
-        first = out.where("__n > 1 and __s > 0").dropDuplicates(["__row"])
-        out = out.where("not (__n > 1 and __s > 0)").unionByName(first)
-    return out.select(*docs.columns)
+    """docs with one document of each component, the one of least id; documents without words stay.
+
+    Where rows share that id, the one with the least row key stays, once; rows without an id stay, once each.
+    """
+    key = F.when(F.col("component_id").isNull(), F.col("row")).otherwise(F.xxhash64("component_id")).alias("key")
+    found = written(classes(docs).select("row", key, "kept", (F.col("n_shingles") > 0).alias("some")), "near-kept")
+    rows = found.where("kept and some").groupBy("key", "row").agg(F.count(F.lit(1)).alias("c"))
+    several = rows.groupBy("key").agg(F.min(F.struct("row", "c")).alias("top"), F.count(F.lit(1)).alias("rows")).where("rows > 1 or top.c > 1")
+    several = written(several, "near-several")
+    other = rows.join(several.where("rows > 1").select("key", "top"), "key").where("row <> top.row")
+    dropped = found.where("not kept").select("row").unionByName(other.select("row")).distinct()
+    out = docs.select(F.struct("*").alias("doc"), F.xxhash64("doc_id", text_or_empty()).alias("row")).join(_sized(dropped), "row", "left_anti")
+    again = several.where("top.c > 1").select(F.col("top.row").alias("row"))
+    if not again.isEmpty():  # repeated rows: one stays
+        again = _sized(again)
+        out = out.join(again, "row", "left_anti").unionByName(out.join(again, "row", "left_semi").dropDuplicates(["row"]))
+    return out.select("doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

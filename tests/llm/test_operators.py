@@ -314,3 +314,18 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (200, 200)]
     got = {r.node: r.root for r in near.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 103: 100}
+
+
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_one_of_each_group_stays(spark, monkeypatch, most):
+    monkeypatch.setattr(near, "BROADCAST_KEYS", most)
+    a, b = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(1, a), (2, a), (3, a + " end"), (4, b), (4, b), (4, b + " end"), (5, None), (5, None), (6, ""), (7, "alone"), (None, b), (None, "no id"), (None, "no id")]
+    docs = spark.createDataFrame([(i, t, None if i is None else f"s{i}") for i, t in rows], "doc_id long, text string, row string")
+    kept = near.one_of_each(docs)
+    assert kept.columns == docs.columns
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    fours = {k: n for k, n in got.items() if k[0] == 4}
+    assert sum(fours.values()) == 1 and set(fours) <= {(4, b), (4, b + " end")}
+    assert got - Counter(fours) == Counter({(1, a): 1, (5, None): 2, (6, ""): 1, (7, "alone"): 1, (None, "no id"): 1})
+    assert near.one_of_each(docs.limit(0)).count() == 0
