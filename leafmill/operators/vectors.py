@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 
 #: Query vectors that go to the tasks at once.
 QUERY_BLOCK = 4096
+#: Cells of the index at most, vectors they are fitted to, vectors that the share to probe is found with, and its recall there.
+MAX_CELLS, SAMPLED, TRIED, RECALL = 1024, 20_000, 200, 0.95
+#: Pairs of a query and a vector that a task holds at once.
+PAIRS = 1 << 21
 
 
 def hashed_embedding(texts: pd.Series, dims: int = 256) -> pd.Series:
@@ -82,22 +86,113 @@ def _block(block: list, vectors: DataFrame, k: int) -> DataFrame:
     return vectors.select(F.col("ord").cast("long").alias("ord"), "v").where("v is not null").mapInArrow(run, "query_id long, ord long, distance double")
 
 
-def nearest_hashed(queries: DataFrame, vectors: DataFrame, k: int, dims: int, tables: int = 8, bits: int = 10, seed: int = 5) -> DataFrame:
-    """Approximate neighbours: those that share a bucket of random hyperplanes, with exact distances."""
-    planes = np.random.RandomState(seed).randn(tables * bits, dims)
+class Cells:
+    """Cells around centres fitted to a sample, and the share of all vectors that a query has to probe.
 
-    @F.pandas_udf("array<long>")
-    def buckets(v: pd.Series) -> pd.Series:
-        side = (np.array(v.tolist()) @ planes.T > 0).reshape(len(v), tables, bits)
-        return pd.Series((side @ (1 << np.arange(bits)) + (np.arange(tables) << bits)).tolist())
+    The share is the least one in steps of a twentieth that finds ``recall`` of the k nearest of up to
+    TRIED sampled vectors (themselves not counted) within the sample; 1, which is exact, where none does.
+    """
+
+    def __init__(self, sample: np.ndarray, k: int, recall: float, seed: int) -> None:
+        u, rng = _unit(sample), np.random.RandomState(seed)
+        m = int(np.clip(np.sqrt(len(u)), 1, MAX_CELLS))
+        self.centres = u[rng.permutation(len(u))[:m]]
+        for _ in range(8):
+            cell = self.of(u)
+            size = np.bincount(cell, minlength=m)
+            total = np.zeros_like(self.centres)
+            np.add.at(total, cell, u)
+            self.centres = np.where(size[:, None] > 0, _unit(total), self.centres)
+        self.share = self._least_share(u, k, recall, rng.permutation(len(u))[:TRIED])
+
+    def of(self, u: np.ndarray) -> np.ndarray:
+        return (u @ self.centres.T).argmax(1)
+
+    def probes(self, q: np.ndarray, size: np.ndarray, share: float, least: int) -> np.ndarray:
+        """Which cells each query looks into: the nearest that hold ``share`` of all and ``least`` vectors together."""
+        order = np.argsort(-(q @ self.centres.T), axis=1, kind="stable")
+        before = np.cumsum(size[order], axis=1) - size[order]
+        out = np.zeros(order.shape, bool)
+        np.put_along_axis(out, order, before < max(least, share * size.sum()), 1)
+        out[~q.any(1)] = True  # all are equally far from a vector of zeros
+        return out
+
+    def _least_share(self, u: np.ndarray, k: int, recall: float, tried: np.ndarray) -> float:
+        d = 1 - u[tried] @ u.T
+        d[np.arange(len(tried)), tried] = np.inf
+        near = np.argsort(d, axis=1, kind="stable")[:, : min(k, len(u) - 1)]
+        cell = self.of(u)
+        size = np.bincount(cell, minlength=len(self.centres))
+        for share in np.arange(1, 20) / 20 if near.size else ():
+            if np.take_along_axis(self.probes(u[tried], size, share, k), cell[near], 1).mean() >= recall:
+                return float(share)
+        return 1.0
+
+
+def nearest_in_cells(queries: DataFrame, vectors: DataFrame, k: int, recall: float = RECALL, seed: int = 5) -> DataFrame:
+    """query_id, ord, distance, rank: neighbours from the cells nearest to each query, with exact distances.
+
+    The cells a query probes hold k vectors at least, so it gets k rows wherever ``nearest`` does.
+    Vectors do not move: each task compares those of a cell with the queries that probe it.
+    """
+    given = vectors.select(F.col("ord").cast("long").alias("ord"), "v").where("v is not null")
+    # bounded: about SAMPLED vectors, by a hash of their place
+    rate = min(1.0, SAMPLED / max(1, given.count()))
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit("cells"), "ord"), 12).cast("double") / float(1 << 52)
+    sample = sorted(map(tuple, given.where(draw < rate).collect()))
+    if not sample:
+        return nearest(queries, vectors, k)
+    cells = Cells(np.array([v for _, v in sample], np.float64), k, recall, seed)
+    spark = vectors.sparkSession
+    centres = spark.sparkContext.broadcast(cells)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = np.zeros(len(centres.value.centres), np.int64)
+        for b in batches:
+            if b.num_rows:
+                size += np.bincount(centres.value.of(_unit(np.array(b.column("v").to_pylist(), np.float64))), minlength=len(size))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(size))), pa.array(size)], names=["cell", "n"])
 
-    q = queries.select("query_id", F.col("v").alias("q"), F.explode(buckets("v")).alias("bucket"))
-    met = vectors.select("ord", "v", F.explode(buckets("v")).alias("bucket")).join(q, "bucket").drop("bucket").dropDuplicates(["query_id", "ord"])
-    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    size = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    size = np.zeros(len(cells.centres), np.int64)
+    # at most MAX_CELLS rows
+    for r in given.select("v").mapInArrow(counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        size[r.cell] = r.n
+
+    def asked(block: list) -> DataFrame:
+        q = _unit(np.array([v for _, v in block], np.float64))
+        sent = spark.sparkContext.broadcast((np.array([i for i, _ in block], np.int64), q, cells.probes(q, size, cells.share, k)))
+        return given.mapInArrow(lambda batches: _probed(batches, centres.value, *sent.value, k), "query_id long, ord long, distance double")
+
+    out, block = None, []
+    for r in queries.select("query_id", "v").where("v is not null").toLocalIterator():
+        block.append((r.query_id, r.v))
+        if len(block) == QUERY_BLOCK:
+            out, block = asked(block) if out is None else out.unionByName(asked(block)), []
+    if block:
+        out = asked(block) if out is None else out.unionByName(asked(block))
+    if out is None:
+        return nearest(queries.limit(0), vectors, k)
     w = Window.partitionBy("query_id").orderBy("distance", "ord")
-    got = met.select("query_id", "ord", F.round(F.greatest(F.lit(0.0), 1 - dot / size("q") / size("v")), 6).alias("distance"))
-    return got.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _probed(batches: Iterator[pa.RecordBatch], cells: Cells, ids: np.ndarray, q: np.ndarray, mask: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """The k best of each query among a task's vectors in the cells it probes."""
+    best_d, best_o = np.full((len(q), k), np.inf), np.full((len(q), k), -1, np.int64)
+    rows = max(k, PAIRS // len(q))
+    for b in batches:
+        for part in (b.slice(i, rows) for i in range(0, b.num_rows, rows)):
+            ords, u = np.array(part.column("ord")), _unit(np.array(part.column("v").to_pylist(), np.float64))
+            cell = cells.of(u)
+            d = np.full((len(q), len(u)), np.inf)
+            for c in np.unique(cell):
+                who, at = np.flatnonzero(mask[:, c]), np.flatnonzero(cell == c)
+                d[np.ix_(who, at)] = np.round(np.maximum(0.0, 1 - q[who] @ u[at].T), 6)
+            all_d, all_o = np.hstack([best_d, d]), np.hstack([best_o, np.broadcast_to(ords, d.shape)])
+            best = np.lexsort((all_o, all_d), axis=1)[:, :k]
+            best_d, best_o = np.take_along_axis(all_d, best, 1), np.take_along_axis(all_o, best, 1)
+    got = np.isfinite(best_d)
+    yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], got.shape)[got]), pa.array(best_o[got]), pa.array(best_d[got])], names=["query_id", "ord", "distance"])
 
 
 def missing(chunks: DataFrame, stored: DataFrame) -> DataFrame:

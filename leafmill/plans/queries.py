@@ -286,7 +286,9 @@ def cosine_batch(spark, d):
 
 @query()
 def cosine_hashed(spark, d):
-    return vectors.nearest_hashed(_vector_queries(spark, d), _vectors(spark, d), config.DEPTH, 64)
+    """Neighbours of every hundredth vector by the index."""
+    stored = _vectors(spark, d)
+    return vectors.nearest_in_cells(stored.where("ord % 100 = 0").select(F.col("ord").alias("query_id"), "v"), stored, config.DEPTH)
 
 
 _FUSED = """fused AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, seen) AS rank FROM (

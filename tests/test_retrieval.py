@@ -163,6 +163,31 @@ def test_vectors(spark):
     assert sorted(map(tuple, vectors.upserted(stored, new).collect())) == [("a", 1), ("b", 2), ("c", 2)]
 
 
+def test_indexed_neighbours_reach_the_recall(spark):
+    from collections import Counter
+
+    import numpy as np
+
+    from __spark_entry__ import queries
+
+    rng = np.random.RandomState(4)
+    for rows in (rng.randn(1500, 64), rng.randn(30, 64), np.repeat(rng.randn(3, 64), 400, 0) + 0.01 * rng.randn(1200, 64)):
+        v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rows)], "ord long, v array<float>")
+        v = v.unionByName(spark.createDataFrame([(9000, None)], v.schema))
+        q = v.where("ord % 25 = 0").select(F.col("ord").alias("query_id"), "v").where("v is not null")
+        got = vectors.nearest_in_cells(q, v, 20).collect()
+        assert sorted(Counter(r.query_id for r in got).values()) == [20] * q.count()
+        true = {(r.query_id, r.ord, r.distance) for r in vectors.nearest(q, v, 20).collect()}
+        assert len(true & {(r.query_id, r.ord, r.distance) for r in got}) >= 0.9 * len(true)
+    assert vectors.nearest_in_cells(q.limit(0), v, 20).count() == 0 == vectors.nearest_in_cells(q, v.limit(0), 20).count()
+    d = "/root/testdata/sf0.01"
+    stored = spark.read.parquet(f"{d}/embeddings.parquet").selectExpr("vec_id AS ord", "embedding AS v")
+    q = stored.where("ord % 100 = 0").selectExpr("ord AS query_id", "v")
+    true = {(r.query_id, r.ord) for r in vectors.nearest(q, stored, 20).collect()}
+    got = {(r.query_id, r.ord) for r in queries()["cosine_hashed"](spark, d).collect()}
+    assert len(got) == len(true) == 20 * q.count() and len(got & true) >= 0.9 * len(true)
+
+
 def test_first_wins_and_numbers(spark):
     rows = spark.createDataFrame([(i, f"k{i % 3}") for i in range(9000, 0, -1)], "i long, k string")
     assert sorted(r.i for r in documents.first_wins(rows, [F.col("k")], ["i"]).collect()) == [1, 2, 3]
