@@ -29,8 +29,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sample documents so that sources, languages and topics meet their target shares."""
-    return mixing.mix(docs)
+    """Sample a stated share of the tokens so that sources, languages and topics meet their target shares."""
+    return mixing.mix(docs, share=mixing.SHARE)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,12 @@ are raked until their token totals meet the target share of every source, langua
 at once, and each document is kept with a probability in proportion to its cell's weight, decided
 by a hash of its id, so the choice is the same on every run and machine.
 
+``op9_mixing`` takes a cell's weight over the largest weight as the probability, as its SQL does; the rarest value
+then sets the scale for all documents.  With a ``share``, as in the pipeline, the probabilities are calibrated so that the
+expected tokens kept are that share of all: a value's target is at most what it has, the rest goes to the other
+values in proportion, and cells that reach 1 stay there while the others are raked on.  A stray value is then kept
+whole and changes little else.  Values without any tokens are left to the other margins.
+
 Without given targets, a marginal's target shares are its natural shares to the power ALPHA.
 Cells are sums over all rows.  Up to CELLS of them with names of CELL_BYTES (both checked) are raked on the
 driver and broadcast, so no document is shuffled; more are raked and joined by Spark.
@@ -24,6 +30,8 @@ from .common import table, text_or_empty, written
 
 ALPHA, ROUNDS, CELLS, CELL_BYTES = 0.7, 20, 100_000, 32 << 20
 MARGINS = ("source", "lang", "topic")
+#: Share of all tokens that the pipeline keeps.
+SHARE = 0.3
 
 
 def topic_of(text: Column, tokens: Column) -> Column:
@@ -73,7 +81,69 @@ def rake(keys: list[np.ndarray], tokens: np.ndarray, targets: list[np.ndarray],
     return w
 
 
-def _rake_spark(cells: DataFrame, alpha: float, rounds: int) -> DataFrame:
+def level(most: np.ndarray, at: np.ndarray, want: float, rounds: int = 50) -> float:
+    """c with sum(min(most, c * at)) = want, from below by Newton steps; where all are full, the last c."""
+    c = want / at.sum() if at.sum() else 0.0
+    for _ in range(rounds):
+        full = c * at >= most
+        if full.all() or (new := (want - most[full].sum()) / at[~full].sum() if at[~full].sum() else c) <= c:
+            break
+        c = new
+    return c
+
+
+def bounded(keys: list[np.ndarray], tokens: np.ndarray, targets: list[np.ndarray], share: float, rounds: int = ROUNDS) -> np.ndarray:
+    """Probabilities of the cells that keep ``share`` of the tokens, by the targets as far as there are tokens."""
+    want, p = share * tokens.sum(), np.full(len(tokens), share)
+    if not tokens.sum():
+        return np.ones(len(tokens))
+    totals = [np.bincount(key, tokens, len(t)) for key, t in zip(keys, targets, strict=True)]
+    goals = [np.minimum(total, level(total, t, want) * t) for total, t in zip(totals, targets, strict=True)]
+    for _ in range(rounds):
+        for key, total, goal in zip(keys, totals, goals, strict=True):
+            full = np.bincount(key, np.where(p >= 1, tokens, 0), len(goal))
+            part = np.bincount(key, np.where(p < 1, p * tokens, 0), len(goal))
+            have = full + part
+            step = np.where(have >= goal, goal / np.where(have > 0, have, 1), np.where(part > 0, (goal - full) / np.where(part > 0, part, 1), 1))
+            p = np.minimum(1, p * np.where(total > 0, step, 1)[key])
+    return np.minimum(1, level(tokens, p * tokens, want) * p)
+
+
+def _level_spark(rows: DataFrame, most: str, at: Column, want: float, rounds: int = 50) -> float:
+    """``level`` over rows, by one aggregate a step."""
+    rows = rows.select(F.col(most).cast("double").alias("most"), at.cast("double").alias("at"))
+    c = want / (rows.agg(F.sum("at")).first()[0] or np.inf)
+    for _ in range(rounds):
+        full = F.lit(c) * F.col("at") >= F.col("most")
+        held, left = rows.agg(F.sum(F.when(full, F.col("most"))), F.sum(F.when(~full, F.col("at")))).first()
+        if not left or (new := (want - (held or 0.0)) / left) <= c:
+            break
+        c = new
+    return c
+
+
+def _bounded_spark(cells: DataFrame, targets: list[DataFrame], share: float, rounds: int) -> DataFrame:
+    """cells with p as ``bounded`` has it; each round is written to the shared folder."""
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    if not total:
+        return cells.withColumn("p", F.lit(1.0))
+    goals = []
+    for margin, target in zip(MARGINS, targets, strict=True):
+        by = cells.groupBy(margin).agg(F.sum("tokens").alias("total")).where("total > 0").join(target, margin, "left").na.fill(0.0, ["target"])
+        by = written(by, "mix-goals")
+        goals.append(by.select(margin, F.least(F.col("total").cast("double"), F.lit(_level_spark(by, "total", F.col("target"), share * total)) * F.col("target")).alias("goal")))
+    now, p, t = cells.withColumn("p", F.lit(float(share))), F.col("p"), F.col("tokens").cast("double")
+    for _ in range(rounds):
+        for margin, goal in zip(MARGINS, goals, strict=True):
+            sums = now.groupBy(margin).agg(F.sum(F.when(p >= 1, t).otherwise(0.0)).alias("full"), F.sum(F.when(p < 1, p * t).otherwise(0.0)).alias("part"))
+            have, want = F.col("full") + F.col("part"), F.col("goal")
+            step = F.when((have >= want) & (have > 0), want / have).when((have < want) & (F.col("part") > 0), (want - F.col("full")) / F.col("part")).otherwise(1.0)
+            now = now.join(sums.join(goal, margin).select(margin, step.alias("step")), margin, "left").withColumn("p", F.least(F.lit(1.0), p * F.coalesce("step", F.lit(1.0)))).drop("step")
+        now = written(now, "mix-bounded")
+    return now.withColumn("p", F.least(F.lit(1.0), F.lit(_level_spark(now, "tokens", p * t, share * total)) * p))
+
+
+def _rake_spark(cells: DataFrame, alpha: float, rounds: int, share: float | None) -> DataFrame:
     """The same for more cells than the driver should hold; each round is written to the shared folder."""
     targets = [targets_of(cells, m, alpha) for m in MARGINS]
     total = cells.agg(F.sum("tokens")).first()[0]
@@ -84,16 +154,23 @@ def _rake_spark(cells: DataFrame, alpha: float, rounds: int) -> DataFrame:
             step = have.join(target, margin, "left").select(margin, F.when(F.col("have") > 0, F.coalesce("target", F.lit(0.0)) / F.col("have")).otherwise(0.0).alias("step"))
             now = now.join(step, margin).withColumn("w", F.col("w") * F.col("step")).drop("step")
         now = written(now, "rake")
+    if share is not None:
+        return _bounded_spark(now, targets, share, rounds).select(*MARGINS, "w", "p")
     top = now.agg(F.max("w")).first()[0] or 0.0
     return now.select(*MARGINS, "w", (F.col("w") / F.lit(max(top, 1e-300))).alias("p"))
 
 
-def weights(cells: DataFrame, alpha: float = ALPHA, rounds: int = ROUNDS, most: int = CELLS) -> DataFrame:
-    """source, lang, topic, w, p: the raked factor of each cell (cells has tokens), and its share of the largest."""
+def weights(cells: DataFrame, alpha: float = ALPHA, rounds: int = ROUNDS, most: int = CELLS, share: float | None = None) -> DataFrame:
+    """source, lang, topic, w, p: the raked factor of each cell (cells has tokens), and its probability:
+
+    its share of the largest factor or, with a share (above 0, up to 1), such that this share of the tokens is kept.
+    """
+    if share is not None and not 0 < share <= 1:
+        raise ValueError("share is above 0 and at most 1")
     cells = written(cells, "cells")
     n, size = cells.agg(F.count(F.lit(1)), F.sum(sum(F.octet_length(m) for m in MARGINS))).first()
     if n > most or (size or 0) > CELL_BYTES:
-        return _rake_spark(cells, alpha, rounds)
+        return _rake_spark(cells, alpha, rounds, share)
     rows = sorted(cells.collect(), key=lambda r: tuple(r[m] for m in MARGINS))
     spark = cells.sparkSession
     tokens = np.array([float(r.tokens) for r in rows])
@@ -108,7 +185,8 @@ def weights(cells: DataFrame, alpha: float = ALPHA, rounds: int = ROUNDS, most:
         shares.append(t / t.sum() if t.sum() else t)
     w = rake(keys, tokens, shares, rounds) if tokens.sum() else np.ones(len(rows))
     top = max(w.max(initial=0.0), 1e-300)
-    raked = [(*(r[m] for m in MARGINS), float(x), float(x / top)) for r, x in zip(rows, w, strict=True)]
+    p = w / top if share is None else bounded(keys, tokens, shares, share, rounds)
+    raked = [(*(r[m] for m in MARGINS), float(x), float(y)) for r, x, y in zip(rows, w, p, strict=True)]
     return F.broadcast(spark.createDataFrame(raked, "source string, lang string, topic string, w double, p double"))
 
 
@@ -118,16 +196,16 @@ def drawn(doc_id: Column) -> Column:
     return bits.cast("double") / float(1 << 52) < F.col("p")
 
 
-def mixed(docs: DataFrame, alpha: float = ALPHA, rounds: int = ROUNDS) -> DataFrame:
+def mixed(docs: DataFrame, alpha: float = ALPHA, rounds: int = ROUNDS, share: float | None = None) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, weight, p, sampled for every row."""
     rows = described(docs)
-    joined = rows.join(weights(cells_of(rows), alpha, rounds), list(MARGINS))
+    joined = rows.join(weights(cells_of(rows), alpha, rounds, share=share), list(MARGINS))
     return joined.select("doc_id", *MARGINS, "n_tokens", F.round("w", 6).alias("weight"), F.round("p", 6).alias("p"), drawn(F.col("doc_id")).alias("sampled"))
 
 
-def mix(docs: DataFrame, alpha: float = ALPHA, rounds: int = ROUNDS) -> DataFrame:
+def mix(docs: DataFrame, alpha: float = ALPHA, rounds: int = ROUNDS, share: float | None = None) -> DataFrame:
     """The rows of docs that are drawn, with their columns."""
-    w = weights(cells_of(described(docs)), alpha, rounds)
+    w = weights(cells_of(described(docs)), alpha, rounds, share=share)
     text = text_or_empty()
     placed = docs.select(F.struct("*").alias("doc"), named("source"), named("lang"), topic_of(text, tokens_of(text)).alias("topic"))
     return placed.join(w, list(MARGINS)).where(drawn(F.col("doc.doc_id"))).select("doc.*")

@@ -272,6 +272,36 @@ def test_mixing_meets_its_targets(spark):
     assert mixing.mixed(docs.limit(0)).count() == 0
 
 
+def test_mixing_keeps_its_share_beside_a_stray_source(spark):
+    import corpus_pipeline
+
+    rows = [(i, "word " * (20 + i % 60), "en" if i % 3 else "de", f"src{i % 7 % 3}") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    stray = spark.createDataFrame([(9001, "word " * 50, "xx", "stray"), (9002, None, "en", "silent")], docs.schema)
+    for more in (docs, docs.unionByName(stray)):
+        kept = corpus_pipeline.mixing_stage(spark, more, "").agg(F.count(F.lit(1)), F.sum(mixing.tokens_of(F.col("text")))).first()
+        assert kept[0] / 6000 == pytest.approx(mixing.SHARE, abs=0.03)
+        assert kept[1] / sum(20 + i % 60 for i in range(6000)) == pytest.approx(mixing.SHARE, abs=0.03)
+    for share in (0.05, mixing.SHARE, 0.8, 1.0):
+        rare = docs.where("doc_id < 30").withColumn("source", F.lit("rare"))
+        cells = mixing.cells_of(mixing.described(docs.unionByName(rare)))
+        small = {tuple(r)[:3]: (r.p, r.w) for r in mixing.weights(cells, share=share).collect()}
+        tokens = {tuple(r)[:3]: r.tokens for r in cells.collect()}
+        assert sum(small[k][0] * n for k, n in tokens.items()) == pytest.approx(share * sum(tokens.values()))
+        assert all(0 < p <= 1 for p, _ in small.values())
+        for m in range(3):  # targets are met as far as there are tokens
+            natural, got = Counter(), Counter()
+            for k, n in tokens.items():
+                natural[k[m]] += n
+                got[k[m]] += n * small[k][0]
+            target = {v: n**mixing.ALPHA for v, n in natural.items() if n}
+            scale = [got[v] / x for v, x in target.items() if got[v] < 0.999 * natural[v]]
+            assert not scale or max(scale) <= 1.02 * min(scale)
+    small, large = ({tuple(r)[:3]: (r.w, r.p) for r in mixing.weights(cells, rounds=2, most=most, share=0.5).collect()} for most in (mixing.CELLS, 0))
+    assert small.keys() == large.keys() and all(small[k] == pytest.approx(large[k]) for k in small)
+    assert mixing.mix(docs.limit(0), share=0.5).count() == 0
+
+
 def brute_near(texts):
     sets = []
     for t in texts:
