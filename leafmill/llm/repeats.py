@@ -4,7 +4,8 @@ A string of LENGTH bytes is removed wherever it begins at two places or more.  F
 
 1. Sections.  Each window of LENGTH bytes is named by the least hash of its GRAM-byte strings; the
    windows in a row that share a name form a section.  Equal windows have equal names, so a repeat
-   can only be between sections of one name, and nearly all names occur once.
+   can only be between sections of one name, and nearly all names occur once.  Periodic texts have
+   long sections, which are cut at the name's string after every SECTION windows, so that pieces are alike.
 2. Sections that are the same to the last byte in two places are repeats as a whole.
 3. The different sections of a name go, together with many other names, to one task, which builds
    a run-compressed BWT of them with samples at the run ends, streams their matching statistics and marks
@@ -36,7 +37,8 @@ from .runs import repeated
 LENGTH, GRAM = 400, 64
 #: Bytes of sections in one index, and different sections of one name that an index takes.
 BLOCK_BYTES, HOT = 2 << 20, 1000
-_PACK = 24
+#: Windows of a section, after which it is cut.  start and size are one number, of which size has _PACK bits.
+SECTION, _PACK = 1 << 16, 24
 
 
 def least_in_windows(h: np.ndarray, width: int) -> np.ndarray:
@@ -52,12 +54,24 @@ def least_in_windows(h: np.ndarray, width: int) -> np.ndarray:
 def sections(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """name, hash of the bytes, start, size, and whether the name's string occurs in it twice."""
     none = np.zeros(0, np.int64)
+    if SECTION + 2 * length >= 1 << _PACK:
+        raise ValueError("length is too large for the size of a section")
     if len(raw) < length:
         return none, none, none, none, none
     h = PrefixHash(raw)
     grams = h.windows(gram)
     names = least_in_windows(grams, length - gram + 1)
     first = np.concatenate([[0], np.flatnonzero(names[1:] != names[:-1]) + 1])
+    cuts: list[int] = []
+    after = np.append(first[1:], len(names))
+    for k in np.flatnonzero(after - first > SECTION):
+        # at most a window apart
+        at = first[k] + np.flatnonzero(grams[first[k] : after[k]] == names[first[k]])
+        i = int(np.searchsorted(at, first[k] + SECTION))
+        while i < len(at):
+            cuts.append(at[i])
+            i = int(np.searchsorted(at, at[i] + SECTION))
+    first = np.sort(np.concatenate([first, np.array(cuts, np.int64)]))
     end = np.append(first[1:], len(names)) - 1 + length
     name = names[first]
     twice = np.array([np.count_nonzero(grams[a : b - gram + 1] == v) > 1 for a, b, v in zip(first, end, name, strict=True)])

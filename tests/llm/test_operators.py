@@ -187,6 +187,25 @@ def test_repeats_brute_force(spark, hot):
     assert cut.columns == docs.columns and cut.where("doc_id = 0").first().text is None
 
 
+def test_repeats_in_periodic_texts(spark, monkeypatch):
+    line = "one line over and over, 28 b\n"
+    n = (1 << 24) + 700
+    docs = documents(spark, [(line * (n // len(line) + 1))[:n], "head " * 3 + "é" * 100_000, "no repeat"])
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in repeats.report(docs).collect()}
+    assert got == {0: (n, n, 1), 1: (200_015, 200_000, 1), 2: (9, 0, 0)}
+    kept = {r.doc_id: r.text for r in repeats.deduplicate(docs).collect()}
+    assert kept == {0: "", 1: "head " * 3, 2: "no repeat"}
+    # many pieces against brute force
+    texts = [(line * 9999)[:n] for n in (400, 66_500, 70_001, 200_000)] + ["ab" * 45_000 + "x" + "ab" * 40_000, "z" * 70_000]
+    for hot in (1000, 1):
+        rows = sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.report(documents(spark, texts), hot=hot).collect())
+        assert rows == sorted(brute_repeats(texts, 400))
+    monkeypatch.setattr(repeats, "SECTION", 500)
+    for raw in [(line * 99)[:n] for n in (400, 430, 1500, 2800)] + ["ab" * 900 + "x" + "ab" * 700]:
+        name, body, start, size, twice = repeats.sections(raw.encode())
+        assert start[0] == 0 and (start[1:] == (start + size - 399)[:-1]).all() and start[-1] + size[-1] == len(raw) and size.max() <= 1300
+
+
 def test_run_length_index():
     rng = random.Random(2)
     for _ in range(30):
