@@ -9,7 +9,8 @@ the documents that move go to it and to no other shard.
 
 Defined cases: a null id is placed as the empty string; equal ids share a shard; a null text has
 size 1 and the crc of no bytes; rows that agree in id, crc and size are alike, so their order among
-their slots carries no meaning; further columns are ignored.
+their slots carries no meaning; further columns are ignored by ``assign`` and kept by ``place``, but for
+shard and slot, which it replaces.
 """
 
 from __future__ import annotations
@@ -117,9 +118,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def place(docs: DataFrame, n_shards: int = SHARDS, base: int = SHARDS) -> DataFrame:
-    """docs with the columns shard and slot."""
-    names = [c for c in docs.columns if c not in ("shard", "slot", "key", "block", "start", "text_crc32", "size")]
+    """docs with the columns shard and slot; columns of these names are replaced, all others stay."""
+    names = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     raw = text_or_empty().cast("binary")
-    keyed = docs.select(*names, key.alias("key"), F.crc32(raw).alias("text_crc32"), (F.length(raw) + 1).cast("long").alias("size"))
-    return with_slots(keyed.withColumn("shard", shard_of(F.col("key"), planned_tree(n_shards, base))), n_shards).select(*names, "shard", "slot")
+    keyed = docs.select(F.struct("*").alias("doc"), "doc_id", key.alias("key"), F.crc32(raw).alias("text_crc32"), (F.length(raw) + 1).cast("long").alias("size"))
+    placed = with_slots(keyed.withColumn("shard", shard_of(F.col("key"), planned_tree(n_shards, base))), n_shards)
+    return placed.select(*(F.col("doc").getField(c).alias(c) for c in names), "shard", "slot")

@@ -87,6 +87,16 @@ def test_shards(spark):
     assert placed.columns == ["doc_id", "text", "shard", "slot"] and placed.count() == 4000
 
 
+def test_place_keeps_columns(spark):
+    names = ["key", "block", "start", "text_crc32", "size", "doc"]
+    docs = spark.range(50).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), *(F.concat(F.lit(c), F.col("id")).alias(c) for c in names), F.lit("old").alias("Shard"))
+    placed = shards.place(docs)
+    assert placed.columns == ["doc_id", "text", *names, "shard", "slot"]
+    assert all(r[c] == f"{c}{r.doc_id}" for r in placed.collect() for c in names)
+    plain = {(r.doc_id, r.shard, r.slot) for r in shards.assign(docs).collect()}
+    assert {(r.doc_id, r.shard, r.slot) for r in placed.collect()} == plain
+
+
 def test_lines(spark):
     pages = [(i, f"https://me@A.example.com:80/p{i}", f"<p>Menu</p><div>own {i} <b>line</b></div><script>x<p>y</script>Foot\nfoot &amp; <!-- c --> z<p>Menu") for i in range(10)]
     pages += [(10, None, None), (11, "no url", ""), (12, "http://b.com", "<p>Menu</p>"), (0, pages[0][1], pages[0][2])]
