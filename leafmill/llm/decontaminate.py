@@ -15,6 +15,7 @@ import hashlib
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -133,29 +134,45 @@ def decontaminate(docs: DataFrame, bench: DataFrame, remove: str = "documents",
     """docs without contaminated documents, or (remove="spans") without the hit words of each text."""
     if remove not in ("documents", "spans"):
         raise ValueError("remove is 'documents' or 'spans'")
-    names, out = docs.columns, docs
+    names, out, seen = docs.columns, docs, F.lit(None).cast("binary")
     for block in _blocks(bench, "item_id", "text", block_bytes):
         sent = docs.sparkSession.sparkContext.broadcast(WindowIndex(block, window))
 
         @F.pandas_udf("string")
         def cleaned(texts, sent=sent):
-            def one(text):
+            return texts.map(lambda t: None if t is None or sent.value.hits(words_of(t))[0].any() else t, na_action="ignore").astype(object)
+
+        @F.pandas_udf("binary")
+        def covered(texts, old, sent=sent):
+            def one(text, had):
                 if text is None:
                     return None
-                words = words_of(text)
-                cover, _ = sent.value.hits(words)
-                if not cover.any():
-                    return text
-                return None if remove == "documents" else _without(text, cover)
+                cover, _ = sent.value.hits(words_of(text))
+                if had is not None:
+                    cover |= np.unpackbits(np.frombuffer(had, np.uint8), count=len(cover)).astype(bool)
+                return np.packbits(cover).tobytes()
 
-            return texts.map(one, na_action="ignore").astype(object)
+            return pd.Series([one(t, h) for t, h in zip(texts, old, strict=True)], dtype=object)
 
-        new = cleaned(F.col("text"))
         if remove == "documents":
-            out = out.withColumn("__clean", new).where("text is null or __clean is not null").select(*names)
+            out = out.withColumn("__clean", cleaned(F.col("text"))).where("text is null or __clean is not null").select(*names)
         else:
-            out = out.withColumn("text", new).select(*names)
-    return out
+            # every block sees the whole text; the words go at the end
+            out, seen = out.withColumn("__hit", covered("text", seen)), F.col("__hit")
+    if remove == "documents" or out is docs:
+        return out
+
+    @F.pandas_udf("string")
+    def cut(texts, hit):
+        def one(text, had):
+            if text is None:
+                return None
+            cover = np.unpackbits(np.frombuffer(had, np.uint8), count=len(words_of(text))).astype(bool)
+            return _without(text, cover) if cover.any() else text
+
+        return pd.Series([one(t, h) for t, h in zip(texts, hit, strict=True)], dtype=object)
+
+    return out.withColumn("text", cut("text", "__hit")).select(*names)
 
 
 def _without(text: str, cover: np.ndarray) -> str:

@@ -63,6 +63,18 @@ def test_decontaminate_brute_force(spark):
     assert decontaminate.report(decontaminate.scan(docs.limit(0), bench)).count() == 0
 
 
+def test_spans_do_not_depend_on_blocks(spark):
+    w = [f"w{i}" for i in range(30)]
+    items = [(1, " ".join(w[:12])), (2, " ".join(w[5:18])), (3, " ".join([*w[20:25], *w[25:30]]))]
+    texts = ["a " + " ".join(w[:18]) + " b", " ".join([*w[20:25], *w[:12], *w[25:30]]), None, "", "clean"]
+    for order in (items, items[::-1]):
+        bench = spark.createDataFrame(order, "item_id long, text string").coalesce(1)
+        for block in (1 << 20, 1):
+            got = decontaminate.decontaminate(documents(spark, texts), bench, remove="spans", block_bytes=block)
+            words = {r.doc_id: r.text and r.text.split() for r in got.collect()}
+            assert words == {0: ["a", "b"], 1: w[20:30], 2: None, 3: "", 4: ["clean"]}
+
+
 def test_shards(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 7 == 0, None).otherwise(F.concat(F.lit("é"), F.col("id") % 50)).alias("text"))
     rows = shards.assign(docs.unionByName(docs.where("doc_id = 5"))).collect()
