@@ -6,16 +6,19 @@ A string of LENGTH bytes is removed wherever it begins at two places or more.  F
    windows in a row that share a name form a section.  Equal windows have equal names, so a repeat
    can only be between sections of one name, and nearly all names occur once.  Periodic texts have
    long sections, which are cut at the name's string after every SECTION windows, so that pieces are alike.
+   The sections are made in one pass over the texts and written.
 2. Sections that are the same to the last byte in two places are repeats as a whole.
 3. The different sections of a name go, together with many other names, to one task, which builds
    a run-compressed BWT of them with samples at the run ends, streams their matching statistics and marks
    matches of LENGTH or more.  Blocks are bounded; a name with more than HOT different sections has
-   its windows counted by hash over all tasks instead, so no group is ever gathered.
+   its windows counted by a hash of 128 bits over all tasks instead, so no group is ever gathered.  The
+   result is the same: both count every window of the name.
 4. The marks of a row come together and its bytes are cut.
 
-Matches never cross rows.  Defined cases: a null text is empty; a text shorter than LENGTH keeps all;
-repeated rows are each other's copies, so both lose everything from LENGTH bytes on; further
-columns are ignored by ``marks`` and kept by ``deduplicate``; removal may split a character, whose
+Matches never cross rows.  Defined cases: a null text is empty; a text shorter than LENGTH keeps all; a text of
+any length is treated whole; repeated rows (null ids too) are each other's copies, so all lose everything from
+LENGTH bytes on; an empty table gives no rows; there are no ties, as every place of a repeated string counts; further
+columns, whatever their names, are ignored by ``marks`` and kept by ``deduplicate``; removal may split a character, whose
 remaining bytes are kept in the digest and dropped in ``deduplicate``.
 """
 
@@ -30,15 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, map_arrow, table, text_or_empty, written
-from .rolling import PrefixHash
+from .common import bounded_batches, dropped, map_arrow, row_key, table, text_or_empty, written
+from .rolling import OTHER_LETTERS, PrefixHash
 from .runs import repeated
 
 LENGTH, GRAM = 400, 64
 #: Bytes of sections in one index, and different sections of one name that an index takes.
-BLOCK_BYTES, HOT = 2 << 20, 1000
-#: Windows of a section, after which it is cut.  start and size are one number, of which size has _PACK bits.
-SECTION, _PACK = 1 << 16, 24
+BLOCK_BYTES, HOT = 1 << 18, 1000
+#: Windows of a section, after which it is cut.
+SECTION = 1 << 16
 
 
 def least_in_windows(h: np.ndarray, width: int) -> np.ndarray:
@@ -54,8 +57,6 @@ def least_in_windows(h: np.ndarray, width: int) -> np.ndarray:
 def sections(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """name, hash of the bytes, start, size, and whether the name's string occurs in it twice."""
     none = np.zeros(0, np.int64)
-    if SECTION + 2 * length >= 1 << _PACK:
-        raise ValueError("length is too large for the size of a section")
     if len(raw) < length:
         return none, none, none, none, none
     h = PrefixHash(raw)
@@ -79,60 +80,56 @@ def sections(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """row (a 64-bit key that repeated rows share), doc_id, text."""
-    return docs.select("doc_id", text_or_empty().alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    """row (a key that repeated rows share), doc_id, text."""
+    return docs.select("doc_id", text_or_empty().alias("text")).withColumn("row", row_key())
 
 
 def all_sections(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """name, body, row, at (start and size in one number), twice."""
+    """name, body, row, start, size, twice."""
 
     def one(batch: pa.RecordBatch) -> dict:
-        parts, keys = [], []
-        for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            got = sections(text.encode("utf-8", "surrogatepass"), length, gram)
-            parts.append(got)
-            keys.append(np.full(len(got[0]), row, np.int64))
+        parts = [sections(t.encode("utf-8", "surrogatepass"), length, gram) for t in batch.column("text").to_pylist()]
         name, body, start, size, twice = (np.concatenate(x) for x in zip(*parts, strict=True))
-        return {"name": name, "body": body, "row": np.concatenate(keys), "at": start << _PACK | size, "twice": twice.astype(bool)}
+        owner = np.repeat(np.arange(len(parts)), [len(x[0]) for x in parts])
+        return {"name": name, "body": body, "row": batch.column("row").take(pa.array(owner)), "start": start, "size": size, "twice": twice.astype(bool)}
 
-    return map_arrow(rows.select("row", "text"), one, "name long, body long, row long, at long, twice boolean")
+    return map_arrow(rows.select("row", "text"), one, "name long, body long, row binary, start long, size long, twice boolean")
+
+
+def _columns(rows: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
+    """Rows as a batch: row and bytes are binary, all else is a number."""
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n in ("row", "bytes") else pa.int64()) for n, c in zip(names, columns, strict=True)], names=list(names))
 
 
 def _cut(texts: DataFrame) -> DataFrame:
-    """name, row, at, n, bodies, bytes: the sections of each text that its ``asked`` lists."""
+    """name, row, start, n, bodies, bytes: the sections of each text that its ``asked`` lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {"name": [], "row": [], "at": [], "n": [], "bodies": [], "bytes": []}
+            out = []
             for row, text, asked in zip(*(batch.column(c).to_pylist() for c in ("row", "text", "asked")), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
-                for x in asked:
-                    start, size = x["at"] >> _PACK, x["at"] & (1 << _PACK) - 1
-                    for k, v in zip(out, (x["name"], row, x["at"], x["n"], x["bodies"], raw[start : start + size]), strict=True):
-                        out[k].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[k], pa.binary() if k == "bytes" else pa.int64()) for k in out], names=list(out))
+                out += [(x["name"], row, x["start"], x["n"], x["bodies"], raw[x["start"] : x["start"] + x["size"]]) for x in asked]
+            yield _columns(out, ("name", "row", "start", "n", "bodies", "bytes"))
 
     bounded_batches(texts.sparkSession)
-    return texts.mapInArrow(run, "name long, row long, at long, n long, bodies long, bytes binary")
+    return texts.mapInArrow(run, "name long, row binary, start long, n long, bodies long, bytes binary")
 
 
 def _indexed(cut: DataFrame, length: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """row, start, end of the repeated ranges in sections (name, row, at, n, bytes) that lie sorted by name."""
-
-    def block(held: list[tuple[int, int, int, int, bytes]]) -> pa.RecordBatch:
-        row, start, end = [], [], []
-        for (_, r, at, n, _), ranges in zip(held, repeated([x[4] for x in held], length), strict=True):
-            if n == 1:  # a section with copies is marked as a whole already
-                for a, b in ranges:
-                    row.append(r)
-                    start.append((at >> _PACK) + a)
-                    end.append((at >> _PACK) + b)
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (row, start, end)], names=["row", "start", "end"])
+    """row, start, end of the repeated ranges in sections (name, row, start, n, bytes) that lie sorted by name."""
+
+    def block(held: list[tuple[int, bytes, int, int, bytes]]) -> pa.RecordBatch:
+        found = repeated([x[4] for x in held], length)
+        # a section with copies is marked as a whole already
+        marks = [(row, at + a, at + b) for (_, row, at, n, _), ranges in zip(held, found, strict=True) if n == 1 for a, b in ranges]
+        return _columns(marks, ("row", "start", "end"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for x in zip(*(batch.column(c).to_pylist() for c in ("name", "row", "at", "n", "bytes")), strict=True):
+            for x in zip(*(batch.column(c).to_pylist() for c in ("name", "row", "start", "n", "bytes")), strict=True):
                 if size >= block_bytes and x[0] != held[-1][0]:
                     yield block(held)
                     held, size = [], 0
@@ -142,58 +139,56 @@ def _indexed(cut: DataFrame, length: int, block_bytes: int = BLOCK_BYTES) -> Dat
             yield block(held)
 
     bounded_batches(cut.sparkSession)
-    return cut.mapInArrow(run, "row long, start long, end long")
+    return cut.mapInArrow(run, "row binary, start long, end long")
 
 
 def _counted(cut: DataFrame, length: int) -> DataFrame:
-    """The same for sections of hot names: every window is counted by its hash."""
+    """The same for sections of hot names: every window is counted by 128 bits."""
 
     def one(batch: pa.RecordBatch) -> dict:
-        hashes = [PrefixHash(b).windows(length).view(np.int64) for b in batch.column("bytes").to_pylist()]
-        return {"name": batch.column("name"), "row": batch.column("row"), "at": batch.column("at"), "n": batch.column("n"), "hashes": [h.tolist() for h in hashes]}
+        raws = batch.column("bytes").to_pylist()
+        hashes = [[PrefixHash(b, *letters).windows(length).view(np.int64).tolist() for b in raws] for letters in ((), (OTHER_LETTERS,))]
+        return {c: batch.column(c) for c in ("name", "row", "start", "n")} | {"h": hashes[0], "g": hashes[1]}
 
-    wide = map_arrow(cut, one, "name long, row long, at long, n long, hashes array<long>")
-    windows = wide.select("name", "row", "n", F.shiftright("at", _PACK).alias("start"), F.posexplode("hashes").alias("i", "h"))
-    again = windows.groupBy("name", "h").agg(F.sum("n").alias("times")).where("times > 1").select("name", "h")
-    hit = windows.where("n = 1").join(again, ["name", "h"])
-    return hit.select("row", (F.col("start") + F.col("i")).alias("start"), (F.col("start") + F.col("i") + length).alias("end"))
+    wide = map_arrow(cut, one, "name long, row binary, start long, n long, h array<long>, g array<long>")
+    windows = wide.select("name", "row", "n", "start", F.posexplode(F.arrays_zip("h", "g")).alias("i", "w")).select("name", "row", "n", (F.col("start") + F.col("i")).alias("start"), "w.h", "w.g")
+    again = windows.groupBy("name", "h", "g").agg(F.sum("n").alias("times")).where("times > 1").select("name", "h", "g")
+    hit = windows.where("n = 1").join(again, ["name", "h", "g"])
+    return hit.select("row", "start", (F.col("start") + length).alias("end"))
 
 
 def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """row, start, end: ranges of bytes covered by repeated strings; they may overlap."""
     rows = _rows(docs)
-    found = all_sections(rows, length, gram)
-    bodies = found.groupBy("name", "body").agg(F.count(F.lit(1)).alias("n"), F.first("row").alias("row"), F.first("at").alias("at"), F.max("twice").alias("twice"))
+    found = written(all_sections(rows, length, gram), "repeat-all-sections")
+    bodies = found.groupBy("name", "body").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "start", "size")).alias("at"), F.max("twice").alias("twice"))
     names = bodies.groupBy("name").agg(F.count(F.lit(1)).alias("bodies"), F.max("twice").alias("any_twice"), F.max("n").alias("most"))
     names = names.where("bodies > 1 or any_twice or most > 1").select("name", "bodies", "any_twice")
-    kept = written(bodies.join(names, "name"), "repeat-sections")
+    kept = written(bodies.join(names, "name").select("name", "body", "n", "at.*", "bodies", "any_twice"), "repeat-sections")
 
     copies = kept.where("n > 1").select("name", "body")
-    start, size = F.shiftright("at", _PACK), F.col("at").bitwiseAND(F.lit((1 << _PACK) - 1))
-    whole = found.join(copies, ["name", "body"]).select("row", start.alias("start"), (start + size).alias("end"))
+    whole = written(found.join(copies, ["name", "body"]).select("row", "start", (F.col("start") + F.col("size")).alias("end")), "repeat-copies")
+    dropped(found)
 
-    asked = kept.where("bodies > 1 or any_twice").groupBy("row").agg(F.collect_list(F.struct("name", "at", "n", "bodies")).alias("asked"))
+    asked = kept.where("bodies > 1 or any_twice").groupBy("row").agg(F.collect_list(F.struct("name", "start", "size", "n", "bodies")).alias("asked"))
     texts = rows.select("row", "text").join(asked, "row").dropDuplicates(["row"])
     cut = written(_cut(texts), "repeat-cut")
-    few = cut.where(F.col("bodies") <= hot).drop("bodies").repartition("name").sortWithinPartitions("name", "row", "at")
+    few = cut.where(F.col("bodies") <= hot).drop("bodies").repartition("name").sortWithinPartitions("name", "row", "start")
     out = whole.unionByName(_indexed(few, length))
     if not kept.where(F.col("bodies") > hot).isEmpty():
         out = out.unionByName(_counted(cut.where(F.col("bodies") > hot).drop("bodies"), length))
     return out
 
 
-def _joined(docs: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
-    """Each row of docs as ``row`` with its text and the marks on it, packed."""
-    found = marks(docs, length, gram, hot)
-    packed = found.groupBy("row").agg(F.collect_set(F.shiftleft("start", _PACK).bitwiseOR(F.col("end") - F.col("start"))).alias("marks"))
-    return _rows(docs).join(packed, "row", "left")
+def _packed(docs: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
+    """row, marks: the marks on each row that has any."""
+    return marks(docs, length, gram, hot).groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("marks"))
 
 
-def spans(marks: list[int] | None) -> list[tuple[int, int]]:
-    """Maximal ranges, in order, of packed marks."""
+def spans(marks: list[dict] | None) -> list[tuple[int, int]]:
+    """Maximal ranges, in order, of marks (start, end)."""
     out: list[list[int]] = []
-    for m in sorted(marks or ()):
-        a, b = m >> _PACK, (m >> _PACK) + (m & (1 << _PACK) - 1)
+    for a, b in sorted((m["start"], m["end"]) for m in marks or ()):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -218,7 +213,8 @@ def report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = H
                 out[k].append(v)
         return {"doc_id": batch.column("doc_id")} | out
 
-    return map_arrow(_joined(docs, length, gram, hot).select("doc_id", "text", "marks"), one, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    joined = _rows(docs).join(_packed(docs, length, gram, hot), "row", "left")
+    return map_arrow(joined.select("doc_id", "text", "marks"), one, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
@@ -229,10 +225,10 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: in
         cut = lambda t, m: t if t is None or m is None else kept_bytes(t.encode("utf-8", "surrogatepass"), spans(list(m))).decode("utf-8", "ignore")
         return pd.Series([cut(t, m) for t, m in zip(texts, found, strict=True)], dtype=object)
 
-    found = marks(docs, length, gram, hot)
-    packed = found.groupBy("row").agg(F.collect_set(F.shiftleft("start", _PACK).bitwiseOR(F.col("end") - F.col("start"))).alias("__marks"))
-    keyed = docs.withColumn("__row", F.xxhash64("doc_id", text_or_empty())).join(packed.withColumnRenamed("row", "__row"), "__row", "left")
-    return keyed.withColumn("text", cleaned("text", "__marks")).select(*docs.columns)
+    names = docs.columns
+    keyed = docs.select(F.struct("*").alias("doc"), "doc_id", text_or_empty().alias("text")).select("doc", row_key().alias("row"))
+    joined = keyed.join(_packed(docs, length, gram, hot), "row", "left")
+    return joined.select(*(cleaned(F.col("doc.text"), "marks").alias(c) if c == "text" else F.col("doc").getField(c).alias(c) for c in names))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

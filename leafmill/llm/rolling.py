@@ -7,6 +7,8 @@ import numpy as np
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _LETTERS = np.random.RandomState(20240229).randint(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Letters of a second hash, independent of the first.
+OTHER_LETTERS = np.random.RandomState(20240301).randint(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _powers = {_BASE: np.ones(1, np.uint64), _INVERSE: np.ones(1, np.uint64)}
 
 

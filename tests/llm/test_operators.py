@@ -228,6 +228,18 @@ def test_repeats_in_periodic_texts(spark, monkeypatch):
         assert start[0] == 0 and (start[1:] == (start + size - 399)[:-1]).all() and start[-1] + size[-1] == len(raw) and size.max() <= 1300
 
 
+def test_repeats_of_odd_rows(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "BLOCK_BYTES", 1)  # a block a name
+    base = "".join(random.Random(3).choice("abcd ") for _ in range(900))
+    texts = [base, base[300:], base[:399], None, "", None, base]
+    docs = spark.createDataFrame([(None if i < 2 else i, t, i, "s", "e", "m") for i, t in enumerate(texts)], "doc_id long, text string, row int, start string, end string, marks string")
+    docs = docs.unionByName(docs.where("row = 2"))
+    rows = sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.report(docs).collect())
+    assert rows == sorted(brute_repeats([*texts, texts[2]], 400))
+    cut = repeats.deduplicate(docs)
+    assert cut.columns == docs.columns and sorted(map(str, (r.text for r in cut.collect()))) == sorted(map(str, ["", "", base[:399], None, "", None, "", base[:399]]))
+
+
 def test_run_length_index():
     rng = random.Random(2)
     for _ in range(30):
@@ -247,6 +259,8 @@ def test_run_length_index():
                             best = max(best, n)
                 assert match[at + j] == best
             at += len(t) + 1
+        far = runs.RunLengthIndex(texts, 5).matching_statistics()
+        assert (np.where(match >= 5, match, 0) == np.where(far >= 5, far, 0)).all()
 
 
 def test_tokens_equal_the_library(spark):
