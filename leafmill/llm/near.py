@@ -6,17 +6,20 @@ candidate pair is confirmed on the full sets (100 * intersection >= 75 * union).
 
 Exact copies share a set and are one node.  In a bucket, every member is first compared with two
 centres, the member that shares most buckets with others and a random one, which joins a large group
-in a number of comparisons that grows with the group and not with its square.  The nodes of
-buckets that still hold several components are then compared across components wherever
-they can be similar enough at all: the rarest shingles of both, up to the most that may differ,
-have one in common.  That condition is exact, so no link that a band proposes is lost.
+in a number of comparisons that grows with the group and not with its square.  A bucket of three
+nodes is thereby settled.  The nodes of larger buckets that still hold several components are then
+compared across components wherever they can be similar enough at all: the rarest shingles of both, up
+to the most that may differ, have one in common.  That condition is exact, so no link that a band
+proposes is lost.  Rows of a frequent shingle and pairs of a frequent centre are dealt to several tasks.
 
 With BANDS bands of ROWS values a pair at the threshold is missed with probability
 (1 - 0.75**ROWS)**BANDS = 2e-5; pairs above it less often.
 
 Defined cases: a document of fewer than five words is one shingle; one without words or text is
-linked with nothing and keeps its own id; a null id never becomes a component's id unless all
-are null; repeated rows fall into one component; further columns are ignored by ``classes``.
+linked with nothing and keeps its own id; a text of any length is treated whole; a null id never becomes a
+component's id unless all are null; repeated rows fall into one component; of equal ids all are kept by
+``classes`` and one by ``one_of_each``; an empty table gives no rows; further columns, whatever their names, are
+ignored by ``classes`` and kept by ``one_of_each``.
 """
 
 from __future__ import annotations
@@ -25,10 +28,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, table, text_or_empty, written
+from .common import dropped, map_arrow, row_key, table, text_or_empty, written
 from .graph import components
 from .rolling import PrefixHash, mixed
 
@@ -36,8 +39,10 @@ WIDTH, PERCENT = 5, 75
 BANDS, ROWS = 40, 5
 #: Two values from each permutation.
 PERMUTATIONS = BANDS * ROWS // 2
-#: Keys of dropped rows that are broadcast (8 bytes each); more are joined.
-BROADCAST_KEYS = 1 << 20
+#: Keys (of dropped rows, of frequent shingles) that are broadcast, 24 bytes each at most; more are joined.
+BROADCAST_KEYS = 1 << 19
+#: Rows of one shingle, or pairs of one centre, that go to one task together.
+SPLIT = 256
 
 _rng = np.random.RandomState(715517)
 _MULTIPLY = _rng.randint(0, 1 << 62, PERMUTATIONS, np.uint64) * np.uint64(4) + np.uint64(1)
@@ -82,8 +87,8 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and a 64-bit key of the row (repeated rows share it)."""
-    return docs.select("doc_id", text_or_empty().alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    """doc_id, text and the row's key (repeated rows share it)."""
+    return docs.select("doc_id", text_or_empty().alias("text")).withColumn("row", row_key())
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -94,12 +99,26 @@ def signatures(docs: DataFrame) -> DataFrame:
         sets = [shingles(t) for t in batch.column("text").to_pylist()]
         return {"doc_id": batch.column("doc_id"), "row": batch.column("row"), "n_shingles": [len(s) for s in sets], "node": [set_key(s) for s in sets], "bands": [bands(signature(s)) if len(s) else [] for s in sets]}
 
-    return map_arrow(_keyed(docs), one, f"doc_id {kind}, row long, n_shingles long, node binary, bands array<long>")
+    return map_arrow(_keyed(docs), one, f"doc_id {kind}, row binary, n_shingles long, node binary, bands array<long>")
+
+
+def _dealt(node: str, rows: Column) -> Column:
+    """The part of a key with so many rows that a node's row belongs to, of SPLIT rows or so."""
+    return F.pmod(F.xxhash64(node), F.ceil(rows / SPLIT)).cast("int")
+
+
+def _parts(rows: Column) -> Column:
+    """All parts of a key with so many rows."""
+    return F.explode(F.sequence(F.lit(0), (F.ceil(rows / SPLIT) - 1).cast("int")))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) of nodes whose full sets are similar enough; texts has node, text."""
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
+    """The pairs (a, b) of nodes whose full sets are similar enough; texts has node, text.
+
+    pairs also has n, about how many pairs a has: the text of a goes to each part of them once.
+    """
+    pairs = pairs.select("a", "b", _dealt("b", F.greatest("n", F.lit(1))).alias("part"))
+    left = pairs.select("a", "part").distinct().join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
 
     def one(batch: pa.RecordBatch) -> dict:
@@ -116,11 +135,22 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Dat
         good = [(a, b) for a, b, ta, tb in rows if linked(of(a, ta), of(b, tb), percent)]
         return {"a": [a for a, _ in good], "b": [b for _, b in good]}
 
-    return map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb"), one, "a binary, b binary")
+    return map_arrow(pairs.join(right, "b").join(left, ["a", "part"]).select("a", "b", "ta", "tb"), one, "a binary, b binary")
+
+
+def _counted(items: DataFrame) -> DataFrame:
+    """items with c, how many of them have their h; the few frequent ones do not meet in one task."""
+    rare = written(items.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "near-counts")
+    often = rare.where(F.col("c") > SPLIT)
+    if often.count() > BROADCAST_KEYS:
+        return items.join(rare, "h", "left").na.fill(1, ["c"])
+    often = F.broadcast(often)
+    seldom = items.join(often, "h", "left_anti").join(rare.where(F.col("c") <= SPLIT), "h", "left").na.fill(1, ["c"])
+    return seldom.unionByName(items.join(often, "h"))
 
 
 def possible(texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) of nodes (node, text, root) of different roots that can be similar enough.
+    """Pairs (a, b, n) of nodes (node, text, root) of different roots that can be similar enough.
 
     Sets of n and m shingles need overlap o = ceil(percent (n + m) / (100 + percent)).  With the
     shingles of every set in one order, rarest first, the first common one is among the first n - o + 1
@@ -133,19 +163,19 @@ def possible(texts: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     items = map_arrow(texts.select("node", "root", "text"), one, "node binary, root binary, h array<long>").select("node", "root", F.explode("h").alias("h"))
     items = written(items, "near-items")
-    rare = items.groupBy("h").agg(F.count(F.lit(1)).alias("c"))
-    ordered = items.join(rare, "h").groupBy("node", "root").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("s"))
+    ordered = _counted(items).groupBy("node", "root").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("s"))
     n = F.size("s")
     most = n - F.ceil(n * percent / 100).cast("int") + 1
     heads = ordered.select("node", "root", n.alias("n"), F.posexplode(F.slice("s", F.lit(1), most)).alias("i", "x")).where("x.c > 1")
-    heads = written(heads.select("node", "root", "n", "i", F.col("x.h").alias("h")), "near-heads")
+    heads = written(heads.select("node", "root", "n", "i", F.col("x.h").alias("h"), F.col("x.c").alias("c")), "near-heads")
     # within a shingle's nodes, those of the largest component meet only the others
-    big = heads.groupBy("h", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(F.max(F.struct("k", "root")).alias("top"), F.count(F.lit(1)).alias("roots"))
-    small = heads.join(big.where("roots > 1").select("h", F.col("top.root").alias("top")), "h").where("root <> top").drop("top")
-    other = heads.select("h", F.col("node").alias("node2"), F.col("root").alias("root2"), F.col("n").alias("n2"), F.col("i").alias("i2"))
+    big = heads.groupBy("h", "c", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("h", "c").agg(F.max(F.struct("k", "root")).alias("top"), F.count(F.lit(1)).alias("roots"))
+    big = big.where("roots > 1").select("h", F.col("top.root").alias("top"), _parts(F.col("c")).alias("part"))
+    small = heads.withColumn("part", _dealt("node", F.col("c"))).join(big, ["h", "part"]).where("root <> top").drop("top", "part").withColumn("part", _parts(F.col("c")))
+    other = heads.select("h", F.col("node").alias("node2"), F.col("root").alias("root2"), F.col("n").alias("n2"), F.col("i").alias("i2"), _dealt("node", F.col("c")).alias("part"))
     need = F.ceil((F.col("n") + F.col("n2")) * percent / (100 + percent))
-    met = small.join(other, (small.h == other.h) & (F.col("root") != F.col("root2")) & (F.col("i") <= F.col("n") - need) & (F.col("i2") <= F.col("n2") - need))
-    return met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+    met = small.join(other, ["h", "part"]).where((F.col("root") != F.col("root2")) & (F.col("i") <= F.col("n") - need) & (F.col("i2") <= F.col("n2") - need))
+    return met.groupBy(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).agg(F.max("c").alias("n"))
 
 
 def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -159,10 +189,11 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     members = written(buckets.join(sizes, "bucket"), "near-members")
     # two centres: the member that most others share buckets with, and a random one, another in each band
     shared = members.groupBy("node").agg(F.sum("n").alias("shared"))
-    draw = F.xxhash64("node", "bucket")
-    centres = members.join(shared, "node").groupBy("bucket").agg(F.max(F.struct("shared", "node")).alias("most"), F.min(F.struct(draw.alias("draw"), "node")).alias("any"))
-    centres = centres.select("bucket", F.explode(F.array_distinct(F.array("most.node", "any.node"))).alias("centre"))
-    tried = members.join(centres, "bucket").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    draw = F.struct(F.xxhash64("node", "bucket").alias("draw"), "node")
+    centres = members.join(shared, "node").groupBy("bucket").agg(F.max(F.struct("shared", "node")).alias("most"), F.min(draw).alias("low"), F.max(draw).alias("high"))
+    second = F.when(F.col("low.node") == F.col("most.node"), F.col("high.node")).otherwise(F.col("low.node"))
+    centres = centres.select("bucket", F.explode(F.array("most.node", second)).alias("centre"))
+    tried = members.join(centres, "bucket").where("node <> centre").groupBy(F.col("centre").alias("a"), F.col("node").alias("b")).agg(F.max("n").alias("n"))
     tried = written(tried, "near-tried")
 
     # the texts of the nodes that share any bucket
@@ -172,18 +203,25 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = written(confirmed(tried, texts, percent), "near-links")
     root = components(links)
 
-    # nodes of buckets that hold more than one component
-    placed = members.select("bucket", "node").join(root, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    # nodes of buckets that hold more than one component and pairs that were not tried
+    placed = members.where("n > 3").select("bucket", "node").join(root, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     several = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
     left = written(placed.join(several, "bucket").select("node", "root").distinct(), "near-left")
-    across = possible(texts.join(left, "node"), percent).join(tried, ["a", "b"], "left_anti")
+    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    across = possible(texts.join(left, "node"), percent).join(done, ["a", "b"], "left_anti")
     more = written(confirmed(across, texts, percent), "near-links")
     if not more.isEmpty():
-        root = components(links.unionByName(more))
+        # the components that these links join
+        end = lambda c: left.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+        joined = components(more.join(end("a"), "a").join(end("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
+        known = root.unionByName(left).distinct()
+        joined = joined.select(F.col("node").alias("root"), F.col("root").alias("above"))
+        root = known.join(joined, "root", "left").select("node", F.coalesce("above", "root").alias("root"))
 
     named = nodes.select("node", "min_id").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("min_id").alias("component_id"))
-    placed = named.join(least, "root").select("node", "component_id")
+    placed = written(named.join(least, "root").select("node", "component_id"), "near-placed")
+    dropped(nodes, members, tried, texts, links, left, more)
     alone = sig.where("n_shingles = 0").select("doc_id", "row", "n_shingles", F.col("doc_id").alias("component_id"))
     out = full.select("doc_id", "row", "n_shingles", "node").join(placed, "node").select("doc_id", "row", "n_shingles", "component_id")
     return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -200,14 +238,15 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Where rows share that id, the one with the least row key stays, once; rows without an id stay, once each.
     """
-    key = F.when(F.col("component_id").isNull(), F.col("row")).otherwise(F.xxhash64("component_id")).alias("key")
+    key = F.when(F.col("component_id").isNull(), F.col("row")).otherwise(F.col("component_id").cast("string").cast("binary")).alias("key")
     found = written(classes(docs).select("row", key, "kept", (F.col("n_shingles") > 0).alias("some")), "near-kept")
     rows = found.where("kept and some").groupBy("key", "row").agg(F.count(F.lit(1)).alias("c"))
     several = rows.groupBy("key").agg(F.min(F.struct("row", "c")).alias("top"), F.count(F.lit(1)).alias("rows")).where("rows > 1 or top.c > 1")
     several = written(several, "near-several")
     other = rows.join(several.where("rows > 1").select("key", "top"), "key").where("row <> top.row")
     dropped = found.where("not kept").select("row").unionByName(other.select("row")).distinct()
-    out = docs.select(F.struct("*").alias("doc"), F.xxhash64("doc_id", text_or_empty()).alias("row")).join(_sized(dropped), "row", "left_anti")
+    keyed = docs.select(F.struct("*").alias("doc"), "doc_id", text_or_empty().alias("text")).select("doc", row_key().alias("row"))
+    out = keyed.join(_sized(dropped), "row", "left_anti")
     again = several.where("top.c > 1").select(F.col("top.row").alias("row"))
     if not again.isEmpty():  # repeated rows: one stays
         again = _sized(again)
