@@ -115,7 +115,7 @@ def _parts(rows: Column) -> Column:
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) of nodes whose full sets are similar enough; texts has node, text.
 
-    pairs also has n, about how many pairs a has: the text of a goes to each part of them once.
+    pairs also has n, about how many pairs a node has: the text of a goes to each part of its pairs once.
     """
     pairs = pairs.select("a", "b", _dealt("b", F.greatest("n", F.lit(1))).alias("part"))
     left = pairs.select("a", "part").distinct().join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
@@ -193,7 +193,7 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     centres = members.join(shared, "node").groupBy("bucket").agg(F.max(F.struct("shared", "node")).alias("most"), F.min(draw).alias("low"), F.max(draw).alias("high"))
     second = F.when(F.col("low.node") == F.col("most.node"), F.col("high.node")).otherwise(F.col("low.node"))
     centres = centres.select("bucket", F.explode(F.array("most.node", second)).alias("centre"))
-    tried = members.join(centres, "bucket").where("node <> centre").groupBy(F.col("centre").alias("a"), F.col("node").alias("b")).agg(F.max("n").alias("n"))
+    tried = members.join(centres, "bucket").where("node <> centre").groupBy(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).agg(F.max("n").alias("n"))
     tried = written(tried, "near-tried")
 
     # the texts of the nodes that share any bucket
@@ -207,8 +207,7 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     placed = members.where("n > 3").select("bucket", "node").join(root, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     several = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
     left = written(placed.join(several, "bucket").select("node", "root").distinct(), "near-left")
-    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    across = possible(texts.join(left, "node"), percent).join(done, ["a", "b"], "left_anti")
+    across = possible(texts.join(left, "node"), percent).join(tried.select("a", "b"), ["a", "b"], "left_anti")
     more = written(confirmed(across, texts, percent), "near-links")
     if not more.isEmpty():
         # the components that these links join
