@@ -357,6 +357,31 @@ def test_mixing_keeps_its_share_beside_a_stray_source(spark):
     assert mixing.mix(docs.limit(0), share=0.5).count() == 0
 
 
+def test_mixing_of_odd_rows_and_given_targets(spark):
+    rows = [(i, "word " * (20 + i % 60), "en" if i % 3 else "de", f"src{i % 7 % 3}", "x", 1.0) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, topic string, p double")
+    odd_one = spark.createDataFrame([(9001, "a b c d e", "xx", "stray", "y", 0.0), (None, None, None, None, None, None), (None, "", "en", "src0", None, None)], docs.schema)
+    more = docs.unionByName(odd_one).unionByName(docs.where("doc_id = 5"))
+    before = {r.doc_id: r.p for r in mixing.mixed(docs).collect()}
+    after = mixing.mixed(more).collect()
+    assert len(after) == 3004 and {r.topic for r in after} == {"short"}
+    assert all(r.p == pytest.approx(before[r.doc_id], rel=0.01) for r in after if r.doc_id in before)
+    assert len({r.sampled for r in after if r.doc_id == 5}) == 1 and [r.p for r in after if r.doc_id == 9001] == [1.0]
+    assert mixing.mix(more).columns == docs.columns
+    given = spark.createDataFrame([("src0", 2.0), ("src1", 1.0), ("absent", 5.0)], "value string, share double")
+    for most in (mixing.CELLS, 0):
+        cells = mixing.cells_of(mixing.described(docs))
+        p = {r.source: r.p for r in mixing.weights(cells, rounds=6, most=most, targets={"source": given}).collect()}
+        assert p["src2"] == 0 and set(p) == {"src0", "src1", "src2"}
+    report = {(r.margin, r.value): r for r in mixing.achieved(docs, targets={"source": given}).collect()}
+    assert report["source", "src0"].share == pytest.approx(2 / 3, abs=1e-3) and report["source", "src2"].share == 0
+    assert all(abs(r.residual) < 2e-3 for r in report.values())
+    named = mixing.mixed(docs, topic=F.col("topic")).select("topic").distinct().collect()
+    assert [r.topic for r in named] == ["x"]
+    with pytest.raises(ValueError):
+        mixing.weights(cells, targets={"nothing": given})
+
+
 def brute_near(texts):
     sets = []
     for t in texts:
