@@ -5,13 +5,15 @@ host, are the line's frequency there; a line above the ratio (on a host with eno
 boilerplate and every occurrence on that host goes.
 
 The lines above a ratio r are fewer on a host than its mean number of distinct lines a page
-divided by r, so the list of one host is small.  The lists are written, and their size is checked:
-up to LIST_BYTES they are broadcast and no page is shuffled; beyond, pages are joined by host and
-one of SALTS parts of it, so that a hot host is spread over as many tasks.
-
-Defined cases: a null or unusable url is the host ''; a null or empty page has no lines; a line
-that repeats within a page counts once for it; repeated rows are pages of their own; further
-columns are ignored by ``analyse``.
+divided by r, so the list of one host is small.  Tables by host (page totals and these lists) are written, and
+their size is checked: up to LIST_BYTES they are broadcast; beyond, rows are joined by host and
+one of SALTS parts of it, so that a hot host is spread over as many tasks.  Lines are known by 128 bits, of which
+64 are looked up in a hash set first.
+
+Defined cases: a null or unusable url is the host ''; a null or empty page has no lines; a page of any length is
+treated whole; a line that repeats within a page counts once for it; a line exactly at the ratio stays; repeated
+rows and rows with a null id are pages of their own; an empty table gives no rows; further columns, whatever their
+names, are ignored by ``analyse``.
 """
 
 from __future__ import annotations
@@ -38,28 +40,40 @@ def lines_of(html: Column) -> Column:
     return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != F.lit(""))
 
 
-def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def key_of(line: Column) -> Column:
+    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit("line"), line).alias("b"))
+
+
+def with_host(rows: DataFrame, hosts: DataFrame, spread: list[str], size: Column, list_bytes: int, how: str = "inner") -> DataFrame:
+    """rows joined by host with a table by host that was written; spread: columns that tell a host's rows apart."""
+    if (hosts.agg(F.sum(size)).first()[0] or 0) <= list_bytes:
+        return rows.join(F.broadcast(hosts), "host", how)
+    salted = hosts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).join(salted, ["host", "__salt"], how).drop("__salt")
+
+
+def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, list_bytes: int = LIST_BYTES) -> DataFrame:
     """host, keys: the 128-bit keys of the host's boilerplate lines."""
-    keyed = pages.select(host_of(F.col("url")).alias("host"), F.array_distinct(F.transform(lines_of(F.col("html")), lambda x: F.unhex(F.md5(x)))).alias("keys"))
-    totals = keyed.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    having = keyed.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
+    hosts = pages.select(host_of(F.col("url")).alias("host"))
+    totals = written(hosts.groupBy("host").agg(F.count(F.lit(1)).alias("pages")), "hosts")
+    keyed = pages.select(host_of(F.col("url")).alias("host"), F.explode(F.array_distinct(lines_of(F.col("html")))).alias("line")).select("host", key_of(F.col("line")).alias("key"))
+    having = keyed.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
     # a line above the ratio is on min_pages * ratio pages at least: drop the many rare ones before the join
     having = having.where(F.col("n") > F.lit(min_pages * ratio))
-    common = having.join(totals, "host").where((F.col("pages") >= min_pages) & (F.col("n") > F.col("pages") * F.lit(ratio)))
-    return common.groupBy("host").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    common = with_host(having, totals.where(F.col("pages") >= min_pages), ["key"], F.octet_length("host") + 8, list_bytes)
+    return common.where(F.col("n") > F.col("pages") * F.lit(ratio)).groupBy("host").agg(F.array_sort(F.collect_list("key")).alias("keys"))
 
 
 def analyse(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, list_bytes: int = LIST_BYTES) -> DataFrame:
     """page_id, host, n_lines, n_dropped and the text that stays, for every row."""
-    lists = written(boilerplate(pages, ratio, min_pages), "boilerplate")
-    size = lists.agg(F.sum(F.octet_length("host") + 16 * F.size("keys"))).first()[0] or 0
-    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int").alias("salt")
-    lined = pages.select("page_id", host_of(F.col("url")).alias("host"), salt, lines_of(F.col("html")).alias("lines"))
-    if size <= list_bytes:
-        joined = lined.join(F.broadcast(lists), "host", "left")
-    else:
-        joined = lined.join(lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["host", "salt"], "left")
-    kept = F.when(F.col("keys").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains(F.col("keys"), F.unhex(F.md5(x)))))
+    lists = written(boilerplate(pages, ratio, min_pages, list_bytes), "boilerplate")
+    lined = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), lines_of(F.col("html")).alias("lines"))
+    joined = with_host(lined, lists, ["page_id", "url"], F.octet_length("host") + 24 * F.size("keys"), list_bytes, "left")
+    # the first halves of the page's boilerplate lines, by hash sets; then the whole keys
+    seen = F.array_intersect(F.transform("lines", lambda x: F.xxhash64(x)), F.transform("keys", lambda k: k["a"]))
+    drop = lambda x: F.array_contains(F.col("seen"), F.xxhash64(x)) & F.array_contains(F.col("keys"), key_of(x))
+    joined = joined.withColumn("seen", seen)
+    kept = F.when(F.coalesce(F.size("seen"), F.lit(0)) <= 0, F.col("lines")).otherwise(F.filter("lines", lambda x: ~drop(x)))
     return joined.withColumn("kept", kept).select(
         "page_id", "host", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"), F.array_join("kept", "\n").alias("text")
     )
