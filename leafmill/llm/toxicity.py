@@ -10,9 +10,12 @@
 The voters and both models are fitted on at most SAMPLE labelled rows that may be learnt from, taken
 by a hash of the id; scoring is one pass over all texts without a shuffle.
 
-Defined cases: a null text scores as an empty one; where no labelled row may be learnt from, or none
-of a class, every score is the share of toxic rows (0 if there are none); a document labelled twice
-counts as toxic if any label says so; repeated rows score alike; further columns are ignored.
+Defined cases: a null text scores as an empty one; a text of any length is scored whole; where no labelled row
+may be learnt from, or none of a class, every score is the share of toxic rows (0 if there are none); a document
+labelled twice counts as toxic if any label says so; of several texts under one id the first in order is learnt
+from, so an id counts once; a null id or label is not learnt from, and its row is scored; terms that stand out alike are
+taken in the order of their bytes; repeated rows score alike; an empty table gives no rows; further columns, whatever
+their names, are ignored by ``learn`` and ``score`` and kept by ``keep_clean``.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_TABLE, fold, map_arrow, table, text_or_empty, written
+from .common import WORD_TABLE, dropped, fold, map_arrow, table, text_or_empty, written
 
 SAMPLE, MAX_TERMS, STEMS = 20_000, 200, (4, 5, 6)
 MIN_ROWS, MIN_Z = 3, 4.0
@@ -188,7 +191,8 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, sample: int = S
     # bounded: at most ``sample`` pairs of numbers
     chosen = known.orderBy(F.xxhash64(F.lit("toxicity"), F.col("doc_id")), "doc_id").limit(sample)
     chosen = written(chosen, "toxicity-sample")
-    rows = written(docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "y"), "toxicity-rows")
+    found = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = written(found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).select("text", "y"), "toxicity-rows")
     by = {r.y: r.n for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = by.get(0, 0), by.get(1, 0)
     if not n0 or not n1:
@@ -200,8 +204,9 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, sample: int = S
         counts = [np.minimum(sent.value.counts(t), 255).astype(np.uint8).tobytes() for t in batch.column("text").to_pylist()]
         return {"y": batch.column("y"), "counts": counts}
 
-    # bounded: ``sample`` rows of MAX_TERMS and a few bytes (a repeated id may add rows, so they are cut again)
-    got = sorted((r.y, bytes(r.counts)) for r in map_arrow(rows, one, "y int, counts binary").limit(2 * sample).collect())
+    # bounded: ``sample`` rows of MAX_TERMS and a few bytes
+    got = sorted((r.y, bytes(r.counts)) for r in map_arrow(rows, one, "y int, counts binary").collect())
+    dropped(chosen, rows)
     counts = np.array([np.frombuffer(c, np.uint8) for _, c in got])
     y = np.array([y for y, _ in got])
     q = LabelModel((counts > 0).astype(np.float32), y).q
