@@ -6,8 +6,13 @@ come from spherical k-means within each language, on a sample of bounded size wh
 by a hash of the id.  A text takes the language of its nearest centroid by cosine; a text that is
 farther from it than nearly all learnt rows is marked as rejected.
 
+Any number of languages is taken: centroids are a written table, which goes to the tasks in blocks of BLOCK, and a
+text's best so far is carried from block to block.
+
 Defined cases: ``und`` with score 0 for a null text or one without a letter, and for every text
-where no language could be learnt; repeated rows are each predicted; further columns are ignored.
+where no language could be learnt; a text of any length is treated whole; of equally near centroids the first by
+language wins; a row with a null id is learnt from and predicted like others; repeated rows count and are each
+predicted; an empty table gives no rows; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -20,15 +25,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fold, map_arrow, table
+from .common import bounded_batches, fold, map_arrow, table, written
 
 BUCKETS, CENTROIDS, ROUNDS = 4096, 3, 8
 #: Labelled rows a language is learnt from, about; and the share of them that counts as too far.
 SAMPLE, TOO_FAR = 600, 0.005
 #: A sampled text's vector is made of the whole text; the vectors of one language are SAMPLE * BUCKETS * 4 bytes.
 UNKNOWN = "und"
-#: Values of lang, at most: the table of their counts is broadcast.
-LANGUAGES = 10_000
+#: Values of lang whose counts are broadcast, and centroids in one block (16 KB each).
+LANGUAGES, BLOCK = 10_000, 1536
 
 
 def grams(text: str) -> np.ndarray:
@@ -89,33 +94,57 @@ def cluster(vectors: np.ndarray, k: int) -> tuple[np.ndarray, float]:
 
 
 class Centroids:
-    """The model: one row a centroid, its language and that language's cosine for rejection."""
+    """A block of the model: one row a centroid, its language and that language's cosine for rejection."""
 
     def __init__(self, idf: np.ndarray, rows: list[tuple[str, np.ndarray, float]]) -> None:
-        rows = sorted(rows, key=lambda r: r[0])
         self.idf, self.langs = idf, [lang for lang, _, _ in rows]
         self.least = np.array([least for _, _, least in rows])
         self.matrix = np.array([c for _, c, _ in rows], np.float32).reshape(len(rows), len(idf))
 
-    def predict(self, text: str | None) -> tuple[str, float, bool]:
-        """Language, score and whether the text is too far from all of them."""
-        if not self.langs or not has_letter(text):
-            return UNKNOWN, 0.0, True
+    def nearest(self, text: str | None) -> tuple[str, float, float] | None:
+        """Language, cosine and its cosine for rejection."""
+        if not has_letter(text):
+            return None
         near = self.matrix @ weighted(text, self.idf)
         best = int(np.argmax(near))
-        return self.langs[best], float(min(1.0, max(0.0, near[best]))), bool(near[best] < self.least[best])
+        return self.langs[best], float(near[best]), float(self.least[best])
+
+
+class Model:
+    """Document frequencies as weights, and the table of centroids: lang, least, centre."""
+
+    def __init__(self, idf: np.ndarray, table: DataFrame) -> None:
+        self.idf, self.table = idf, table
+
+    def blocks(self) -> Iterator[Centroids]:
+        rows: list[tuple[str, np.ndarray, float]] = []
+        for r in self.table.orderBy("lang", "centre").toLocalIterator():
+            rows.append((r.lang, np.frombuffer(r.centre, "<f4"), r.least))
+            if len(rows) == BLOCK:
+                yield Centroids(self.idf, rows)
+                rows = []
+        if rows:
+            yield Centroids(self.idf, rows)
+
+
+def sampled(rows: DataFrame, sample: int) -> DataFrame:
+    """lang, text: about ``sample`` rows of each language, chosen by a hash; its count decides the share."""
+    counts = written(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")), "languages")
+    n, every = counts.agg(F.count(F.lit(1)), F.sum("rows")).first()
+    if n <= LANGUAGES:
+        counted = rows.join(F.broadcast(counts), "lang")
+    else:
+        # languages with a LANGUAGES-th of the rows are fewer than LANGUAGES; the others are small groups
+        often = F.broadcast(counts.where(F.col("rows") * LANGUAGES > every))
+        counted = rows.join(often, "lang").unionByName(rows.join(often, "lang", "left_anti").join(counts, "lang"))
+    share = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id"), F.col("text")), F.lit(1 << 30)) / float(1 << 30)
+    return counted.where(share * F.col("rows") < sample).select("lang", "text")
 
 
-def learn(rows: DataFrame, k: int = CENTROIDS, sample: int = SAMPLE) -> Centroids:
+def learn(rows: DataFrame, k: int = CENTROIDS, sample: int = SAMPLE) -> Model:
     """Centroids from labelled rows (doc_id, text, lang)."""
     n, df = frequencies(rows)
     idf = np.log((1 + n) / (1 + df)).astype(np.float32) + np.float32(0.1)
-    # the count of a language decides the share of its rows, chosen by a hash of the id
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).limit(LANGUAGES + 1)
-    if counts.count() > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} values of lang")
-    share = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id"), F.col("text")), F.lit(1 << 30)) / float(1 << 30)
-    chosen = rows.join(F.broadcast(counts), "lang").where(share * F.col("rows") < sample).select("lang", "text")
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         texts = [t for t in pdf["text"] if has_letter(t)]
@@ -124,20 +153,29 @@ def learn(rows: DataFrame, k: int = CENTROIDS, sample: int = SAMPLE) -> Centroid
         centres, least = cluster(np.array([weighted(t, idf) for t in sorted(texts)]), k)
         return pd.DataFrame({"lang": key[0], "least": least, "centre": [c.astype("<f4").tobytes() for c in centres]})
 
-    got = chosen.groupBy("lang").applyInPandas(one, "lang string, least double, centre binary").collect()
-    return Centroids(idf, [(r.lang, np.frombuffer(r.centre, "<f4"), r.least) for r in got])
+    return Model(idf, written(sampled(rows, sample).groupBy("lang").applyInPandas(one, "lang string, least double, centre binary"), "centroids"))
 
 
-def predict(docs: DataFrame, model: Centroids, reject: bool = True) -> DataFrame:
+def predict(docs: DataFrame, model: Model, reject: bool = True) -> DataFrame:
     """doc_id, lang_pred, score, rejected; with reject, a text that is too far becomes ``und``."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = dict(docs.dtypes)["doc_id"].replace("bigint", "long")
-
-    def one(batch: pa.RecordBatch) -> dict:
-        got = [sent.value.predict(t) for t in batch.column("text").to_pylist()]
-        return {"doc_id": batch.column("doc_id"), "lang_pred": [UNKNOWN if reject and far else lang for lang, _, far in got], "score": [s for _, s, _ in got], "rejected": [far for _, _, far in got]}
-
-    return map_arrow(docs.select("doc_id", "text"), one, f"doc_id {kind}, lang_pred string, score double, rejected boolean")
+    out = docs.select("doc_id", "text", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("near"), F.lit(None).cast("double").alias("least"))
+    for block in model.blocks():
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+
+        def one(batch: pa.RecordBatch, sent=sent) -> dict:
+            had = zip(*(batch.column(c).to_pylist() for c in ("lang", "near", "least")), strict=True)
+            best = []
+            for text, old in zip(batch.column("text").to_pylist(), had, strict=True):
+                new = sent.value.nearest(text)
+                best.append(new if new and (old[1] is None or new[1] > old[1]) else old)
+            return {"doc_id": batch.column("doc_id"), "text": batch.column("text")} | {c: [b[i] for b in best] for i, c in enumerate(("lang", "near", "least"))}
+
+        out = map_arrow(out, one, f"doc_id {kind}, text string, lang string, near double, least double")
+    near, none = F.col("near"), F.col("lang").isNull()
+    far = F.coalesce(near < F.col("least"), F.lit(True))
+    named = F.when(none | far, UNKNOWN).otherwise(F.col("lang")) if reject else F.coalesce("lang", F.lit(UNKNOWN))
+    return out.select("doc_id", named.alias("lang_pred"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(near, F.lit(0.0)))).alias("score"), far.alias("rejected"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
