@@ -36,8 +36,8 @@ def test_decontaminate_brute_force(spark):
     texts = odd() + ["x " + item.upper().replace(" ", ", ") + " y", " ".join(item.split()[3:13]), " ".join(item.split()[3:12]), "Short one here", "short-one"]
     bench = spark.createDataFrame([(1, item), (10, item), (2, "short one"), (3, None), (4, "--"), (5, base_item := "q r s")], "item_id long, text string")
     docs = documents(spark, texts)
-    for block in (1 << 20, 1):
-        got = {r.doc_id: r for r in decontaminate.report(decontaminate.scan(docs, bench, block_bytes=block)).collect()}
+    for block, most in ((1 << 20, 4), (1, 1000), (1, 0)):  # one block, many, and the join
+        got = {r.doc_id: r for r in decontaminate.report(decontaminate.scan(docs, bench, block_bytes=block, max_blocks=most, bits=1 << 16)).collect()}
         for i, t in enumerate(texts):
             words = decontaminate.words_of(t)
             hit, items = set(), set()
@@ -52,9 +52,10 @@ def test_decontaminate_brute_force(spark):
             r = got[i]
             assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (len(words), len(hit), len(items), bool(hit))
             assert r.items_sha256 == hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
-    kept = decontaminate.decontaminate(docs, bench)
-    assert kept.columns == docs.columns
-    assert {r.doc_id for r in kept.collect()} == {i for i in got if not got[i].contaminated}
+    for most in (4, 0):
+        kept = decontaminate.decontaminate(docs, bench, max_blocks=most, bits=1 << 16)
+        assert kept.columns == docs.columns
+        assert {r.doc_id for r in kept.collect()} == {i for i in got if not got[i].contaminated}
     spans = {r.doc_id: r.text for r in decontaminate.decontaminate(docs, bench, remove="spans").collect()}
     assert spans[len(texts) - 2].split() == ["here"]
     assert spans[0] is None
@@ -69,8 +70,8 @@ def test_spans_do_not_depend_on_blocks(spark):
     texts = ["a " + " ".join(w[:18]) + " b", " ".join([*w[20:25], *w[:12], *w[25:30]]), None, "", "clean"]
     for order in (items, items[::-1]):
         bench = spark.createDataFrame(order, "item_id long, text string").coalesce(1)
-        for block in (1 << 20, 1):
-            got = decontaminate.decontaminate(documents(spark, texts), bench, remove="spans", block_bytes=block)
+        for block, most in ((1 << 20, 4), (1, 1000), (1, 0)):
+            got = decontaminate.decontaminate(documents(spark, texts), bench, remove="spans", block_bytes=block, max_blocks=most, bits=1 << 16)
             words = {r.doc_id: r.text and r.text.split() for r in got.collect()}
             assert words == {0: ["a", "b"], 1: w[20:30], 2: None, 3: "", 4: ["clean"]}
 
