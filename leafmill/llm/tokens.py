@@ -4,11 +4,14 @@ A byte-level BPE splits a text into pieces and merges inside each piece.  For on
 program walks its prefixes: the last token of a prefix is the longest vocabulary token that ends
 there and follows the last token of the rest without a merge across the border.  The count of
 a prefix is then the count of the rest plus one, so all prefixes of the piece are known at once.
-A text's counts are sums over its pieces, and a prefix or budget question is a lookup.
+A text's counts are sums over its pieces.  ``stored`` keeps the exact count of every prefix as a column, from which
+``counts_at`` and ``truncate`` answer without any encoding.
 
 The vocabulary file is read by each Python worker from a path that is a parameter.
-Defined cases: a null or empty text has 0 tokens; the special string counts as one token; repeated
-rows are each counted; further columns are ignored.
+Defined cases: a null or empty text has 0 tokens; the special string counts as one token; a text of any length is
+counted whole, and what a worker remembers is bounded in bytes; of prefixes with equal counts a budget takes the
+longest; repeated rows and rows with a null id are each counted; an empty table gives no rows; further columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -19,16 +22,19 @@ from bisect import bisect_right
 from collections.abc import Sequence
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import map_arrow, table, text_or_empty
 
 LIMIT = 512
 #: The byte-level split: contractions, letters, numbers, others with a blank before them, white space.
 PIECE = r"'(?:[stmd]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces that a worker remembers, at most.
-REMEMBER = 300_000
+#: Pieces that a worker remembers in each of two generations, at most, and the longest of them in characters:
+#: about 150 bytes each as a rule, and never more than REMEMBER * LONGEST * 2 bytes.
+REMEMBER, LONGEST = 150_000, 256
 #: Prefix lengths at which the program's state is kept for other pieces that begin alike.
 STEMS = (9, 6)
 
@@ -73,6 +79,7 @@ class PrefixCounter:
             self.reach[t[-2:]] = max(self.reach.get(t[-2:], 1), len(t))
         self.split_specials = regex.compile("(" + "|".join(map(regex.escape, special)) + ")").split if special else lambda t: [t]
         self.blank = frozenset(regex.findall(r"\s", "".join(map(chr, range(0x3001)))))
+        self.blanks = regex.compile(r"\s+").finditer
         self.any_piece = regex.compile(PIECE).findall
         # the same split for texts of Latin-1 characters, with the classes written out: twice as fast
         latin = "".join(map(chr, range(256)))
@@ -125,9 +132,10 @@ class PrefixCounter:
         if got is None:
             counts = self.program(piece.encode("utf-8", "surrogatepass"))
             got = bytes(counts) if max(counts) < 256 else tuple(counts)
-        if len(self.known) >= REMEMBER:
-            self.known, self.older = {}, self.known
-        self.known[piece] = got
+        if len(piece) <= LONGEST:
+            if len(self.known) >= REMEMBER:
+                self.known, self.older = {}, self.known
+            self.known[piece] = got
         return got
 
     def program(self, raw: bytes) -> list[int]:
@@ -166,6 +174,29 @@ class PrefixCounter:
             return sum([(known(p) or piece(p))[-1] for p in self.pieces_of(text)])
         return sum(c[-1] for _, c in self.pieces(text))
 
+    def prefixes(self, text: str) -> np.ndarray:
+        """The count of text[:k] as a text of its own, for every k from 0 on."""
+        out = np.zeros(len(text) + 1, np.int64)
+        if any(s in text for s in self.specials):
+            stored = PrefixTable(self, text)
+            return np.array([stored.at(k) for k in range(len(text) + 1)])
+        at = before = 0
+        for p in self.pieces_of(text):
+            inner = self.piece(p)
+            if p.isascii():
+                out[at + 1 : at + len(p) + 1] = np.frombuffer(inner, np.uint8)[1:] if isinstance(inner, bytes) else inner[1:]
+            else:
+                out[at + 1 : at + len(p) + 1] = [inner[n] for n in accumulate(len(c.encode("utf-8", "surrogatepass")) for c in p)]
+            out[at + 1 : at + len(p) + 1] += before
+            at += len(p)
+            before += inner[-1]
+        # white space at the end of a prefix is one piece, wherever the whole text splits it
+        for m in self.blanks(text):
+            a, b = m.span()
+            run = self.piece(m.group())
+            out[a + 1 : b + 1] = out[a] + np.array([run[n] for n in accumulate(len(c.encode()) for c in m.group())])
+        return out
+
 
 class PrefixTable:
     """A text's stored counts: where its pieces start and the tokens before each of them."""
@@ -201,10 +232,6 @@ class PrefixTable:
         n = rest if name in self.counter.specials else len(name[:rest].encode("utf-8", "surrogatepass"))
         return self.before[i] + self.inner[i][n]
 
-    def longest(self, budget: int) -> int:
-        """Characters of the longest prefix that ends with a piece and has at most budget tokens."""
-        return self.starts[max(0, bisect_right(self.before, budget) - 1)]
-
 
 _COUNTERS: dict[str, PrefixCounter] = {}
 
@@ -229,16 +256,36 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
     return map_arrow(docs.select("doc_id", text_or_empty().alias("text")), one, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
 
 
-def truncate(docs: DataFrame, budgets: list[int], path: str | None = None) -> DataFrame:
-    """doc_id, and for each budget the characters of the longest prefix of whole pieces within it; one encoding for all."""
+def stored(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, n_chars, n_tokens, counts: the count of each prefix as 4 bytes, highest first, from the empty one on."""
     path = path or default_path()
     kind = dict(docs.dtypes)["doc_id"].replace("bigint", "long")
 
     def one(batch: pa.RecordBatch) -> dict:
-        tables = [PrefixTable(counter(path), t) for t in batch.column("text").to_pylist()]
-        return {"doc_id": batch.column("doc_id"), "budgets": [budgets] * len(tables), "chars": [[t.longest(b) for b in budgets] for t in tables]}
+        found = [counter(path).prefixes(t) for t in batch.column("text").to_pylist()]
+        return {"doc_id": batch.column("doc_id"), "n_chars": [len(c) - 1 for c in found], "n_tokens": [int(c[-1]) for c in found], "counts": [c.astype(">u4").tobytes() for c in found]}
+
+    return map_arrow(docs.select("doc_id", text_or_empty().alias("text")), one, f"doc_id {kind}, n_chars long, n_tokens long, counts binary")
+
+
+def counts_at(table: DataFrame, chars: Column) -> DataFrame:
+    """doc_id, chars, n_tokens: the exact count of a prefix of so many characters (within the text), from ``stored``."""
+    at = F.greatest(F.lit(0), F.least(chars.cast("long"), F.col("n_chars"))).alias("chars")
+    n = F.conv(F.hex(F.expr("substring(counts, cast(4 * chars + 1 as int), 4)")), 16, 10).cast("long")
+    return table.select("doc_id", at, "counts").select("doc_id", "chars", n.alias("n_tokens"))
+
+
+def truncate(table: DataFrame, budgets: list[int]) -> DataFrame:
+    """doc_id, and for each budget the characters of the longest prefix within it, from ``stored``."""
+    kind = dict(table.dtypes)["doc_id"].replace("bigint", "long")
+
+    def one(batch: pa.RecordBatch) -> dict:
+        found = [np.frombuffer(c, ">u4") for c in batch.column("counts").to_pylist()]
+        # the empty prefix has none, so there is always one
+        longest = [[int(np.flatnonzero(c <= max(0, b))[-1]) for b in budgets] for c in found]
+        return {"doc_id": batch.column("doc_id"), "budgets": [budgets] * len(found), "chars": longest}
 
-    return map_arrow(docs.select("doc_id", text_or_empty().alias("text")), one, f"doc_id {kind}, budgets array<long>, chars array<long>")
+    return map_arrow(table.select("doc_id", "counts"), one, f"doc_id {kind}, budgets array<long>, chars array<long>")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
