@@ -8,9 +8,11 @@ A shard that is added beyond the planned tree opens a region of its own, whose o
 the documents that move go to it and to no other shard.
 
 Defined cases: a null id is placed as the empty string; equal ids share a shard; a null text has
-size 1 and the crc of no bytes; rows that agree in id, crc and size are alike, so their order among
-their slots carries no meaning; further columns are ignored by ``assign`` and kept by ``place``, but for
-shard and slot, which it replaces.
+size 1 and the crc of no bytes; a text of any length is taken whole; rows that agree in id, crc and size are alike, so
+their order among their slots carries no meaning: ``assign`` numbers them as one row with a count, ``place``, which has to
+keep the other columns of each, in one task; equal draws, which 52 bits all but rule out, go to the first child; an
+empty table gives no rows; further columns, whatever their names, are ignored by ``assign`` and kept by ``place``, but
+for shard and slot, which it replaces.
 """
 
 from __future__ import annotations
@@ -90,26 +92,30 @@ def assign(docs: DataFrame, n_shards: int = SHARDS, base: int = SHARDS) -> DataF
         shard_of(key, planned_tree(n_shards + 1, base)).alias("grown_shard"),
         key.alias("key"),
     )
-    return with_slots(placed, n_shards).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    # rows that are alike are one row with their count until they have their slots
+    alike = placed.groupBy(*placed.columns).agg(F.count(F.lit(1)).alias("n"))
+    slots = with_slots(alike, n_shards, F.col("n")).withColumn("slot", F.explode(F.sequence(F.col("slot"), F.col("slot") + F.col("n") - 1)))
+    return slots.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-def with_slots(placed: DataFrame, n_shards: int) -> DataFrame:
-    """Number the rows of each shard from 0 without bringing a shard into one task.
+def with_slots(placed: DataFrame, n_shards: int, n: Column | None = None) -> DataFrame:
+    """Number the rows of each shard from 0 without bringing a shard into one task; a row takes n slots.
 
     A shard's rows fall into blocks by a hash of the id; blocks are numbered on their own and start
     where the counts of the blocks before them end.
     """
-    rows = placed.count()
+    n = F.lit(1) if n is None else n
+    rows = placed.agg(F.sum(n)).first()[0] or 0
     blocks = max(1, min(MAX_BLOCKS // n_shards, rows // (BLOCK_ROWS * n_shards)))
     placed = placed.withColumn("block", F.pmod(F.xxhash64(F.lit("slot"), F.col("key"), F.col("text_crc32")), F.lit(blocks)).cast("int"))
     # at most MAX_BLOCKS rows, whatever the input (one a shard where there are more shards)
-    counts = placed.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n"))
+    counts = placed.groupBy("shard", "block").agg(F.sum(n).alias("n"))
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    within = Window.partitionBy("shard", "block").orderBy("key", "doc_id", "text_crc32", "size")
+    within = Window.partitionBy("shard", "block").orderBy("key", "doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
         placed.join(F.broadcast(starts), ["shard", "block"])
-        .withColumn("slot", (F.row_number().over(within) - 1 + F.col("start")).cast("long"))
+        .withColumn("slot", (F.sum(n).over(within) - n + F.col("start")).cast("long"))
     )
 
 
