@@ -149,7 +149,7 @@ def learn(rows: DataFrame, k: int = CENTROIDS, sample: int = SAMPLE) -> Model:
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         texts = [t for t in pdf["text"] if has_letter(t)]
         if not texts:
-            return pd.DataFrame({"lang": [], "least": [], "centre": []})
+            return pd.DataFrame({"lang": pd.Series([], dtype=object), "least": pd.Series([], dtype=float), "centre": pd.Series([], dtype=object)})
         centres, least = cluster(np.array([weighted(t, idf) for t in sorted(texts)]), k)
         return pd.DataFrame({"lang": key[0], "least": least, "centre": [c.astype("<f4").tobytes() for c in centres]})
 
