@@ -6,9 +6,10 @@ images into strips, resizes each to a square, and stores it as an NPY file's byt
 difference hash.  Everything is a map over rows: no shuffle, a batch of rows in memory at a time.
 
 ``payload_images`` stores a text's bytes as the samples of an image, which ``query`` reads back.
-Defined cases: a null or empty text is 576 padding bytes; equal texts give equal images; repeated
-rows are each kept; an image that cannot be decoded has null tiles and hash; further columns are
-ignored.
+Defined cases: a null or empty text is 576 padding bytes; a text of any length is one image of as many rows as it
+takes; equal texts give equal images; repeated rows and rows with a null id are each kept; an image that cannot be
+decoded has null tiles and hash; areas that are equally dark count as not darker; an empty table gives no rows;
+further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

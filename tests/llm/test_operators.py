@@ -3,6 +3,7 @@
 import hashlib
 import io
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -100,6 +101,37 @@ def test_shards(spark):
     assert placed.columns == ["doc_id", "text", "shard", "slot"] and placed.count() == 4000
 
 
+def test_shards_by_brute_force(spark):
+    import math
+
+    import xxhash
+
+    def descend(key, node, path=""):
+        if node.shard >= 0:
+            return node.shard
+        draws = []
+        for kid in node.children:
+            h = 42
+            for part in (path, kid.name, key):
+                h = xxhash.xxh64_intdigest(part.encode(), h)
+            draws.append(-math.log(((h >> 12) + 0.5) / 2**52) / kid.weight)
+        best = node.children[draws.index(min(draws))]
+        return descend(key, best, f"{path}/{best.name}")
+
+    trees = shards.planned_tree(16), shards.planned_tree(17)
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("text").alias("text"), F.lit("n").alias("n"), F.lit(1).alias("block"))
+    docs = docs.unionByName(spark.createDataFrame([(None, None, "n", 1)] * 50 + [(None, "", "n", 1), (7, "text", "n", 1)], "doc_id long, text string, n string, block int"))
+    rows = shards.assign(docs).collect()
+    for r in rows:
+        key = "" if r.doc_id is None else str(r.doc_id)
+        assert (r.shard, r.grown_shard) == (descend(key, trees[0]), descend(key, trees[1]))
+    for s in range(16):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+    assert len(rows) == 352 and sum(r.doc_id is None and r.size == 1 for r in rows) == 51
+    placed = shards.place(docs).collect()
+    assert sorted((r.shard, r.slot) for r in placed) == sorted((r.shard, r.slot) for r in rows)
+
+
 def test_place_keeps_columns(spark):
     names = ["key", "block", "start", "text_crc32", "size", "doc"]
     docs = spark.range(50).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), *(F.concat(F.lit(c), F.col("id")).alias(c) for c in names), F.lit("old").alias("Shard"))
@@ -179,6 +211,106 @@ def test_media_round_trip(spark):
     assert media.digest(media.payload_images(documents(spark, ["a"]).limit(0))).count() == 0
 
 
+def test_media_features_by_brute_force():
+    rng = np.random.RandomState(1)
+    for shape in ((24, 24), (37, 19), (3, 5), (1, 1)):
+        grey = rng.randint(0, 256, shape).astype(np.uint8)
+        h, w = shape
+
+        def mean(top, bottom, left, right, grey=grey):
+            """Mean over an area, each sample by its share of it."""
+            total = area = 0.0
+            for y in range(int(top), min(int(np.ceil(bottom)), grey.shape[0])):
+                for x in range(int(left), min(int(np.ceil(right)), grey.shape[1])):
+                    part = max(0.0, min(y + 1, bottom) - max(y, top)) * max(0.0, min(x + 1, right) - max(x, left))
+                    total, area = total + part * float(grey[y, x]), area + part
+            return total / area
+
+        areas = [[round(mean(i * h / 8, (i + 1) * h / 8, j * w / 9, (j + 1) * w / 9) * 256) for j in range(9)] for i in range(8)]
+        bits = "".join(str(int(areas[i][j] < areas[i][j + 1])) for i in range(8) for j in range(8))
+        far = int(bits, 2) ^ media.difference_hash(grey)
+        assert far.bit_count() <= (2 if h * w < 100 else 0)  # halves may round either way in tiny images
+        tile = np.load(io.BytesIO(media.strips(media.encode(grey, "pgm"), side=4)[0][0]))
+        assert np.allclose(tile, [[mean(i * h / 4, (i + 1) * h / 4, j * w / 4, (j + 1) * w / 4) for j in range(4)] for i in range(4)], atol=0.51)
+
+
+def test_toxicity_scores_by_brute_force(spark):
+    import math
+
+    terms = [b"vrak*", b"foo"]
+    voters = toxicity.Voters(terms)
+    weights = np.linspace(-1, 1, voters.size + 1)
+    texts = [None, "", "VRAKUS vrak vraken, foo!! idiot", "You all are scum. STOP THAT NOW!!", "f*** i-d-i-o-t x", "foo " * 50_000, "clean"]
+    got = {r.doc_id: r.score for r in toxicity.score(documents(spark, texts), toxicity.Model(voters, weights)).collect()}
+    for i, t in enumerate(texts):
+        t = t or ""
+        low = "".join(c.lower() if c.isascii() else c for c in t)
+        words = re.findall("[0-9a-z\x80-\U0010ffff]+", low)
+        x = [sum(w.startswith("vrak") and len(w) > 4 for w in words), words.count("foo")]
+        x += [len(set(lexicon.split()) & set(words)) for lexicon in toxicity.LEXICONS.values()]
+        x += [int(bool(re.search(p, t))) for p in toxicity.PATTERNS.values()]
+        n = (x[0] > 0) + (x[1] > 0)
+        x += [int(n == 0), int(n > 1)]
+        z = sum(w * math.log1p(v) for w, v in zip(weights, x, strict=False)) + weights[-1]
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-6)
+
+
+def test_language_by_brute_force(spark, monkeypatch):
+    import math
+
+    rng = random.Random(6)
+    langs = [f"l{i}" for i in range(6)]
+    words = {x: ["".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(6)] for x in langs}
+    texts = [" ".join(rng.choice(words[langs[i % 6]]) for _ in range(12)) for i in range(240)] + [None, "", "  ", "abc"]
+    docs = documents(spark, texts, [langs[i % 6] for i in range(244)])
+    model = langid.learn(langid.learnable(docs, F.lit(False)))
+    centroids = [(r.lang, np.frombuffer(r.centre, "<f4"), r.least) for r in model.table.orderBy("lang", "centre").collect()]
+    whole = sorted(map(tuple, langid.predict(docs, model, reject=False).collect()))
+    monkeypatch.setattr(langid, "BLOCK", 4)  # several blocks, and counts that are not broadcast
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    assert sorted(r[:2] for r in map(tuple, langid.predict(docs, model, reject=False).collect())) == [r[:2] for r in whole]
+    assert langid.sampled(docs, 10**9).count() == 244
+    n = 243
+    df = Counter()
+    for t in texts:
+        if t is not None:
+            df.update(np.flatnonzero(langid.grams(t)).tolist())
+    for i, t in enumerate(texts[:60]):
+        v = {b: float(x) * (math.log((1 + n) / (1 + df[b])) + 0.1) for b, x in enumerate(langid.grams(t)) if x}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        near = [(sum(x * float(c[b]) for b, x in v.items()) / norm, lang) for lang, c, _ in centroids]
+        best = max(near)
+        assert whole[i][2] == pytest.approx(best[0], abs=1e-4) and (whole[i][1] == best[1] or sorted(near)[-2][0] > best[0] - 1e-4)
+
+
+CLASH = ["row", "key", "hit", "items", "score", "topic", "p", "w", "near", "least", "media", "n_bytes", "marks", "shard", "slot", "node", "bands", "start", "end", "name", "body", "n", "block", "size", "counts", "doc", "y", "tokens", "__row", "rejected"]
+
+
+def test_odd_tables(spark):
+    """Null ids, repeated rows, null and empty texts and clashing columns in all operators on documents."""
+    text = "The quick brown fox jumps over the lazy dog and runs away from here again. " * 8
+    rows = [(None, text, "en", "s"), (None, text, "en", "s"), (1, text, "en", "s"), (1, text, "en", "s"), (2, None, None, None), (None, None, None, None), (3, "", "", ""), (3, "other words", "de", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").select("*", *(F.lit("clash").alias(c) for c in CLASH))
+    bench = spark.createDataFrame([(1, " ".join(text.split()[:12]), "x"), (None, "quick brown", "x")], "item_id long, text string, words string")
+    labels = spark.createDataFrame([(1, 1, 0, "x"), (1, 1, 1, "x"), (None, 1, 1, "x"), (3, 0, 0, "x")], "doc_id long, quality int, toxic int, text string")
+    tables = {
+        "op1": lambda d: decontaminate.report(decontaminate.scan(d, bench)), "op1 joined": lambda d: decontaminate.report(decontaminate.scan(d, bench, max_blocks=0, bits=1 << 12)),
+        "op2": shards.assign, "op2 placed": shards.place, "op4": lambda d: toxicity.score(d, toxicity.learn(d, labels, F.lit(True))),
+        "op5": lambda d: media.digest(media.payload_images(d)), "op6": repeats.report, "op6 cut": repeats.deduplicate, "op7": tokens.count_tokens,
+        "op8": lambda d: langid.predict(d, langid.learn(langid.learnable(d, F.lit(False)))), "op9": mixing.mixed, "op10": near.classes,
+    }
+    of_rows = {"slot", "kept", "row", "sampled", "shard", "grown_shard", "text_crc32", "component_id", "held_out"}
+    for name, run in tables.items():
+        got = [r.asDict() for r in run(docs).collect()]
+        assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows), name
+        alike = Counter(str({k: v for k, v in r.items() if k not in of_rows | set(CLASH) | {"doc_id"}}) for r in got)
+        if name not in ("op2", "op2 placed", "op9"):
+            assert max(alike.values()) >= 4, name  # the four rows of one text have equal values
+        assert run(docs.limit(0)).count() == 0, name
+    assert near.one_of_each(docs).columns == docs.columns == toxicity.keep_clean(docs, toxicity.learn(docs, labels, F.lit(True))).columns == mixing.mix(docs).columns == decontaminate.decontaminate(docs, bench).columns
+    assert {r.component_id for r in near.classes(docs).where("n_shingles > 0 and doc_id is null").collect()} == {1}
+
+
 def brute_repeats(texts, length):
     raws = [(t or "").encode() for t in texts]
     seen = Counter(r[i : i + length] for r in raws for i in range(len(r) - length + 1))
@@ -278,10 +410,18 @@ def test_tokens_equal_the_library(spark):
     for t in texts[18:120] + texts[-3:]:
         stored = tokens.PrefixTable(counter, t)
         assert [stored.at(k) for k in range(len(t) + 1)] == [count(t[:k]) for k in range(len(t) + 1)]
-    cut = tokens.truncate(documents(spark, texts[5:8]), [0, 10, 10**6]).collect()
-    for r in cut:
-        t = texts[5 + r.doc_id]
-        assert r.chars[0] == 0 and r.chars[2] == len(t) and count(t[: r.chars[1]]) <= 10
+        assert counter.prefixes(t).tolist() == [count(t[:k]) for k in range(len(t) + 1)]
+    docs = documents(spark, [*texts[5:8], None, "", "x" * 3000]).withColumn("counts", F.lit("clash"))
+    table = tokens.stored(docs.unionByName(docs.where("doc_id = 0").withColumn("doc_id", F.lit(None).cast("long"))))
+    assert table.count() == 7 and tokens.stored(docs.limit(0)).count() == 0 == tokens.count_tokens(docs.limit(0)).count()
+    for r in tokens.truncate(table.where("doc_id is not null"), [0, 10, 10**6]).collect():
+        t = [*texts[5:8], "", "", "x" * 3000][r.doc_id]
+        best = max(k for k in range(len(t) + 1) if k == 0 or count(t[:k]) <= 10) if len(t) < 1200 else None
+        assert r.chars[0] == 0 and r.chars[2] == len(t) and (best is None or r.chars[1] == best)
+    at = {r.doc_id: r.n_tokens for r in tokens.counts_at(table, F.lit(100)).collect()}
+    assert at[0] == count(texts[5][:100]) and at[3] == 0
+    twice = tokens.count_tokens(docs.unionByName(docs)).collect()
+    assert len(twice) == 12 and len({(r.doc_id, r.n_tokens) for r in twice}) == 6
 
 
 def test_language(spark):

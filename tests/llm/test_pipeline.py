@@ -41,3 +41,17 @@ def test_pipeline(spark, tmp_path):
     assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "shard", "slot"]
     assert {r.doc_id for r in corpus_pipeline.run(spark, d).collect()} == seen[4]
     assert near and toxicity
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    d = str(tmp_path / "sf")
+    ddl = {"documents": "doc_id long, text string, lang string, source string, n_chars long", "benchmark": "item_id long, text string", "labels": "doc_id long, quality int, toxic int"}
+    for rows in (0, 1):
+        at = f"{d}{rows}"
+        for name, columns in ddl.items():
+            some = [(1, "some words of a text", "en", "s", 20)] if rows and name == "documents" else []
+            spark.createDataFrame(some, columns).write.parquet(f"{at}/{name}.parquet")
+        out = corpus_pipeline.run(spark, at)
+        assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "shard", "slot"] and out.count() <= rows
