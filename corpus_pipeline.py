@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns what it keeps with the columns of documents; the
 last adds each document's place.
+
+Defined cases: a null or empty text is clean, has no near-duplicates and no passages, and is kept or dropped by mixing
+with its cell; of repeated rows one stays; rows with a null id go through every stage; texts of any length are treated
+whole; an empty table of documents gives no rows, an empty benchmark drops nothing, without labels no document is
+toxic; further columns, whatever their names, pass through, but for shard and slot.
 """
 
 from __future__ import annotations
