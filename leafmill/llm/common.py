@@ -54,6 +54,24 @@ def dropped(*frames: DataFrame) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Keys that are broadcast at most (some 30 bytes each), and rows of one key that may meet in one task in any case.
+BROADCAST_KEYS, SPLIT = 1 << 19, 256
+
+
+def looked_up(rows: DataFrame, by: DataFrame, key: str, value: str, spread: str, total: int) -> DataFrame:
+    """rows with the value of their key from ``by`` (key, value, n rows of that key of total), null where it has none.
+
+    Keys with more than SPLIT rows and than a BROADCAST_KEYS-th of all are fewer than BROADCAST_KEYS: they are
+    broadcast, and their rows are spread by another column, so that no task gets all rows of a frequent key.
+    """
+    often = F.col("n") > max(SPLIT, total // BROADCAST_KEYS)
+    first = F.broadcast(by.where(often).select(key, F.col(value).alias("__often")))
+    rest = by.where(~often).select(key, F.col(value).alias("__rest"), F.lit(-1).alias("__part"))
+    part = F.when(F.col("__often").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64(spread), F.lit(1 << 16)).cast("int"))
+    met = rows.join(first, key, "left").withColumn("__part", part).join(rest, [key, "__part"], "left")
+    return met.withColumn(value, F.coalesce("__often", "__rest")).drop("__part", "__often", "__rest")
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches by rows and bytes; stricter settings of the session stay."""
     for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, map_arrow, row_key, table, text_or_empty, written
+from .common import BROADCAST_KEYS, SPLIT, dropped, looked_up, map_arrow, row_key, table, text_or_empty, written
 from .graph import components
 from .rolling import PrefixHash, mixed
 
@@ -39,10 +39,6 @@ WIDTH, PERCENT = 5, 75
 BANDS, ROWS = 40, 5
 #: Two values from each permutation.
 PERMUTATIONS = BANDS * ROWS // 2
-#: Keys (of dropped rows, of frequent shingles) that are broadcast, 24 bytes each at most; more are joined.
-BROADCAST_KEYS = 1 << 19
-#: Rows of one shingle, or pairs of one centre, that go to one task together.
-SPLIT = 256
 
 _rng = np.random.RandomState(715517)
 _MULTIPLY = _rng.randint(0, 1 << 62, PERMUTATIONS, np.uint64) * np.uint64(4) + np.uint64(1)
@@ -138,17 +134,6 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Dat
     return map_arrow(pairs.join(right, "b").join(left, ["a", "part"]).select("a", "b", "ta", "tb"), one, "a binary, b binary")
 
 
-def _counted(items: DataFrame) -> DataFrame:
-    """items with c, how many of them have their h; the few frequent ones do not meet in one task."""
-    rare = written(items.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "near-counts")
-    often = rare.where(F.col("c") > SPLIT)
-    if often.count() > BROADCAST_KEYS:
-        return items.join(rare, "h", "left").na.fill(1, ["c"])
-    often = F.broadcast(often)
-    seldom = items.join(often, "h", "left_anti").join(rare.where(F.col("c") <= SPLIT), "h", "left").na.fill(1, ["c"])
-    return seldom.unionByName(items.join(often, "h"))
-
-
 def possible(texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b, n) of nodes (node, text, root) of different roots that can be similar enough.
 
@@ -163,7 +148,9 @@ def possible(texts: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     items = map_arrow(texts.select("node", "root", "text"), one, "node binary, root binary, h array<long>").select("node", "root", F.explode("h").alias("h"))
     items = written(items, "near-items")
-    ordered = _counted(items).groupBy("node", "root").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("s"))
+    rare = items.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "n", F.col("n").alias("c"))
+    counted = looked_up(items, rare, "h", "c", "node", items.count()).na.fill(1, ["c"])
+    ordered = counted.groupBy("node", "root").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("s"))
     n = F.size("s")
     most = n - F.ceil(n * percent / 100).cast("int") + 1
     heads = ordered.select("node", "root", n.alias("n"), F.posexplode(F.slice("s", F.lit(1), most)).alias("i", "x")).where("x.c > 1")
@@ -197,7 +184,7 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     tried = written(tried, "near-tried")
 
     # the texts of the nodes that share any bucket
-    wanted = members.select("node").distinct().join(nodes.select("node", "row"), "node")
+    wanted = _sized(members.select("node").distinct().join(nodes.select("node", "row"), "node"))
     texts = _keyed(docs).select("row", "text").join(wanted, "row").select("node", "text").dropDuplicates(["node"])
     texts = written(texts, "near-texts")
     links = written(confirmed(tried, texts, percent), "near-links")
