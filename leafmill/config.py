@@ -24,12 +24,17 @@ CALENDAR_WORDS = ["semester", "registration", "classes begin", "classes end", "l
 # Codes that an extraction must have found.
 EXPECTED_CODES = ["MTH 103", "MTH 221", "MTH 225", "MTH 243", "CMP 220", "COE 486"]
 
+# Sizes of chunks and contexts, depths of searches, constants of the two rankings.
 CHUNK_CHARS, CHUNK_OVERLAP, CHUNK_ADVANCE = 1800, 250, 300
 DEPTH, TOP_N, RRF_K = 20, 8, 60
 RERANK_DEPTH, RERANK_KEEP = 15, 5
 CONTEXT_CHARS, HISTORY_TURNS = 9000, 3
 DESCRIPTION_CHARS = 5000
 BM25_K1, BM25_B, BM25_EPSILON = 1.5, 0.75, 0.25
+EMBED_BATCH, EXCERPT_CHARS, REPORT_ROWS = 32, 800, 15
+# What an asymmetric embedding model wants before a question; the title of calendar records.
+QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
+CALENDAR_TITLE = "Academic Calendar"
 
 
 @dataclass(frozen=True)
@@ -39,6 +44,7 @@ class Settings:
     top_n: int = TOP_N
     temperature: float = 0.1
     context_tokens: int = 4096
+    memory: bool = True
 
     def __post_init__(self) -> None:
         if not 3 <= self.top_n <= 15:

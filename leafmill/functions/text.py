@@ -54,6 +54,7 @@ def paragraphs(c: Column) -> Column:
 def tokens(c: Column) -> Column:
     """Words and numbers in order, then each course-like code fused into one more token."""
     low = F.lower(F.coalesce(c, F.lit("")))
+    # fixed values: the two token patterns
     words = F.regexp_extract_all(low, F.lit(r"[a-z]+|\d+"), F.lit(0))
     codes = F.regexp_extract_all(low, F.lit(r"\b[a-z]{2,4}[\s-]?\d{3}[a-z]{0,2}\b"), F.lit(0))
     return F.concat(words, F.transform(codes, lambda x: F.regexp_replace(x, r"[\s-]", "")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -99,10 +99,34 @@ def _series(generator: Callable[[pd.Series], pd.Series]):
     return run
 
 
+def guarded(generator: Callable[[pd.Series], pd.Series]) -> Callable[[pd.Series], pd.Series]:
+    """The generator prompt by prompt, with an error as the answer to a prompt it fails on."""
+
+    def one(prompt: str) -> str:
+        try:
+            return generator(pd.Series([prompt])).iloc[0]
+        except Exception as e:  # noqa: BLE001  the user's own code
+            return f"Something went wrong generating an answer: {e}"
+
+    return lambda prompts: prompts.map(one)
+
+
+def word_by_word(context: str) -> Iterator[str]:
+    """The default generator of a stream: its answer in pieces, made as they are taken."""
+    for word in first_sentences(pd.Series([context])).iloc[0].split(" "):
+        yield word + " "
+
+
 def transcripts(turns: DataFrame) -> DataFrame:
-    """conv_id, transcript, n_messages: the messages in order with who said them."""
+    """conv_id, transcript, n_messages: the messages in order with who said them.
+
+    Where turns have sources (label, page), they follow the answer, one a line.
+    """
     who = F.when(F.col("role") == "user", "**You**").otherwise("**Assistant**")
     line = F.concat(who, F.lit(": "), F.coalesce("text", F.lit("")))
+    if "sources" in turns.columns:
+        listed = F.transform("sources", lambda x: F.concat(F.lit("\n  - "), x["label"], F.lit(" (p. "), F.coalesce(x["page"].cast("string"), F.lit("None")), F.lit(")")))
+        line = F.concat(line, F.when(F.col("role") == "assistant", F.coalesce(F.array_join(listed, ""), F.lit(""))).otherwise(""))
     rows = turns.withColumn("line", line)
     return rows.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), "\n\n").alias("transcript"), F.count(F.lit(1)).alias("n_messages"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..plans.stages import materialised
 
 
 def first_wins(rows: DataFrame, keys: list[Column], order: list[str | Column]) -> DataFrame:
@@ -28,33 +29,38 @@ def dedup_records(rows: DataFrame) -> DataFrame:
     return first_wins(rows, [F.col("type"), F.col("page"), F.lower(strip(F.col("text")))], ["page", "item", "type", F.xxhash64("text")])
 
 
-def numbered(rows: DataFrame, order: str, ties: list[str], name: str = "position", block: int = 4096) -> DataFrame:
-    """rows with their 0-based position by an integer column and ties.
+def numbered(rows: DataFrame, order: str, ties: list[str], name: str = "position", block: int | None = None) -> DataFrame:
+    """rows with their 0-based position by a column and ties.
 
-    Blocks of ids are numbered on their own and shifted by the counts before them: no task sees all rows.
+    Rows are dealt by ranges of their order, sorted within them and numbered there; a range starts where the
+    counts of those before it end.  So no task sees all rows, whatever the values are.  The ranges are written, as
+    their bounds come from a sample.  block: rows that a range aims at, if not Spark's own number of partitions.
     """
-    blocked = rows.withColumn("__b", F.floor(F.col(order) / block))
-    counts = blocked.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
-    counts = counts.withColumn("__g", F.floor(F.col("__b") / block))
-    groups = counts.groupBy("__g").agg(F.sum("__n").alias("__m"))
-    ahead = Window.orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)  # one row for block * block ids
-    groups = groups.select("__g", F.coalesce(F.sum("__m").over(ahead), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy("__g").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.join(groups, "__g").select("__b", (F.col("__before") + F.coalesce(F.sum("__n").over(inside), F.lit(0))).alias("__s"))
-    within = Window.partitionBy("__b").orderBy(order, *ties)
-    return blocked.join(starts, "__b").withColumn(name, (F.row_number().over(within) - 1 + F.col("__s")).cast("long")).drop("__b", "__s")
+    by = [order, *ties]
+    ranged = rows.repartitionByRange(max(1, min(1024, -(-rows.count() // block))), *by) if block else rows.repartitionByRange(*by)
+    ranged = materialised(ranged.sortWithinPartitions(*by).withColumn("__m", F.monotonically_increasing_id()))
+    part, at = F.shiftright("__m", 33), F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = ranged.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    starts = counts.select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__s"))
+    placed = ranged.withColumn("__p", part).join(F.broadcast(starts), "__p")
+    return placed.withColumn(name, (at + F.col("__s")).cast("long")).drop("__p", "__s", "__m")
 
 
 def unified(courses: DataFrame, records: DataFrame) -> DataFrame:
     """id, type, section, page, course_code, title, metadata, text; records keep code and title in metadata only."""
     null = F.lit(None).cast("string")
-    meta = lambda code, title, fmt, pre: F.struct(code.alias("course_code"), title.alias("title"), fmt.alias("format"), pre.alias("prerequisites")).alias("metadata")
+
+    def meta(kind: Column, section: Column, code: Column, title: Column, fmt: Column, pre: Column) -> Column:
+        parts = {"type": kind, "section": section, "page": F.col("page").cast("long"), "course_code": code, "title": title, "format": fmt, "prerequisites": pre}
+        return F.struct(*[c.alias(n) for n, c in parts.items()]).alias("metadata")
+
     c = numbered(courses, "page", ["item", "course_code"]).select(
-        F.format_string("course_%05d", "position").alias("id"), "type", F.lit("courses").alias("section"), F.col("page").cast("long").alias("page"), "course_code", "title",
-        meta(F.col("course_code"), F.col("title"), F.col("format"), F.col("prerequisites")), "text")
+        F.format_string("course_%05d", "position").alias("id"), "type", F.lit("course_descriptions").alias("section"), F.col("page").cast("long").alias("page"), "course_code", "title",
+        meta(null, null, F.col("course_code"), F.col("title"), F.col("format"), F.col("prerequisites")), "text")
     r = numbered(records, "page", ["item", "type", "text"]).select(
         F.format_string("record_%05d", "position").alias("id"), "type", F.coalesce("section", F.lit("unknown")).alias("section"), F.col("page").cast("long").alias("page"), null.alias("course_code"), null.alias("title"),
-        meta(F.col("course_code"), F.col("title"), null, F.expr("cast(null as array<string>)")), "text")
+        meta(F.col("type"), F.col("section"), F.col("course_code"), F.col("title"), null, F.expr("cast(null as array<string>)")), "text")
     return c.unionByName(r)
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import DESCRIPTION_CHARS, EXPECTED_CODES
+from ..config import DESCRIPTION_CHARS, EXPECTED_CODES, REPORT_ROWS
 from ..functions.text import CODE, clean_description, clean_whitespace, one_line
 
+# Patterns of credits, course headers and the one course without a number.
 _CREDITS = r"(\d+(?:\.\d+)?-\d+(?:\.\d+)?-\d+(?:\.\d+)?)"
 HEADER = rf"({CODE})\s+([A-Z][^\n]{{1,150}}?)\s+\({_CREDITS}\)\."
 UNNUMBERED = rf"(BPE)\s+(Bridge\s+Program\s+Elective)\s+\({_CREDITS}\)\."
@@ -56,6 +57,17 @@ def unnumbered(pages: DataFrame) -> DataFrame:
     return courses(pages, UNNUMBERED, checked=False)
 
 
+def head_and_tail(rows: DataFrame, n: int = REPORT_ROWS) -> DataFrame:
+    """part, place, course_code, title: the first and last n courses in corpus order."""
+    order = ["page", "item", "course_code"]
+
+    def part(name: str, by: list) -> DataFrame:
+        some = rows.orderBy(*by).limit(n)
+        return some.select(F.lit(name).alias("part"), F.row_number().over(Window.orderBy(*order)).alias("place"), "course_code", "title")  # n rows
+
+    return part("first", order).unionByName(part("last", [F.desc(c) for c in order]))
+
+
 def report(rows: DataFrame) -> DataFrame:
     """check, value: how many courses, suspicious titles, and whether the expected codes are there."""
     codes = rows.sparkSession.createDataFrame([(c,) for c in EXPECTED_CODES], "code string")

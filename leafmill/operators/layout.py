@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_whitespace, one_line, repaired_code
 
+# The heading of a year's table, and cells that hold a course code.
 YEAR = r"(?i)(FIRST|SECOND|THIRD|FOURTH|FIFTH)\s+YEAR\s*\(\s*(\d+)\s+credit\s+hours\s*\)"
 CODE_CELL = (
     r"(?i)^(?:[A-Z]{2,5}\s+\d{3}[A-Z]?(?:\s+or\s+(?:[A-Z]{2,5}\s+\d{3}[A-Z]?|FRE|MJE|MCE))?"

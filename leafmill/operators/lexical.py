@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import BM25_B, BM25_EPSILON, BM25_K1
 from ..functions.text import tokens
+from ..plans.stages import materialised
 
 
 def postings(corpus: DataFrame) -> DataFrame:
@@ -27,13 +28,17 @@ def vocabulary(posts: DataFrame, n: int) -> DataFrame:
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("mean") * BM25_EPSILON).otherwise(F.col("raw")).alias("idf"))
 
 
-def scores(questions: DataFrame, posts: DataFrame, vocab: DataFrame, n: int, n_tokens: int) -> DataFrame:
-    """query_id, ord, score of documents that share a term; a term asked twice counts twice."""
+def scores(questions: DataFrame, posts: DataFrame, vocab: DataFrame, n: int, n_tokens: int, blank: DataFrame | None = None) -> DataFrame:
+    """query_id, ord, score of documents that share a term; a term asked twice counts twice.
+
+    Documents in blank (query_id, ord) score 0 at least.
+    """
     asked = questions.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     mean = n_tokens / n if n else 1.0
     weight = F.col("idf") * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / mean))
-    met = asked.join(vocab, "term").join(posts, "term")
-    return met.groupBy("query_id", "ord").agg(F.round(F.sum(F.col("times") * weight), 6).alias("score"))
+    met = asked.join(vocab, "term").join(posts, "term").select("query_id", "ord", (F.col("times") * weight).alias("w"))
+    met = met if blank is None else met.unionByName(blank.select("query_id", "ord", F.lit(0.0).alias("w")))
+    return met.groupBy("query_id", "ord").agg(F.round(F.sum("w"), 6).alias("score"))
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:
@@ -45,28 +50,29 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
 def search(questions: DataFrame, corpus: DataFrame, k: int, pad: bool = True, index: tuple | None = None) -> DataFrame:
     """The k best of every question; with pad, documents of score 0 follow in corpus order."""
     if index is None:
-        posts = postings(corpus)
-        s = corpus_stats(corpus).first()
-        index = (posts, vocabulary(posts, s.n), s.n, s.tokens)
-    scored = scores(questions, *index)
+        index = indexed(corpus)
+    blank = None
     if pad:
         # a question with fewer than k scored documents finds the rest among the first 2k of the corpus
-        first = F.broadcast(corpus.select("ord").orderBy("ord").limit(2 * k))
-        blank = questions.select("query_id").crossJoin(first).join(scored, ["query_id", "ord"], "left_anti").withColumn("score", F.lit(0.0))
-        scored = scored.unionByName(blank)
-    return top_k(scored, k)
+        first = [r.ord for r in corpus.select(F.col("ord").cast("long").alias("ord")).orderBy("ord").limit(2 * k).collect()]
+        blank = questions.select("query_id", F.explode(F.lit(first).cast("array<bigint>")).alias("ord"))
+    return top_k(scores(questions, *index, blank), k)
 
 
-def signature(ids: DataFrame) -> DataFrame:
-    """One row: the number of ids and a digest of all of them in order.
+def indexed(corpus: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
+    """Postings, vocabulary, documents and tokens: texts are tokenised once, and what many steps read is written."""
+    posts = materialised(postings(corpus))
+    n, n_tokens = corpus.count(), posts.agg(F.sum("tf")).first()[0] or 0
+    return posts, materialised(vocabulary(posts, n)), n, n_tokens
 
-    Blocks of sorted ids are digested on their own tasks; the digest of a small corpus is that of its ids.
-    """
-    return ids.agg(F.count(F.lit(1)).alias("n_ids"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.col("id").cast("string"))), "|"), 256).alias("signature"))
 
+def signature(ids: DataFrame, digits: int = 3) -> DataFrame:
+    """One row: the number of ids and a digest of all of them, the same in any order.
 
-def block_signature(ids: DataFrame, blocks: int = 1024) -> DataFrame:
-    """A signature that is never gathered: the digest of the digests of hash blocks."""
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks))
-    each = ids.groupBy(block.alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.col("id").cast("string"))), "|"), 256).alias("s"))
-    return each.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "s"))), lambda x: x["s"]), "|"), 256).alias("signature"))
+    Blocks of ids by the first digits of their own digests are digested on their own tasks, so nothing is
+    gathered but the digests of the 16**digits blocks.
+    """
+    key = F.col("id").cast("string")
+    each = ids.groupBy(F.substring(F.md5(key.cast("binary")), 1, digits).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(key)), "|"), 256).alias("s"))
+    every = F.transform(F.array_sort(F.collect_list(F.struct("b", "s"))), lambda x: x["s"])
+    return each.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_ids"), F.sha2(F.array_join(every, "|"), 256).alias("signature"))

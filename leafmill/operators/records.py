@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import CALENDAR_PAGES, CALENDAR_WORDS
+from ..config import CALENDAR_PAGES, CALENDAR_TITLE, CALENDAR_WORDS
 from ..functions.text import CODE, clean_whitespace, full_cells, lines, paragraphs
 from . import entities, tables
 from .sections import indexed_pages, section_of
@@ -28,7 +28,7 @@ def _exploded(pages: DataFrame, parts: Column) -> DataFrame:
 
 def calendar_lines(pages: DataFrame) -> DataFrame:
     marked = F.exists(F.array(*[F.lit(w) for w in CALENDAR_WORDS]), lambda w: F.lower("text").contains(w))
-    return _records(_exploded(pages, lines(F.col("text"))).where(marked), "calendar")
+    return _records(_exploded(pages, lines(F.col("text"))).where(marked), "calendar_event", title=F.lit(CALENDAR_TITLE))
 
 
 def curriculum_lines(pages: DataFrame) -> DataFrame:
@@ -51,9 +51,16 @@ def directory_lines(pages: DataFrame) -> DataFrame:
     return _records(_exploded(pages, lines(F.col("text"))).where(F.length("text") >= 3), "directory")
 
 
-def page_records(pages: DataFrame) -> DataFrame:
-    """Records of pages (page, text) by their section; excluded pages give none."""
+def page_records(pages: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+    """Records of pages (page, text) by their section; excluded pages give none.
+
+    A directory page that has a table (tables: page) is covered by it and gives no lines; on pages of the
+    calendar and of programs, lines stay beside the tables.
+    """
     kept = indexed_pages(pages).withColumn("section", section_of(F.col("page")))
+    if tables is not None:
+        covered = tables.where(section_of(F.col("page")) == "directory").select(F.col("page").cast("long").alias("page"), F.lit("directory").alias("section")).distinct()
+        kept = kept.join(covered, ["page", "section"], "left_anti")
     at = lambda *names: kept.where(F.col("section").isin(*names))
     calendar = F.col("page").isin(*CALENDAR_PAGES)
     rest = kept.where(~F.col("section").isin("courses", "programs", "faculty", "directory") & ~calendar)
@@ -77,7 +84,7 @@ def directory_rows(t: DataFrame) -> DataFrame:
 
 def calendar_rows(t: DataFrame) -> DataFrame:
     rows = t.withColumn("cells", full_cells(F.col("row"), clean_whitespace)).where(F.size("cells") > 0)
-    return _records(rows, "calendar", section=F.lit("general"), text=F.array_join("cells", ", "))
+    return _records(rows, "calendar_event", section=F.lit("calendar"), title=F.lit(CALENDAR_TITLE), text=F.array_join("cells", ", "))
 
 
 def table_records(t: DataFrame) -> DataFrame:

@@ -11,11 +11,13 @@ from ..functions.text import clean_whitespace, full_cells, one_line
 TITLES = ["Required Placement Tests", "Tuition (in AED)", "Compulsory Fees (in AED)"]
 # Majors of the placement table, in the order in which they are tried.
 MAJORS = ["Architecture/Interior Design", "Biology", "Business Administration (all majors)", "Chemistry and Biochemistry", "Computer Science", "Data Science", "Design Management", "Engineering majors", "English Language and Literature", "Environmental Sciences and Sustainability", "Film and New Media Design/Graphic Design", "International Studies/Psychology", "Media Communication", "Mathematics", "Physics", "Psychology", "Undeclared Major"]
-PLACEMENT_HEADERS = ["Majors", "Engineering Math", "Business Math", "Architecture Math", "Physics", "Chemistry"]
+# Headers of the placement table.
+PLACEMENT_HEADERS = ["Majors", "Engineering Math", "Business Math", "Architecture Math", "Physics", "English"]
 # Grade categories in the order in which they are tried; notation codes; header words.
 GRADES = ["excellent", "good", "satisfactory", "poor", "fail", "academic integrity violation fail"]
 NOTATIONS = ["AUD", "I", "IP", "N", "P", "NP", "TR", "W", "WV"]
 HEADER_WORDS = ["name", "type", "description", "fee", "major", "category", "grade", "class", "credit", "course", "regular semester", "summer term"]
+# Rows of the tuition and fees tables that are headers.
 TUITION_SKIPPED, FEES_SKIPPED = ["Regular Semester", "Summer Term"], ["Fee Type", "Description", "Regular Semester", "Summer Term"]
 RESULT = "struct<title:string,headers:array<string>,rows:array<array<string>>>"
 

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import EMBED_BATCH
+
 #: Query vectors that go to the tasks at once.
 QUERY_BLOCK = 4096
 #: Cells of the index at most, vectors they are fitted to, vectors that the share to probe is found with, and its recall there.
@@ -33,14 +35,17 @@ def hashed_embedding(texts: pd.Series, dims: int = 256) -> pd.Series:
     return texts.map(one)
 
 
-def embed(rows: DataFrame, embedder: Callable[[pd.Series], pd.Series] = hashed_embedding, prefix: str = "") -> DataFrame:
-    """rows with a column v; queries may have a prefix of their own."""
+def embed(rows: DataFrame, embedder: Callable[[pd.Series], pd.Series] = hashed_embedding, prefix: str = "", batch: int = EMBED_BATCH) -> DataFrame:
+    """rows with a column v; queries may have a prefix of their own.  The embedder gets at most batch texts at once."""
 
     def run(texts: pd.Series) -> pd.Series:
-        out = embedder(prefix + texts.fillna(""))
-        if len(out) != len(texts):
-            raise ValueError("the embedder returned another number of vectors")
-        return out
+        parts = []
+        for i in range(0, len(texts), batch):
+            asked = prefix + texts.iloc[i : i + batch].fillna("")
+            parts.append(embedder(asked))
+            if len(parts[-1]) != len(asked):
+                raise ValueError("the embedder returned another number of vectors")
+        return pd.concat(parts) if parts else pd.Series([], dtype=object)
 
     return rows.withColumn("v", F.pandas_udf(run, "array<float>")("text"))
 
@@ -48,8 +53,8 @@ def embed(rows: DataFrame, embedder: Callable[[pd.Series], pd.Series] = hashed_e
 def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """query_id, ord, distance, rank: exact cosine neighbours.
 
-    Queries go to the tasks in blocks; every batch of vectors keeps its own k best of each query, and the
-    best of those are ranked.  No pair of a query and a vector becomes a row beyond that.
+    Queries go to the tasks in blocks; every task keeps its own k best of each query, and the best of those
+    are ranked.  No pair of a query and a vector becomes a row beyond that.
     """
     out, block = None, []
     for r in queries.select("query_id", "v").toLocalIterator():
@@ -75,13 +80,17 @@ def _block(block: list, vectors: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = sent.value
+        if q is None:
+            return
+        best_d, best_o = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
         for b in batches:
-            if not b.num_rows or q is None:
-                continue
-            ords = np.array(b.column("ord"))
-            d = np.round(np.maximum(0.0, 1 - q @ _unit(np.array(b.column("v").to_pylist(), np.float64)).T), 6)
-            best = np.lexsort((np.broadcast_to(ords, d.shape), d), axis=1)[:, :k]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(ords[best].ravel()), pa.array(np.take_along_axis(d, best, 1).ravel())], names=["query_id", "ord", "distance"])
+            for part in (b.slice(i, rows) for rows in [max(k, PAIRS // len(q))] for i in range(0, b.num_rows, rows)):
+                ords = np.array(part.column("ord"))
+                d = np.round(np.maximum(0.0, 1 - q @ _unit(np.array(part.column("v").to_pylist(), np.float64)).T), 6)
+                d, o = np.hstack([best_d, d]), np.hstack([best_o, np.broadcast_to(ords, d.shape)])
+                best = np.lexsort((o, d), axis=1)[:, :k]
+                best_d, best_o = np.take_along_axis(d, best, 1), np.take_along_axis(o, best, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best_d.shape[1])), pa.array(best_o.ravel()), pa.array(best_d.ravel())], names=["query_id", "ord", "distance"])
 
     return vectors.select(F.col("ord").cast("long").alias("ord"), "v").where("v is not null").mapInArrow(run, "query_id long, ord long, distance double")
 
@@ -195,6 +204,13 @@ def _probed(batches: Iterator[pa.RecordBatch], cells: Cells, ids: np.ndarray, q:
     yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], got.shape)[got]), pa.array(best_o[got]), pa.array(best_d[got])], names=["query_id", "ord", "distance"])
 
 
+def indexed(chunks: DataFrame, stored: DataFrame | None, embedder: Callable[[pd.Series], pd.Series] = hashed_embedding, batch: int = EMBED_BATCH, force: bool = False) -> DataFrame:
+    """Vectors (id, v) of chunks (id, text): those stored stay unless force is set, the others are embedded."""
+    new = chunks if stored is None or force else missing(chunks, stored)
+    made = embed(new.select("id", "text"), embedder, batch=batch).select("id", "v")
+    return made if stored is None else upserted(stored.select("id", "v"), made)
+
+
 def missing(chunks: DataFrame, stored: DataFrame) -> DataFrame:
     """Chunks whose id has no vector yet."""
     return chunks.join(stored.select("id"), "id", "left_anti")

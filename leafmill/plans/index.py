@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import DEPTH, RERANK_DEPTH, RERANK_KEEP, RRF_K, TOP_N
-from ..operators import answer, chunking, documents, fusion, lexical, records, vectors
+from ..config import DEPTH, EMBED_BATCH, EXCERPT_CHARS, QUERY_PREFIX, RERANK_DEPTH, RERANK_KEEP, RRF_K, TOP_N, Settings
+from ..operators import answer, chunking, documents, extraction, fusion, lexical, records, vectors
+from ..operators.answer import first_sentences, word_by_word
 from .stages import materialised
 
 
 @dataclass
 class Index:
-    """Tables of an index: chunks (ord, id, page, type, course_code, title, text), postings, vocabulary, vectors, sizes."""
+    """Tables of an index: chunks (ord, id, page, type, course_code, title, text), postings, vocabulary, vectors, sizes.
+
+    embedder makes the vectors of questions, which have query_prefix before them, as asymmetric models want it.
+    """
 
     chunks: DataFrame
     postings: DataFrame
@@ -22,33 +29,55 @@ class Index:
     vectors: DataFrame
     n: int
     n_tokens: int
+    embedder: Callable[[pd.Series], pd.Series] = vectors.hashed_embedding
+    query_prefix: str = ""
 
     @property
     def lexical(self) -> tuple:
         return self.postings, self.vocabulary, self.n, self.n_tokens
 
     def save(self, path: str) -> None:
+        """Write the tables: postings sorted by term, so that a question's terms are found by the files' statistics."""
         for name in ("chunks", "postings", "vocabulary", "vectors"):
             df = getattr(self, name)
-            df = df.repartition("term").sortWithinPartitions("term") if name == "postings" else df
+            df = df.repartitionByRange("term").sortWithinPartitions("term") if name in ("postings", "vocabulary") else df
             df.write.mode("overwrite").parquet(f"{path}/{name}")
-        spark = self.chunks.sparkSession
-        spark.createDataFrame([(self.n, self.n_tokens)], "n long, n_tokens long").crossJoin(lexical.block_signature(self.chunks)).write.mode("overwrite").parquet(f"{path}/stats")
+        s = lexical.signature(self.chunks).first()
+        self.chunks.sparkSession.createDataFrame([(self.n, self.n_tokens, s.signature)], "n long, n_tokens long, signature string").write.mode("overwrite").parquet(f"{path}/stats")
 
     @staticmethod
-    def load(spark: SparkSession, path: str) -> Index:
+    def load(spark: SparkSession, path: str, chunks: DataFrame | None = None, embedder: Callable[[pd.Series], pd.Series] | None = None) -> Index:
+        """A saved index; warns where it is empty, or older than the chunks given."""
         s = spark.read.parquet(f"{path}/stats").first()
-        return Index(*[spark.read.parquet(f"{path}/{n}") for n in ("chunks", "postings", "vocabulary", "vectors")], s.n, s.n_tokens)
+        if not s.n:
+            warnings.warn(f"the index at {path} is empty", stacklevel=2)
+        if not Index.is_fresh(spark, path, chunks):
+            warnings.warn(f"the index at {path} is stale: build it anew", stacklevel=2)
+        own = () if embedder is None else (embedder, QUERY_PREFIX)
+        return Index(*[spark.read.parquet(f"{path}/{n}") for n in ("chunks", "postings", "vocabulary", "vectors")], s.n, s.n_tokens, *own)
 
     @staticmethod
-    def is_fresh(spark: SparkSession, path: str, chunks: DataFrame) -> bool:
-        return spark.read.parquet(f"{path}/stats").first().signature == lexical.block_signature(chunks).first().signature
+    def is_fresh(spark: SparkSession, path: str, chunks: DataFrame | None) -> bool:
+        """Whether the saved index has the ids of the chunks; without any to compare with it counts as fresh."""
+        return chunks is None or spark.read.parquet(f"{path}/stats").first().signature == lexical.signature(chunks).first().signature
+
+    def embedded(self, questions: DataFrame) -> DataFrame:
+        return vectors.embed(questions.select("query_id", "text"), self.embedder, self.query_prefix)
 
     def hits(self, questions: DataFrame, depth: int = DEPTH, n: int = TOP_N, k: int = RRF_K) -> DataFrame:
         """query_id, ord, rrf_score, methods, rank_0, rank_1, rank: both searches fused, for questions (query_id, text)."""
         words = lexical.search(questions, self.chunks, depth, index=self.lexical)
-        asked = vectors.embed(questions, prefix="")
-        return fusion.fuse([words, vectors.nearest(asked, self.vectors, depth)], k, n)
+        return fusion.fuse([words, vectors.nearest(self.embedded(questions), self.vectors, depth)], k, n)
+
+    def nearest(self, questions: DataFrame, n: int = 5) -> DataFrame:
+        """query_id, rank, id, page, distance, snippet: search by vectors alone."""
+        found = vectors.nearest(self.embedded(questions), self.vectors, n).join(self.chunks, "ord")
+        return found.select("query_id", "rank", "id", "page", "distance", F.trim(F.substring("text", 1, 200)).alias("snippet"))
+
+    def listed(self, found: DataFrame) -> DataFrame:
+        """query_id, rank, label, page, method, rrf_score, snippet of ``search``, as a list of results shows them."""
+        label = F.coalesce(F.nullif("course_code", F.lit("")), F.col("type"))
+        return found.select("query_id", "rank", label.alias("label"), "page", fusion.method_label(F.col("methods")).alias("method"), "rrf_score", fusion.snippet(F.col("text")).alias("snippet"))
 
     def search(self, questions: DataFrame, **options) -> DataFrame:
         return self.hits(questions, **options).join(self.chunks, "ord")
@@ -59,39 +88,75 @@ class Index:
         found = self.search(questions, n=depth).join(questions.select("query_id", F.col("text").alias("query")), "query_id")
         return fusion.rerank(found, model, keep)
 
-    def answer(self, questions: DataFrame, turns: DataFrame | None = None, generator=answer.first_sentences, n: int = TOP_N) -> DataFrame:
-        """questions (query_id, text, conv_id if there are turns) with context, messages, answer and footer."""
-        spark = questions.sparkSession
-        turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string") if turns is None else turns
+    def answer(self, questions: DataFrame, turns: DataFrame | None = None, generator=first_sentences, n: int | None = None, settings: Settings | None = None) -> DataFrame:
+        """questions (query_id, text, conv_id if there are turns) with context, messages, answer, footer and sources.
+
+        chunks_used lists all that were found, sources those that were packed.
+        """
+        settings, spark = settings or Settings(), questions.sparkSession
+        n = settings.top_n if n is None else n
+        turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string") if turns is None or not settings.memory else turns
         asked = questions.withColumn("conv_id", F.col("conv_id") if "conv_id" in questions.columns else F.lit(None).cast("long")).withColumn("query", F.col("text"))
         asked = answer.retrieval_queries(asked, turns)
         found = materialised(self.search(asked.select("query_id", F.col("retrieval_query").alias("text")), n=n))
         sources = answer.packed(found).withColumn("methods", answer.method_names(F.col("methods")))
         out = asked.join(answer.contexts(found), "query_id", "left").withColumn("context", F.coalesce("context", F.lit("")))
         used = found.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("chunks_used"))
-        out = answer.answers(answer.messages(out, turns), generator).join(answer.footers(sources), "query_id", "left").join(used, "query_id", "left")
-        return out.select("query_id", "query", "retrieval_query", "context", "messages", "answer", "footer", "chunks_used")
-
-
-def index_of(chunks: DataFrame) -> Index:
-    """chunks: ord, id, page, type, course_code, title, text."""
-    chunks = materialised(chunks)
-    posts = materialised(lexical.postings(chunks))
-    s = lexical.corpus_stats(chunks).first()
-    vocab = materialised(lexical.vocabulary(posts, s.n))
-    return Index(chunks, posts, vocab, materialised(vectors.embed(chunks.select("ord", "id", "text")).drop("text")), s.n, s.tokens)
+        listed = answer.unique_sources(sources).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("position", "label", "page", "type", answer.badge(F.col("methods")).alias("badge")))).alias("sources"))
+        out = answer.answers(answer.messages(out, turns), generator).join(answer.footers(sources), "query_id", "left").join(used, "query_id", "left").join(listed, "query_id", "left")
+        return out.select("query_id", "conv_id", "query", "retrieval_query", "context", "messages", "answer", "footer", "chunks_used", "sources")
+
+    def turns(self, turns: DataFrame, generator=first_sentences, settings: Settings | None = None) -> DataFrame:
+        """The conversations (conv_id, turn, role, text) that end with a question, each with its answer as one more turn.
+
+        conv_id, turn, role, text, sources, chunks_used.  A generator that fails on a question gives an answer that says so.
+        """
+        last = turns.groupBy("conv_id").agg(F.max(F.struct("turn", "role", "text")).alias("last")).where("last.role = 'user'")
+        asked = last.select(F.col("conv_id").alias("query_id"), "conv_id", F.col("last.text").alias("text"), F.col("last.turn").alias("turn"))
+        before = turns.join(asked.select("conv_id", F.col("turn").alias("__turn")), "conv_id").where("turn < __turn").drop("__turn")
+        got = self.answer(asked, before, answer.guarded(generator), settings=settings).join(asked.select("conv_id", "turn"), "conv_id")
+        return got.select("conv_id", (F.col("turn") + 1).alias("turn"), F.lit("assistant").alias("role"), F.col("answer").alias("text"), "sources", "chunks_used")
+
+    def stream(self, questions: DataFrame, pieces=word_by_word, settings: Settings | None = None) -> Iterator[tuple[int, Iterator[str]]]:
+        """For each question, in order, its id and the pieces of its answer: found at once, generated as they are taken."""
+        found = self.answer(questions, settings=settings).select("query_id", "context").orderBy("query_id")
+        for r in found.toLocalIterator():
+            yield r.query_id, pieces(r.context) if r.context else iter([answer.NOTHING])
+
+    def excerpts(self, answered: DataFrame, chars: int = EXCERPT_CHARS) -> DataFrame:
+        """query_id, position, id, label, page, text: the beginnings of the chunks used; ids that are gone fall out."""
+        used = answered.select("query_id", F.posexplode("chunks_used").alias("position", "id"))
+        label = F.coalesce(F.nullif("course_code", F.lit("")), F.nullif("title", F.lit("")), F.col("type"))
+        return used.join(self.chunks, "id").select("query_id", "position", "id", label.alias("label"), "page", F.substring("text", 1, chars).alias("text"))
+
+
+def index_of(chunks: DataFrame, embedder: Callable[[pd.Series], pd.Series] | None = None, limit: int | None = None, batch: int = EMBED_BATCH, stored: DataFrame | None = None, force: bool = False) -> Index:
+    """chunks: ord, id, page, type, course_code, title, text; the first of them with a limit.
+
+    stored: vectors (id, v) of an earlier index, which stay for the ids they have unless force is set.
+    """
+    chunks = materialised(chunks if limit is None else chunks.orderBy("ord").limit(limit))
+    made = vectors.indexed(chunks, stored, embedder or vectors.hashed_embedding, batch, force)
+    vecs = materialised(chunks.select("ord", "id").join(made, "id").select("ord", "id", "v"))
+    posts, vocab, n, n_tokens = lexical.indexed(chunks)
+    return Index(chunks, posts, vocab, vecs, n, n_tokens, *(() if embedder is None else (embedder, QUERY_PREFIX)))
 
 
 def documents_of(pages: DataFrame, tables: DataFrame | None = None) -> DataFrame:
     """Pages (page, text) and tables as unified documents: records and courses, deduplicated, with ids."""
-    found = records.page_records(pages)
+    found = records.page_records(pages, tables)
     if tables is not None:
         found = found.unionByName(records.table_records(tables))
     courses, found = materialised(records.page_courses(pages)), materialised(found)
     return materialised(documents.unified(documents.dedup_courses(courses), documents.dedup_records(found)))
 
 
-def build(pages: DataFrame, tables: DataFrame | None = None) -> Index:
+def build(pages: DataFrame, tables: DataFrame | None = None, **options) -> Index:
     chunks = chunking.chunks(documents_of(pages, tables))
     numbered = documents.numbered(chunks.withColumn("__key", F.coalesce("page", F.lit(0))), "__key", ["document_id", "ordinal"], "ord")
-    return index_of(numbered.select("ord", "id", "page", "type", "course_code", "title", "text"))
+    return index_of(numbered.select("ord", "id", "page", "type", "course_code", "title", "text"), **options)
+
+
+def build_from_layout(pages: DataFrame, words: DataFrame, rects: DataFrame, sizes: DataFrame, raw: DataFrame, **options) -> Index:
+    """An index of pages and of the tables found in their layout; see ``extraction.page_tables``."""
+    return build(pages, materialised(extraction.page_tables(words, rects, sizes, raw)), **options)

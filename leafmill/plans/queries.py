@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import text as T
-from ..operators import answer, chunking, documents, entities, fusion, layout, lexical, records, sections, tables, vectors
+from ..operators import answer, chunking, documents, entities, extraction, fusion, layout, lexical, records, sections, tables, vectors
 from . import index as plan
 
 QUERIES, SQL = {}, {}
@@ -71,10 +71,13 @@ def paragraph_records(spark, d):
     return records.prose(pages, T.lines).select(F.col("page").alias("doc_id"), F.col("item").cast("long").alias("item"), "text")
 
 
-@query(rf"""SELECT doc_id, i AS item, p AS text FROM (SELECT doc_id, unnest(ps) AS p, unnest(range(len(ps))) AS i FROM
- (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))), lambda x: x <> '') AS ps FROM documents)) WHERE regexp_matches(lower(p), '{"|".join(config.CALENDAR_WORDS)}')""")
+@query(rf"""SELECT doc_id, i AS item, 'calendar_event' AS type, 'Academic Calendar' AS title, p AS text FROM (SELECT doc_id, unnest(ps) AS p, unnest(range(len(ps))) AS i FROM
+ (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, '') || chr(10) || 'Last Day of ' || source || chr(10) || 'No mark', chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))), lambda x: x <> '') AS ps FROM documents)) WHERE regexp_matches(lower(p), '{"|".join(config.CALENDAR_WORDS)}')""")
 def keyword_lines(spark, d):
-    return records.calendar_lines(_t(spark, d, "documents").select(F.col("doc_id").alias("page"), "text")).select(F.col("page").alias("doc_id"), F.col("item").cast("long").alias("item"), "text")
+    """Lines of a calendar in every document: one that is marked is added, and one that is not."""
+    marked = F.concat(F.coalesce("text", F.lit("")), F.lit("\nLast Day of "), "source", F.lit("\nNo mark"))
+    rows = records.calendar_lines(_t(spark, d, "documents").select(F.col("doc_id").alias("page"), marked.alias("text")))
+    return rows.select(F.col("page").alias("doc_id"), F.col("item").cast("long").alias("item"), "type", "title", "text")
 
 
 @query(r"""SELECT doc_id, i AS item, p AS text FROM (SELECT doc_id, unnest(ps) AS p, unnest(range(len(ps))) AS i FROM
@@ -155,13 +158,13 @@ def directory_rows(spark, d):
     return rows.select("page", "title", "text")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'Notation' WHEN o_orderkey % 3 = 1 THEN 'Category' ELSE 'Fee' END AS first_header, cast(CASE WHEN o_orderkey % 3 = 2 THEN 1 ELSE 1 END AS bigint) AS n_rows FROM orders")
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'Notation|Meaning' WHEN 1 THEN 'Category|Grade|Grade Points' WHEN 2 THEN 'Fee|Amount' ELSE 'Majors|Engineering Math|Business Math|Architecture Math|Physics|English' END AS headers, cast(1 AS bigint) AS n_rows FROM orders")
 def table_normalisers(spark, d):
-    k = F.col("o_orderkey") % 3
+    k = F.col("o_orderkey") % 4
     s = F.col("o_orderkey").cast("string")
-    rows = F.when(k == 0, F.array(F.array(F.lit("AUD"), F.lit(""), F.concat(F.lit("Meaning "), s)))).when(k == 1, F.array(F.array(F.lit("Excellent"), F.lit("A equals"), F.lit("4.0")))).otherwise(F.array(F.array(F.lit("Fee"), F.lit("Amount")), F.array(F.lit("x"), s)))
+    rows = F.when(k == 0, F.array(F.array(F.lit("AUD"), F.lit(""), F.concat(F.lit("Meaning "), s)))).when(k == 1, F.array(F.array(F.lit("Excellent"), F.lit("A equals"), F.lit("4.0")))).when(k == 2, F.array(F.array(F.lit("Fee"), F.lit("Amount")), F.array(F.lit("x"), s))).otherwise(F.array(F.array(F.lit("Required Placement Tests")), F.array(F.lit("Physics"), F.lit("Yes No Yes No Yes"))))
     made = _t(spark, d, "orders").select("o_orderkey", tables.normalised(rows).alias("t"))
-    return made.select("o_orderkey", F.col("t.headers")[0].alias("first_header"), F.size("t.rows").cast("long").alias("n_rows"))
+    return made.select("o_orderkey", F.array_join("t.headers", "|").alias("headers"), F.size("t.rows").cast("long").alias("n_rows"))
 
 
 @query(r"SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title FROM pages")
@@ -198,18 +201,22 @@ def chunk_text(spark, d):
     return rows.select(F.col("document_id").alias("doc_id"), F.col("ordinal").cast("long").alias("ordinal"), "text")
 
 
-@query("SELECT count(*) AS n_ids, sha256(string_agg(cast(doc_id AS varchar), '|' ORDER BY cast(doc_id AS varchar))) AS signature FROM documents")
+@query("""SELECT cast(sum(n) AS bigint) AS n_ids, sha256(string_agg(s, '|' ORDER BY b)) AS signature FROM
+ (SELECT substr(md5(id), 1, 3) AS b, count(*) AS n, sha256(string_agg(id, '|' ORDER BY id)) AS s FROM (SELECT cast(doc_id AS varchar) AS id FROM documents) GROUP BY 1)""")
 def corpus_signature(spark, d):
     return lexical.signature(_t(spark, d, "documents").select(F.col("doc_id").alias("id")))
 
 
-@query("SELECT true AS fresh, false AS fresh_after_delete")
+_SIGNED = "(SELECT sha256(string_agg(s, '|' ORDER BY b)) FROM (SELECT substr(md5(id), 1, 3) AS b, sha256(string_agg(id, '|' ORDER BY id)) AS s FROM (SELECT cast(doc_id AS varchar) AS id FROM documents WHERE {0}) GROUP BY 1))"
+
+
+@query(f"SELECT {_SIGNED.format('true')} = {_SIGNED.format('doc_id IS NOT NULL')} AS fresh, {_SIGNED.format('true')} = {_SIGNED.format('doc_id > 0')} AS fresh_after_delete")
 def index_freshness(spark, d):
     ids = _t(spark, d, "documents").select(F.col("doc_id").alias("id"))
-    now, cut = lexical.block_signature(ids), lexical.block_signature(ids.where("id > 0"))
-    again = lexical.block_signature(ids.repartition(3))
-    both = now.crossJoin(again.select(F.col("signature").alias("b"))).crossJoin(cut.select(F.col("signature").alias("c")))
-    return both.select((F.col("signature") == F.col("b")).alias("fresh"), (F.col("signature") == F.col("c")).alias("fresh_after_delete"))
+    now, cut = lexical.signature(ids), lexical.signature(ids.where("id > 0"))
+    again = lexical.signature(ids.repartition(3))
+    a, b, c = (df.first().signature for df in (now, again, cut))
+    return spark.createDataFrame([(a == b, a == c)], "fresh boolean, fresh_after_delete boolean")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id % 3 <> 0")
@@ -445,12 +452,41 @@ def answers(spark, d):
     return got.select("query_id", "retrieval_query", "context", "answer", "footer", F.array_join("chunks_used", ",").alias("chunks_used"))
 
 
-@query()
+_PARTS = rf"list_filter(list_transform(string_split_regex(coalesce(text, ''), '{{0}}'), lambda x: {CLEAN.format('x')}), lambda x: x <> '')"
+_ROUTED = f"""page AS (SELECT page, text, {CASE} AS section FROM {PAGE_SQL} WHERE NOT {OUT}),
+line AS (SELECT page, section, unnest({_PARTS.format(chr(92) + 'n')}) AS text, unnest(range(len({_PARTS.format(chr(92) + 'n')}))) AS item FROM page WHERE section = 'directory' OR page BETWEEN 18 AND 19),
+para AS (SELECT page, section, unnest({_PARTS.format(chr(92) + 'n' + chr(92) + 's*' + chr(92) + 'n')}) AS text, unnest(range(len({_PARTS.format(chr(92) + 'n' + chr(92) + 's*' + chr(92) + 'n')}))) AS item FROM page WHERE section NOT IN ('courses', 'directory') AND page NOT BETWEEN 18 AND 19),
+rec AS (
+  SELECT page, item, 'calendar_event' AS type, NULL AS section, text FROM line WHERE section <> 'directory' AND regexp_matches(lower(text), '{"|".join(config.CALENDAR_WORDS)}')
+  UNION ALL SELECT page, item, 'directory', NULL, text FROM line WHERE section = 'directory' AND length(text) >= 3
+  UNION ALL SELECT page, item, 'faculty', NULL, text FROM para WHERE section = 'faculty' AND length(text) >= 10
+  UNION ALL SELECT page, item, 'general_prose', section, text FROM para WHERE section <> 'faculty' AND (length(text) >= 100 OR length(text) >= 40 AND regexp_matches(text, '[.!?]')))"""
+
+
+@query(rf"""WITH {_ROUTED}, one AS (SELECT type, page, lower(text) AS low, min(struct_pack(item := item, text := text)) AS first, any_value(section) AS section FROM rec GROUP BY ALL)
+SELECT format('record_{{:05d}}', row_number() OVER (ORDER BY page, first.item, type, first.text) - 1) AS id, type, coalesce(section, 'unknown') AS section, cast(page AS bigint) AS page, cast(NULL AS varchar) AS course_code, cast(NULL AS varchar) AS title, first.text AS text FROM one""".replace("GROUP BY ALL", "GROUP BY type, page, lower(text)"))
 def catalogue_documents(spark, d):
-    """Documents built from pages: routed, extracted, deduplicated, numbered."""
+    """Documents built from pages: routed, extracted, deduplicated, numbered.  The given texts hold no courses."""
     return plan.documents_of(_pages(spark, d).select("page", "text")).select("id", "type", "section", "page", "course_code", "title", "text")
 
 
+@query("SELECT 'First Year' AS year, cast(12 + s_suppkey % 9 AS int) AS year_credit_hours, s_suppkey AS page, 'page_' || s_suppkey || '_curriculum_1' AS table_id, 'ABC ' || (100 + s_suppkey % 900) AS code, 'Fall' AS term FROM supplier")
+def curriculum_pages(spark, d):
+    """A curriculum page for every supplier, as words and rules, read back as a table."""
+    n = F.col("s_suppkey")
+    at = lambda text, x, top: F.struct(text.alias("text"), F.lit(float(x)).alias("x0"), F.lit(float(x) + 8).alias("x1"), F.lit(float(top)).alias("top"))
+    head = [at(F.lit(w), 10 + 20 * i, 50) for i, w in enumerate(["FIRST", "YEAR"])] + [at(F.concat(F.lit("("), (n % 9 + 12).cast("string")), 50, 50), at(F.lit("credit"), 70, 50), at(F.lit("hours)"), 90, 50)]
+    names = [at(F.lit(w), x, 70) for w, x in (("Term", 10), ("Course", 60), ("#", 75), ("Course", 120), ("Title", 140), ("Credit", 250), ("Hours", 262))]
+    body = [at(F.lit("Fall"), 10, 90), at(F.lit("ABC"), 60, 90), at((n % 900 + 100).cast("string"), 70, 90), at(F.lit("Topic"), 120, 90), at(F.lit("3"), 250, 90)]
+    suppliers = _t(spark, d, "supplier").select(n.alias("page"), F.array(*head, *names, *body).alias("w"))
+    words = suppliers.select("page", F.explode("w").alias("w")).select("page", "w.*")
+    rects = suppliers.select("page", F.lit(5.0).alias("x0"), F.lit(290.0).alias("x1"), F.explode(F.array(F.lit(82.0), F.lit(102.0))).alias("top"), F.lit(0.5).alias("height"))
+    sizes = suppliers.select("page", F.lit(600.0).alias("width"), F.lit(800.0).alias("height"))
+    raw = suppliers.select("page", F.lit(0).alias("table_index"), F.array(F.array(F.lit("not"), F.lit("read"))).alias("rows"))
+    found = extraction.page_tables(words, rects, sizes, raw)
+    return found.select("year", "year_credit_hours", "page", "table_id", F.col("rows")[0][1].alias("code"), F.col("rows")[0][0].alias("term"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Questions to packed context by BM25."""
     return context_pack(spark, d)

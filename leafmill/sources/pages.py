@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BLOCKS = "array<struct<x0:double,y0:double,x1:double,y1:double,text:string>>"
@@ -21,7 +21,9 @@ def exists(spark: SparkSession, path: str) -> bool:
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """page, text, blocks of a pages file: number and text under any of their names, else from position and blocks."""
     raw = spark.read.schema(PAGES).option("multiLine", True).json(path)
-    raw = raw.withColumn("place", (F.monotonically_increasing_id() + 1).cast("int"))  # one multi-line file is one partition
+    # the place in its file; a multi-line file is read by one task in any case
+    raw = raw.withColumn("file", F.input_file_name()).withColumn("at", F.monotonically_increasing_id())
+    raw = raw.withColumn("place", F.row_number().over(Window.partitionBy("file").orderBy("at")))
     number = F.coalesce(*[F.expr(f"try_cast({c} as int)") for c in ("page", "page_number", "page_num", "number")], F.col("place"))
     text = F.coalesce(*[F.when(F.trim(c) != "", F.col(c)) for c in ("text", "content", "page_text", "full_text")], F.array_join(F.transform("blocks", lambda b: b["text"]), "\n"), F.lit(""))
     return raw.select(number.alias("page"), text.alias("text"), "blocks")
@@ -53,6 +55,35 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
+def read_pdf_layout(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """words, rects, sizes and raw tables of PDF files, as ``extraction.page_tables`` takes them."""
+    files = spark.read.format("binaryFile").load(path).select("content")
+    row = "kind string, page int, text string, x0 double, x1 double, top double, height double, table_index int, cells array<array<string>>"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        try:
+            import pymupdf
+        except ImportError as e:
+            raise ImportError("reading PDF files needs pymupdf") from e
+        for frame in frames:
+            for content in frame["content"]:
+                with pymupdf.open(stream=bytes(content), filetype="pdf") as pdf:
+                    for n, page in enumerate(pdf, 1):
+                        rows = [("word", n, w[4], w[0], w[2], w[1], None, None, None) for w in page.get_text("words")]
+                        rows += [("rect", n, None, d["rect"].x0, d["rect"].x1, d["rect"].y0, d["rect"].height, None, None) for d in page.get_drawings()]
+                        rows.append(("size", n, None, 0.0, page.rect.width, 0.0, page.rect.height, None, None))
+                        found = page.find_tables(vertical_strategy="lines", horizontal_strategy="lines", intersection_tolerance=5).tables
+                        rows += [("table", n, None, None, None, None, None, i, t.extract()) for i, t in enumerate(found)]
+                        yield pd.DataFrame(rows, columns=[c.split()[0] for c in row.split(", ")])
+
+    every = files.mapInPandas(run, row)
+    of = lambda kind, *columns: every.where(F.col("kind") == kind).select("page", *columns)
+    return {
+        "words": of("word", "text", "x0", "x1", "top"), "rects": of("rect", "x0", "x1", "top", "height"),
+        "sizes": of("size", F.col("x1").alias("width"), "height"), "raw": of("table", "table_index", F.col("cells").alias("rows")),
+    }
+
+
 def read_pdf(spark: SparkSession, path: str) -> DataFrame:
     """page, height, x0, y0, x1, y1, text: text blocks of PDF files, where a PDF library is installed."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")

@@ -112,6 +112,27 @@ def test_curriculum_blocks(spark):
     assert [list(r) for r in got[0].rows] == [["Fall", "MTH 103", "Calculus I", "3"], ["Fall", "GER-Core", "Writing", "3"], ["Fall", "", "Total", "15"]]
 
 
+def test_tables_out_of_pages(spark):
+    from leafmill.operators import extraction
+
+    words, rules = [], []
+    for year, top, side in (("SECOND", 50.0, 0), ("FIRST", 50.0, 1), ("FIFTH", 300.0, 0)):
+        x = 10.0 + 300 * side
+        words += [(1, w, x + 20 * i, x + 18 + 20 * i, top) for i, w in enumerate(f"{year} YEAR (30 credit hours)".split())]
+        words += [(1, w, x + dx, x + dx + 8, top + 20) for w, dx in (("Term", 0), ("Course", 50), ("#", 65), ("Course", 110), ("Title", 130), ("Credit", 240), ("Hours", 252))]
+        words += [(1, w, x + dx, x + dx + 8, top + 40) for w, dx in (("Fall", 0), ("ABC", 50), ("101", 60), ("Topic", 110), ("3", 240))]
+        rules += [(1, x - 5, x + 280, top + 32 + 20 * i, 0.5) for i in range(2)]
+    words += [(2, "plain", 1.0, 2.0, 3.0)]
+    raw = [(1, 0, [["never", "read"]]), (2, 0, [["Fee Type", "Amount"], ["Lab", "5"]]), (2, 1, [["only prose"]])]
+    got = extraction.page_tables(
+        spark.createDataFrame(words, "page int, text string, x0 double, x1 double, top double"), spark.createDataFrame(rules, "page int, x0 double, x1 double, top double, height double"),
+        spark.createDataFrame([(1, 600.0, 800.0), (2, 600.0, 800.0)], "page int, width double, height double"), spark.createDataFrame(raw, "page int, table_index int, rows array<array<string>>"),
+    ).orderBy("page", "table_index").collect()
+    assert [(r.page, r.table_index, r.table_id, r.year) for r in got] == [
+        (1, 0, "page_1_curriculum_2", "First Year"), (1, 1, "page_1_curriculum_1", "Second Year"), (1, 2, "page_1_curriculum_3", "Fifth Year"), (2, 0, "page_2_table_1", None)]
+    assert got[0].rows == [["Fall", "ABC 101", "Topic", "3"]] and got[0].text.startswith("Page: 1\nProposed Sequence of Study\nFirst Year\n") and got[3].headers == ["Fee Type", "Amount"]
+
+
 def test_tables(spark):
     made = lambda rows: one(spark, tables.normalised(F.col("r")), r=rows)
     got = made([["Required Placement Tests", None], ["Physics", "Yes No", "* ** Yes"], ["Other", "x"]])
@@ -120,6 +141,7 @@ def test_tables(spark):
     assert got.rows == [["Excellent", "A", "4.0"], ["Excellent", "A-", "3.7"], ["Good", "B+", "3.3"]]
     assert made([["AUD", "Audit", "only"], ["IP", "In progress"]]).rows == [["AUD", "Audit only"], ["IP", "In progress"]]
     assert made([["Tuition (in AED)", ""], ["Regular Semester", ""], ["Per hour", "100", "200"]]).rows == [["Per hour", "100", "200"]]
+    assert made([["Required Placement Tests", None], ["Physics", "Yes No Yes No Yes"]]).headers == ["Majors", "Engineering Math", "Business Math", "Architecture Math", "Physics", "English"]
     assert made([["Fee Type", "Amount"], ["Lab", "5"]]).headers == ["Fee Type", "Amount"]
     assert made([["only prose"], ["more prose"]]) is None and made([["x"]]) is None
     assert one(spark, tables.markdown(tables.strings([]), F.col("r")), r=[["a", "b"], ["c"], ["", None]]) == "| a | b |\n| --- | --- |\n| c |  |"
@@ -130,12 +152,17 @@ def test_records_and_build(spark):
     pages = [(16, "Office 1\nab"), (18, "Fall classes begin\nnothing"), (80, "ABC 101 Topic 3\n\n" + prose), (190, "ABC 101 Intro One (3-0-3). Basics of things."), (200, ""), (250, "Professor A of things"), (3, prose), (50, prose + "\n\n" + prose)]
     pages = spark.createDataFrame(pages, "page int, text string")
     rows = records.page_records(pages).collect()
-    assert sorted((r.type, r.page) for r in rows) == [("calendar", 18), ("curriculum_course", 80), ("directory", 16), ("faculty", 250), ("general_prose", 50), ("general_prose", 50), ("general_prose", 80)]
+    assert sorted((r.type, r.page) for r in rows) == [("calendar_event", 18), ("curriculum_course", 80), ("directory", 16), ("faculty", 250), ("general_prose", 50), ("general_prose", 50), ("general_prose", 80)]
     t = spark.createDataFrame([(16, "t1", "", ["a"], [["Registrar", "123", "x@y"], ["Telephone", "b"]]), (18, "t2", "", [], [["Fall", "Aug 1"]]), (80, "curriculum_1", "", ["C"], [["ABC 101"]]), (70, "t3", "Fees", ["F"], [["Lab"]])], "page int, table_id string, title string, headers array<string>, rows array<array<string>>")
     texts = sorted((r.type, r.text) for r in records.table_records(t).collect())
-    assert texts[0] == ("calendar", "Fall, Aug 1") and texts[2] == ("directory", "Registrar — 123, x@y")
+    assert texts[0] == ("calendar_event", "Fall, Aug 1") and texts[2] == ("directory", "Registrar — 123, x@y")
+    dates = records.table_records(t).where("type = 'calendar_event'").unionByName(records.calendar_lines(pages.where("page = 18")))
+    assert {(r.section, r.title) for r in dates.collect()} == {("calendar", "Academic Calendar"), (None, "Academic Calendar")}
     docs = plan.documents_of(pages, t).collect()
-    assert len(docs) == 1 + 6 + 4 and {d.id for d in docs} == {"course_00000"} | {f"record_{i:05d}" for i in range(10)}
+    # the directory page has a table, so its lines are covered
+    assert len(docs) == 1 + 5 + 4 and {d.id for d in docs} == {"course_00000"} | {f"record_{i:05d}" for i in range(9)}
+    assert [(d.section, d.metadata.page) for d in docs if d.type == "course"] == [("course_descriptions", 190)]
+    assert len(plan.documents_of(pages).collect()) == 1 + 6
     index = plan.build(pages, t)
     asked = spark.createDataFrame([(1, "what is ABC 101"), (2, "registrar")], "query_id long, text string")
     got = {r.query_id: r for r in index.answer(asked, n=3).collect()}
@@ -153,6 +180,75 @@ def test_index_round_trip_and_freshness(spark, tmp_path):
     assert back.hits(spark.createDataFrame([(1, "number 2")], "query_id long, text string"), n=2).count() == 2
 
 
+def test_index_options_and_views(spark, tmp_path):
+    import pandas as pd
+
+    chunks = spark.createDataFrame([(i, f"c{i}", i, "prose", "ABC 101" if i == 2 else "", "", f"text number {i} " * 200) for i in range(4)], "ord long, id string, page int, type string, course_code string, title string, text string")
+    asked = []
+
+    def embedder(texts: pd.Series) -> pd.Series:
+        assert len(texts) <= 2
+        return vectors.hashed_embedding(texts)
+
+    index = plan.index_of(chunks, embedder, limit=3, batch=2)
+    assert index.chunks.count() == index.vectors.count() == 3 and index.query_prefix == config.QUERY_PREFIX and not asked
+    q = spark.createDataFrame([(1, "number 2")], "query_id long, text string")
+    rows = plan.index_of(chunks).nearest(q, 2).collect()
+    assert [r.rank for r in rows] == [1, 2] and all(len(r.snippet) <= 200 for r in rows)
+    listed = {r.label: r for r in index.listed(index.search(q)).collect()}
+    assert set(listed) == {"ABC 101", "prose"} and all(len(r.snippet) <= 150 for r in listed.values())
+    old = spark.createDataFrame([("c0", [9.0]), ("gone", [1.0])], "id string, v array<float>")
+    kept = {r.id: r.v for r in vectors.indexed(chunks.select("id", "text"), old).collect()}
+    assert set(kept) == {"c0", "c1", "c2", "c3", "gone"} and kept["c0"] == [9.0]
+    assert {r.id: len(r.v) for r in vectors.indexed(chunks.select("id", "text"), old, force=True).collect()}["c0"] > 1
+    index.save(str(tmp_path / "a"))
+    with pytest.warns(UserWarning, match="stale"):
+        back = plan.Index.load(spark, str(tmp_path / "a"), chunks)
+    assert plan.Index.is_fresh(spark, str(tmp_path / "a"), None) and back.n == 3
+    plan.index_of(chunks.limit(0)).save(str(tmp_path / "b"))
+    with pytest.warns(UserWarning, match="empty"):
+        plan.Index.load(spark, str(tmp_path / "b"))
+    got = index.answer(q, settings=config.Settings(top_n=3))
+    assert [(r.id, r.label) for r in index.excerpts(got).where("id = 'c2'").collect()] == [("c2", "ABC 101")]
+    assert all(len(r.text) <= 800 for r in index.excerpts(got).collect()) and [s.position for s in got.first().sources] == [1, 2, 3]
+    assert [(i, "".join(p).startswith("[p. ")) for i, p in index.stream(q)] == [(1, True)]
+
+
+def test_turns_of_whole_conversations(spark):
+    chunks = spark.createDataFrame([(i, f"c{i}", i, "prose", "", "", f"text number {i}") for i in range(4)], "ord long, id string, page int, type string, course_code string, title string, text string")
+    turns = spark.createDataFrame([(1, 0, "user", "number 1"), (1, 1, "assistant", "this"), (1, 2, "user", "and more"), (2, 0, "user", "fail"), (3, 0, "user", "x"), (3, 1, "assistant", "y")], "conv_id long, turn long, role string, text string")
+
+    def generator(prompts):
+        if len(prompts) and "number" in prompts.iloc[0]:
+            raise RuntimeError("no model")
+        return prompts
+
+    index = plan.index_of(chunks)
+    new = index.turns(turns)
+    assert {(r.conv_id, r.turn, r.role) for r in new.collect()} == {(1, 3, "assistant"), (2, 1, "assistant")}
+    assert all("no model" in r.text for r in index.turns(turns, generator).collect())
+    text = {r.conv_id: r.transcript for r in answer.transcripts(turns.withColumn("sources", F.lit(None).cast("array<struct<label:string,page:int>>")).unionByName(new.select("conv_id", "turn", "role", "text", F.expr("transform(sources, s -> named_struct('label', s.label, 'page', s.page))").alias("sources")))).collect()}
+    assert text[1].startswith("**You**: number 1\n\n**Assistant**: this\n\n**You**: and more\n\n**Assistant**: ") and text[1].count("\n  - prose (p. ") == 4
+
+
+def test_head_and_tail_of_courses(spark):
+    rows = spark.createDataFrame([(i, 0, f"ABC {100 + i}", "T") for i in range(40)], "page int, item int, course_code string, title string")
+    got = entities.head_and_tail(rows).collect()
+    assert [r.course_code for r in got if r.part == "first"] == [f"ABC {100 + i}" for i in range(15)]
+    assert sorted(r.course_code for r in got if r.part == "last") == [f"ABC {100 + i}" for i in range(25, 40)]
+
+
+def test_pages_of_several_files(spark, tmp_path):
+    import json
+
+    from leafmill.sources import pages as source
+
+    for name in "ab":
+        (tmp_path / f"{name}.json").write_text(json.dumps([{"text": f"{name}{i}"} for i in range(3)] + [{"page": "7", "content": f"{name}7"}, {"blocks": [{"x0": 0, "text": "u"}, {"x0": 1, "text": "v"}]}]))
+    got = sorted((r.text, r.page) for r in source.read_pages(spark, str(tmp_path / "*.json")).collect())
+    assert got == [("a0", 1), ("a1", 2), ("a2", 3), ("a7", 7), ("b0", 1), ("b1", 2), ("b2", 3), ("b7", 7), ("u\nv", 5), ("u\nv", 5)]
+
+
 def test_vectors(spark):
     v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "ord long, v array<float>")
     q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, v array<float>")
