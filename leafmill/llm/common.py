@@ -66,7 +66,8 @@ def looked_up(rows: DataFrame, by: DataFrame, key: str, value: str, spread: str,
     """
     often = F.col("n") > max(SPLIT, total // BROADCAST_KEYS)
     first = F.broadcast(by.where(often).select(key, F.col(value).alias("__often")))
-    rest = by.where(~often).select(key, F.col(value).alias("__rest"), F.lit(-1).alias("__part"))
+    # no plain literal, which would leave the join with the one key
+    rest = by.where(~often).select(key, F.col(value).alias("__rest"), F.when(F.col("n") > 0, F.lit(-1)).alias("__part"))
     part = F.when(F.col("__often").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64(spread), F.lit(1 << 16)).cast("int"))
     met = rows.join(first, key, "left").withColumn("__part", part).join(rest, [key, "__part"], "left")
     return met.withColumn(value, F.coalesce("__often", "__rest")).drop("__part", "__often", "__rest")

@@ -205,8 +205,8 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         root = known.join(joined, "root", "left").select("node", F.coalesce("above", "root").alias("root"))
 
     named = nodes.select("node", "min_id").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("min_id").alias("component_id"))
-    placed = written(named.join(least, "root").select("node", "component_id"), "near-placed")
+    least = named.groupBy("root").agg(F.min("min_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    placed = written(looked_up(named, least, "root", "component_id", "node", nodes.count()).select("node", "component_id"), "near-placed")
     dropped(nodes, members, tried, texts, links, left, more)
     alone = sig.where("n_shingles = 0").select("doc_id", "row", "n_shingles", F.col("doc_id").alias("component_id"))
     out = full.select("doc_id", "row", "n_shingles", "node").join(placed, "node").select("doc_id", "row", "n_shingles", "component_id")
