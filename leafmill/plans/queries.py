@@ -239,7 +239,8 @@ _VOC = "voc AS MATERIALIZED (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * avg(
 _ASK = rf"ask AS MATERIALIZED (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({WORDS.format('text')}) AS term FROM benchmark) GROUP BY ALL)"
 _SCORE = """score AS MATERIALIZED (SELECT query_id, ord, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avgdl FROM stat)))), 6) AS score FROM ask JOIN voc USING (term) JOIN post USING (term) GROUP BY ALL),
 lex AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord) AS rank FROM (SELECT query_id, ord, coalesce(score, 0.0) AS score FROM (SELECT item_id AS query_id, ord FROM benchmark, doc) LEFT JOIN score USING (query_id, ord))) WHERE rank <= 20)"""
-BM25 = f"WITH {_DOC}, {_POST}, {_STAT}, {_VOC}, {_ASK}, {_SCORE}"
+_CORPUS_TABLES = f"{_DOC}, {_POST}, {_STAT}, {_VOC}"
+BM25 = f"WITH {_CORPUS_TABLES}, {_ASK}, {_SCORE}"
 
 
 @query(f"WITH {_DOC}, {_POST} SELECT term, ord, tf, cast(dl AS bigint) AS dl FROM post")
