@@ -11,8 +11,8 @@ text's best so far is carried from block to block.
 
 Defined cases: ``und`` with score 0 for a null text or one without a letter, and for every text
 where no language could be learnt; a text of any length is treated whole; of equally near centroids the first by
-language wins; a row with a null id is learnt from and predicted like others; repeated rows count and are each
-predicted; an empty table gives no rows; further columns, whatever their names, are ignored.
+language wins; a row with a null id is learnt from and predicted like others; repeated rows count in the frequencies,
+are learnt from once and each predicted; an empty table gives no rows; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -22,18 +22,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fold, map_arrow, table, written
+from .common import BROADCAST_KEYS, bounded_batches, fold, looked_up, map_arrow, row_key, table, written
 
 BUCKETS, CENTROIDS, ROUNDS = 4096, 3, 8
-#: Labelled rows a language is learnt from, about; and the share of them that counts as too far.
+#: Labelled rows a language is learnt from at most; and the share of them that counts as too far.
 SAMPLE, TOO_FAR = 600, 0.005
 #: A sampled text's vector is made of the whole text; the vectors of one language are SAMPLE * BUCKETS * 4 bytes.
 UNKNOWN = "und"
-#: Values of lang whose counts are broadcast, and centroids in one block (16 KB each).
-LANGUAGES, BLOCK = 10_000, 1536
+#: Rows drawn for each that is learnt from, and centroids in one block (16 KB each).
+DRAWN, BLOCK = 1.5, 1536
 
 
 def grams(text: str) -> np.ndarray:
@@ -128,17 +128,20 @@ class Model:
 
 
 def sampled(rows: DataFrame, sample: int) -> DataFrame:
-    """lang, text: about ``sample`` rows of each language, chosen by a hash; its count decides the share."""
-    counts = written(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")), "languages")
-    n, every = counts.agg(F.count(F.lit(1)), F.sum("rows")).first()
-    if n <= LANGUAGES:
-        counted = rows.join(F.broadcast(counts), "lang")
-    else:
-        # languages with a LANGUAGES-th of the rows are fewer than LANGUAGES; the others are small groups
-        often = F.broadcast(counts.where(F.col("rows") * LANGUAGES > every))
-        counted = rows.join(often, "lang").unionByName(rows.join(often, "lang", "left_anti").join(counts, "lang"))
-    share = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id"), F.col("text")), F.lit(1 << 30)) / float(1 << 30)
-    return counted.where(share * F.col("rows") < sample).select("lang", "text")
+    """lang, text: the ``sample`` rows of each language with the least hashes, or all it has; repeated rows are one.
+
+    About half as many again are drawn by their hash against the language's count, and the least of them are kept, so
+    no language is gathered to find them, none is left out, and none brings more than ``sample`` texts.
+    """
+    keys = rows.select("lang", "doc_id", "text").select("lang", row_key().alias("key")).distinct()
+    keys = written(keys.withColumn("draw", F.pmod(F.xxhash64(F.lit("sample"), "key"), F.lit(1 << 30))), "languages")
+    counts = keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).withColumn("rows", F.col("n"))
+    drawn = looked_up(keys, counts, "lang", "rows", "key", keys.count()).where(F.col("draw") / float(1 << 30) * F.col("rows") < sample * DRAWN)
+    least = Window.partitionBy("lang").orderBy("draw", "key")
+    kept = written(drawn.withColumn("place", F.row_number().over(least)).where(F.col("place") <= sample).select("lang", "key"), "languages-drawn")
+    few = kept.count() <= BROADCAST_KEYS
+    texts = rows.select("lang", "text", row_key().alias("key")).join(F.broadcast(kept) if few else kept, ["lang", "key"])
+    return texts.dropDuplicates(["lang", "key"]).select("lang", "text")
 
 
 def learn(rows: DataFrame, k: int = CENTROIDS, sample: int = SAMPLE) -> Model:
