@@ -29,6 +29,8 @@ SHARDS = 16
 RACK, REGION = 2, 2
 #: Blocks of all shards that are numbered on their own, at most: the table of their counts is broadcast.
 MAX_BLOCKS, BLOCK_ROWS = 1 << 16, 100
+#: Slots that one row with a count becomes at once.
+SLOTS = 4096
 
 
 @dataclass(frozen=True)
@@ -94,8 +96,14 @@ def assign(docs: DataFrame, n_shards: int = SHARDS, base: int = SHARDS) -> DataF
     )
     # rows that are alike are one row with their count until they have their slots
     alike = placed.groupBy(*placed.columns).agg(F.count(F.lit(1)).alias("n"))
-    slots = with_slots(alike, n_shards, F.col("n")).withColumn("slot", F.explode(F.sequence(F.col("slot"), F.col("slot") + F.col("n") - 1)))
-    return slots.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    slots = with_slots(alike, n_shards, F.col("n"))
+    # many rows that are alike get their slots in runs of SLOTS, dealt to the tasks
+    last = F.col("slot") + F.col("n") - 1
+    runs = slots.where(F.col("n") > SLOTS).withColumn("from", F.explode(F.sequence("slot", last, F.lit(SLOTS).cast("long"))))
+    runs = runs.withColumn("to", F.least(F.col("from") + SLOTS - 1, last)).repartition("shard", "from")
+    few = slots.where(F.col("n") <= SLOTS).withColumn("from", F.col("slot")).withColumn("to", last)
+    out = few.unionByName(runs).withColumn("slot", F.explode(F.sequence("from", "to")))
+    return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def with_slots(placed: DataFrame, n_shards: int, n: Column | None = None) -> DataFrame:
