@@ -10,8 +10,8 @@ A string of LENGTH bytes is removed wherever it begins at two places or more.  F
 2. Sections that are the same to the last byte in two places are repeats as a whole.
 3. The different sections of a name go, together with many other names, to one task, which builds
    a run-compressed BWT of them with samples at the run ends, streams their matching statistics and marks
-   matches of LENGTH or more.  Blocks are bounded; a name with more than HOT different sections has
-   its windows counted by a hash of 128 bits over all tasks instead, so no group is ever gathered.  The
+   matches of LENGTH or more.  Blocks are bounded; a name with more than HOT different sections or HOT_BYTES of
+   them has its windows counted by a hash of 128 bits over all tasks instead, so no group is ever gathered.  The
    result is the same: both count every window of the name.
 4. The marks of a row come together and its bytes are cut.
 
@@ -38,8 +38,8 @@ from .rolling import OTHER_LETTERS, PrefixHash
 from .runs import repeated
 
 LENGTH, GRAM = 400, 64
-#: Bytes of sections in one index, and different sections of one name that an index takes.
-BLOCK_BYTES, HOT = 1 << 18, 1000
+#: Bytes of sections in one index, and different sections of one name, in number and bytes, that an index takes.
+BLOCK_BYTES, HOT, HOT_BYTES = 1 << 18, 1000, 1 << 21
 #: Windows of a section, after which it is cut.
 SECTION = 1 << 16
 
@@ -103,18 +103,18 @@ def _columns(rows: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
 
 
 def _cut(texts: DataFrame) -> DataFrame:
-    """name, row, start, n, bodies, bytes: the sections of each text that its ``asked`` lists."""
+    """name, row, start, n, counted, bytes: the sections of each text that its ``asked`` lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for row, text, asked in zip(*(batch.column(c).to_pylist() for c in ("row", "text", "asked")), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
-                out += [(x["name"], row, x["start"], x["n"], x["bodies"], raw[x["start"] : x["start"] + x["size"]]) for x in asked]
-            yield _columns(out, ("name", "row", "start", "n", "bodies", "bytes"))
+                out += [(x["name"], row, x["start"], x["n"], x["counted"], raw[x["start"] : x["start"] + x["size"]]) for x in asked]
+            yield _columns(out, ("name", "row", "start", "n", "counted", "bytes"))
 
     bounded_batches(texts.sparkSession)
-    return texts.mapInArrow(run, "name long, row binary, start long, n long, bodies long, bytes binary")
+    return texts.mapInArrow(run, "name long, row binary, start long, n long, counted long, bytes binary")
 
 
 def _indexed(cut: DataFrame, length: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -157,26 +157,27 @@ def _counted(cut: DataFrame, length: int) -> DataFrame:
     return hit.select("row", "start", (F.col("start") + length).alias("end"))
 
 
-def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """row, start, end: ranges of bytes covered by repeated strings; they may overlap."""
     rows = _rows(docs)
     found = written(all_sections(rows, length, gram), "repeat-all-sections")
     bodies = found.groupBy("name", "body").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "start", "size")).alias("at"), F.max("twice").alias("twice"))
-    names = bodies.groupBy("name").agg(F.count(F.lit(1)).alias("bodies"), F.max("twice").alias("any_twice"), F.max("n").alias("most"))
-    names = names.where("bodies > 1 or any_twice or most > 1").select("name", "bodies", "any_twice")
-    kept = written(bodies.join(names, "name").select("name", "body", "n", "at.*", "bodies", "any_twice"), "repeat-sections")
+    names = bodies.groupBy("name").agg(F.count(F.lit(1)).alias("bodies"), F.max("twice").alias("any_twice"), F.max("n").alias("most"), F.sum("at.size").alias("bytes"))
+    counted = ((F.col("bodies") > hot) | (F.col("bytes") > hot_bytes)).cast("long").alias("counted")
+    names = names.where("bodies > 1 or any_twice or most > 1").select("name", "bodies", "any_twice", counted)
+    kept = written(bodies.join(names, "name").select("name", "body", "n", "at.*", "bodies", "any_twice", "counted"), "repeat-sections")
 
     copies = kept.where("n > 1").select("name", "body")
     whole = written(found.join(copies, ["name", "body"]).select("row", "start", (F.col("start") + F.col("size")).alias("end")), "repeat-copies")
     dropped(found)
 
-    asked = kept.where("bodies > 1 or any_twice").groupBy("row").agg(F.collect_list(F.struct("name", "start", "size", "n", "bodies")).alias("asked"))
+    asked = kept.where("bodies > 1 or any_twice").groupBy("row").agg(F.collect_list(F.struct("name", "start", "size", "n", "counted")).alias("asked"))
     texts = rows.select("row", "text").join(asked, "row").dropDuplicates(["row"])
     cut = written(_cut(texts), "repeat-cut")
-    few = cut.where(F.col("bodies") <= hot).drop("bodies").repartition("name").sortWithinPartitions("name", "row", "start")
+    few = cut.where("counted = 0").drop("counted").repartition("name").sortWithinPartitions("name", "row", "start")
     out = whole.unionByName(_indexed(few, length))
-    if not kept.where(F.col("bodies") > hot).isEmpty():
-        out = out.unionByName(_counted(cut.where(F.col("bodies") > hot).drop("bodies"), length))
+    if not kept.where("counted = 1").isEmpty():
+        out = out.unionByName(_counted(cut.where("counted = 1").drop("counted"), length))
     return out
 
 
