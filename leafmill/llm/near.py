@@ -134,12 +134,12 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Dat
     return map_arrow(pairs.join(right, "b").join(left, ["a", "part"]).select("a", "b", "ta", "tb"), one, "a binary, b binary")
 
 
-def possible(texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b, n) of nodes (node, text, root) of different roots that can be similar enough.
+def possible(texts: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, list[DataFrame]]:
+    """Pairs (a, b, n) of nodes (node, text, root) of different roots that can be similar enough; and the tables read for it.
 
     Sets of n and m shingles need overlap o = ceil(percent (n + m) / (100 + percent)).  With the
     shingles of every set in one order, rarest first, the first common one is among the first n - o + 1
-    of the one and the first m - o + 1 of the other.
+    of the one and the first m - o + 1 of the other.  With n <= m, o is at least that of two sets of n.
     """
 
     def one(batch: pa.RecordBatch) -> dict:
@@ -155,21 +155,31 @@ def possible(texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     most = n - F.ceil(n * percent / 100).cast("int") + 1
     heads = ordered.select("node", "root", n.alias("n"), F.posexplode(F.slice("s", F.lit(1), most)).alias("i", "x")).where("x.c > 1")
     heads = written(heads.select("node", "root", "n", "i", F.col("x.h").alias("h"), F.col("x.c").alias("c")), "near-heads")
+    # of two sets the smaller meets the other with fewer of its first shingles: n - o + 1 at o for its own size
+    early = F.col("i") <= F.col("n") - F.ceil(2 * F.col("n") * percent / (100 + percent))
     # within a shingle's nodes, those of the largest component meet only the others
-    big = heads.groupBy("h", "c", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("h", "c").agg(F.max(F.struct("k", "root")).alias("top"), F.count(F.lit(1)).alias("roots"))
-    big = big.where("roots > 1").select("h", F.col("top.root").alias("top"), _parts(F.col("c")).alias("part"))
-    small = heads.withColumn("part", _dealt("node", F.col("c"))).join(big, ["h", "part"]).where("root <> top").drop("top", "part").withColumn("part", _parts(F.col("c")))
-    other = heads.select("h", F.col("node").alias("node2"), F.col("root").alias("root2"), F.col("n").alias("n2"), F.col("i").alias("i2"), _dealt("node", F.col("c")).alias("part"))
-    need = F.ceil((F.col("n") + F.col("n2")) * percent / (100 + percent))
-    met = small.join(other, ["h", "part"]).where((F.col("root") != F.col("root2")) & (F.col("i") <= F.col("n") - need) & (F.col("i2") <= F.col("n2") - need))
-    return met.groupBy(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).agg(F.max("c").alias("n"))
+    big = heads.groupBy("h", "c", "root").agg(F.count(F.lit(1)).alias("k"), F.max(early).alias("any")).groupBy("h", "c").agg(F.max(F.struct("k", "root")).alias("top"), F.count(F.lit(1)).alias("roots"), F.max("any").alias("any"))
+    big = big.where("roots > 1 and any").select("h", F.col("top.root").alias("top"), _parts(F.col("c")).alias("part"))
+    dealt = heads.withColumn("early", early).withColumn("part", _dealt("node", F.col("c"))).join(big, ["h", "part"]).drop("part")
+    dealt = written(dealt.withColumn("inside", F.col("root") == F.col("top")).drop("top"), "near-dealt")
+    end = lambda rows, k: rows.select("h", "c", *(F.col(c).alias(f"{c}{k}") for c in ("node", "root", "n", "i", "early", "inside")))
+    least, need = F.col("n1") <= F.col("n2"), F.ceil((F.col("n1") + F.col("n2")) * percent / (100 + percent))
+    close = (F.col("root1") != F.col("root2")) & least & (F.col("i1") <= F.col("n1") - need) & (F.col("i2") <= F.col("n2") - need)
+    out = []
+    # the smaller set is outside the largest component, or inside it and the other is outside
+    for small, large, copied in (("not inside and early", "true", 1), ("inside and early", "not inside", 2)):
+        one, two = end(dealt.where(small), 1), end(dealt.where(large), 2)
+        part, parts = _dealt("node2" if copied == 1 else "node1", F.col("c")), _parts(F.col("c"))
+        one, two = (one.withColumn("part", parts), two.withColumn("part", part)) if copied == 1 else (one.withColumn("part", part), two.withColumn("part", parts))
+        out.append(one.join(two.drop("c"), ["h", "part"]).where(close).select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b"), "c"))
+    return out[0].unionByName(out[1]).groupBy("a", "b").agg(F.max("c").alias("n")), [items, heads, dealt]
 
 
 def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, row, n_shingles, component_id, kept for every row."""
     sig = written(signatures(docs), "near-signatures")
     full = sig.where("n_shingles > 0")
-    nodes = full.groupBy("node").agg(F.min("doc_id").alias("min_id"), F.first("row").alias("row"), F.first("bands").alias("bands"))
+    nodes = full.groupBy("node").agg(F.min("doc_id").alias("min_id"), F.first("row").alias("row"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("rows"))
     nodes = written(nodes, "near-nodes")
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
     sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -194,8 +204,9 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     placed = members.where("n > 3").select("bucket", "node").join(root, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     several = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
     left = written(placed.join(several, "bucket").select("node", "root").distinct(), "near-left")
-    across = possible(texts.join(left, "node"), percent).join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    more = written(confirmed(across, texts, percent), "near-links")
+    across, used = possible(texts.join(left, "node"), percent)
+    more = written(confirmed(across.join(tried.select("a", "b"), ["a", "b"], "left_anti"), texts, percent), "near-links")
+    dropped(*used)
     if not more.isEmpty():
         # the components that these links join
         end = lambda c: left.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
@@ -204,12 +215,12 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         joined = joined.select(F.col("node").alias("root"), F.col("root").alias("above"))
         root = known.join(joined, "root", "left").select("node", F.coalesce("above", "root").alias("root"))
 
-    named = nodes.select("node", "min_id").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = nodes.select("node", "min_id", "rows").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("min_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
-    placed = written(looked_up(named, least, "root", "component_id", "node", nodes.count()).select("node", "component_id"), "near-placed")
+    placed = written(looked_up(named, least, "root", "component_id", "node", nodes.count()).select("node", "component_id", F.col("rows").alias("n")), "near-placed")
     dropped(nodes, members, tried, texts, links, left, more)
     alone = sig.where("n_shingles = 0").select("doc_id", "row", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = full.select("doc_id", "row", "n_shingles", "node").join(placed, "node").select("doc_id", "row", "n_shingles", "component_id")
+    out = looked_up(full.select("doc_id", "row", "n_shingles", "node"), placed, "node", "component_id", "row", sig.count()).select("doc_id", "row", "n_shingles", "component_id")
     return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
