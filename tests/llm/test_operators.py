@@ -266,8 +266,7 @@ def test_language_by_brute_force(spark, monkeypatch):
     model = langid.learn(langid.learnable(docs, F.lit(False)))
     centroids = [(r.lang, np.frombuffer(r.centre, "<f4"), r.least) for r in model.table.orderBy("lang", "centre").collect()]
     whole = sorted(map(tuple, langid.predict(docs, model, reject=False).collect()))
-    monkeypatch.setattr(langid, "BLOCK", 4)  # several blocks, and counts that are not broadcast
-    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    monkeypatch.setattr(langid, "BLOCK", 4)  # several blocks
     assert sorted(r[:2] for r in map(tuple, langid.predict(docs, model, reject=False).collect())) == [r[:2] for r in whole]
     assert langid.sampled(docs, 10**9).count() == 244
     n = 243
@@ -286,6 +285,23 @@ def test_language_by_brute_force(spark, monkeypatch):
 CLASH = ["row", "key", "hit", "items", "score", "topic", "p", "w", "near", "least", "media", "n_bytes", "marks", "shard", "slot", "node", "bands", "start", "end", "name", "body", "n", "block", "size", "counts", "doc", "y", "tokens", "__row", "rejected"]
 
 
+def test_language_of_repeated_rows(spark):
+    """Languages whose rows are all alike are learnt from, and none brings more than the sample."""
+    rows = [(None if i % 2 else i, f"word{i} text{i}", f"l{i:02}") for i in range(20) for _ in range(500)]
+    rows += [(1000 + j, f"plain {j}", "usual") for j in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = Counter(r.lang for r in langid.sampled(docs, 600).collect())
+    assert got == {f"l{i:02}": 1 for i in range(20)} | {"usual": 600}
+
+
+def test_shards_of_many_alike_rows(spark):
+    rows = spark.range(1_000_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    rows = rows.unionByName(documents(spark, odd()).select("doc_id", "text"))
+    got = shards.assign(rows).groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("slot").alias("d"), F.min("slot").alias("low"), F.max("slot").alias("high")).collect()
+    assert sum(r.n for r in got) == 1_000_000 + len(odd())
+    assert all(r.n == r.d == r.high + 1 and r.low == 0 for r in got)
+
+
 def test_odd_tables(spark):
     """Null ids, repeated rows, null and empty texts and clashing columns in all operators on documents."""
     text = "The quick brown fox jumps over the lazy dog and runs away from here again. " * 8
@@ -326,6 +342,13 @@ def brute_repeats(texts, length):
     return out
 
 
+def spans_of(marks):
+    found = {}
+    for r in marks.collect():
+        found.setdefault(bytes(r.row), []).append({"start": r.start, "end": r.end})
+    return {k: repeats.spans(v) for k, v in found.items()}
+
+
 @pytest.mark.parametrize("hot", [1000, 1])
 def test_repeats_brute_force(spark, hot):
     texts = odd()
@@ -336,6 +359,9 @@ def test_repeats_brute_force(spark, hot):
     docs = docs.unionByName(docs.where("doc_id = 13"))
     texts.append(texts[13])
     got = sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.report(docs, hot=hot).collect())
+    if hot == 1000:  # hot by its bytes
+        marks = lambda **limits: spans_of(repeats.marks(docs, **limits))
+        assert marks(hot_bytes=1000) == marks()
     assert got == sorted(brute_repeats(texts, 400))
     assert repeats.report(docs.limit(0)).count() == 0
     cut = repeats.deduplicate(docs)
@@ -561,6 +587,26 @@ def test_near_brute_force(spark):
     assert near.classes(docs.limit(0)).count() == 0
 
 
+def test_near_templates_below_the_threshold(spark):
+    """Pages of one template that are not similar enough, of several sizes, with a few that are."""
+    rng = random.Random(11)
+    shared = [f"t{i}" for i in range(60)]
+    texts = []
+    for i in range(150):
+        own = [f"p{i}x{j}" for j in range(rng.choice((9, 12, 14, 24)))]
+        texts.append(" ".join([*shared[: rng.choice((50, 60))], *own]))
+        if i % 10 == 0:
+            texts.append(texts[-1] + " more")
+    sets = [set(near.shingles(t).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    assert {r.doc_id: r.component_id for r in near.classes(documents(spark, texts)).collect()} == dict(enumerate(root))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (200, 200)]
     got = {r.node: r.root for r in near.components(spark.createDataFrame(edges, "a long, b long")).collect()}
