@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import BM25_B, BM25_EPSILON, BM25_K1
+from ..config import BM25_EPSILON
 from ..functions.text import tokens
 from ..plans.stages import materialised
+from . import blocks
 
 
 def postings(corpus: DataFrame) -> DataFrame:
@@ -21,42 +22,42 @@ def corpus_stats(corpus: DataFrame) -> DataFrame:
 
 
 def vocabulary(posts: DataFrame, n: int) -> DataFrame:
-    """term, df, idf; a negative idf becomes a share of the mean idf."""
-    df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    """term, df, idf of postings."""
+    return weighted(posts.groupBy("term").agg(F.count(F.lit(1)).alias("df")), n)
+
+
+def weighted(df: DataFrame, n: int) -> DataFrame:
+    """term, df, idf of (term, df); a negative idf becomes a share of the mean idf."""
     raw = df.withColumn("raw", F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("mean") * BM25_EPSILON).otherwise(F.col("raw")).alias("idf"))
 
 
-def scores(questions: DataFrame, posts: DataFrame, vocab: DataFrame, n: int, n_tokens: int, blank: DataFrame | None = None) -> DataFrame:
-    """query_id, ord, score of documents that share a term; a term asked twice counts twice.
+def top_k(scored: DataFrame, k: int, also: Column | None = None) -> DataFrame:
+    """query_id, ord, score, rank: best first, ties in corpus order; and rows that ``also`` names, whatever their rank."""
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "ord")
+    kept = F.col("rank") <= k
+    return scored.withColumn("rank", F.row_number().over(w)).where(kept if also is None else kept | also)
 
-    Documents in blank (query_id, ord) score 0 at least.
-    """
-    asked = questions.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    mean = n_tokens / n if n else 1.0
-    weight = F.col("idf") * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / mean))
-    met = asked.join(vocab, "term").join(posts, "term").select("query_id", "ord", (F.col("times") * weight).alias("w"))
-    met = met if blank is None else met.unionByName(blank.select("query_id", "ord", F.lit(0.0).alias("w")))
-    return met.groupBy("query_id", "ord").agg(F.round(F.sum("w"), 6).alias("score"))
 
+def search(questions: DataFrame, corpus: DataFrame, k: int, pad: bool = True, index: tuple | None = None, **options) -> DataFrame:
+    """The k best of every question; with pad, documents of score 0 follow in corpus order.
 
-def top_k(scored: DataFrame, k: int) -> DataFrame:
-    """query_id, ord, score, rank: best first, ties in corpus order."""
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "ord")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def search(questions: DataFrame, corpus: DataFrame, k: int, pad: bool = True, index: tuple | None = None) -> DataFrame:
-    """The k best of every question; with pad, documents of score 0 follow in corpus order."""
-    if index is None:
-        index = indexed(corpus)
-    blank = None
-    if pad:
-        # a question with fewer than k scored documents finds the rest among the first 2k of the corpus
-        first = [r.ord for r in corpus.select(F.col("ord").cast("long").alias("ord")).orderBy("ord").limit(2 * k).collect()]
-        blank = questions.select("query_id", F.explode(F.lit(first).cast("array<bigint>")).alias("ord"))
-    return top_k(scores(questions, *index, blank), k)
+    index: postings or blocks of them, vocabulary, documents, tokens.
+    """
+    posts, vocab, n, n_tokens = index or indexed(corpus)
+    asked = questions.select(F.col("query_id").cast("long").alias("query_id"), "text")
+    found = blocks.named(posts, asked)
+    found = found if "range" in found.columns else blocks.packed(found, options.get("width", blocks.WIDTH))
+    # a question with fewer than k scored documents finds the rest among the first 2k of the corpus
+    first = [r.ord for r in corpus.select(F.col("ord").cast("long").alias("ord")).orderBy("ord").limit(2 * k).collect()] if pad else []
+    scored = blocks.scores(asked, found, vocab, n, n_tokens, k, first, **options)
+    if not pad:
+        return top_k(scored, k)
+    scored = top_k(scored.withColumn("first", F.col("ord").isin(first)), k, F.col("first")).drop("rank")
+    blank = asked.select("query_id", F.explode(F.lit(first).cast("array<bigint>")).alias("ord"))
+    blank = blank.join(scored.where("first").select("query_id", "ord"), ["query_id", "ord"], "left_anti")
+    return top_k(scored.drop("first").unionByName(blank.withColumn("score", F.lit(0.0))), k)
 
 
 def indexed(corpus: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:

@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEPTH, EMBED_BATCH, EXCERPT_CHARS, QUERY_PREFIX, RERANK_DEPTH, RERANK_KEEP, RRF_K, TOP_N, Settings
-from ..operators import answer, chunking, documents, extraction, fusion, lexical, records, vectors
+from ..operators import answer, blocks, chunking, documents, extraction, fusion, lexical, records, vectors
 from ..operators.answer import first_sentences, word_by_word
 from .stages import materialised
 
 
 @dataclass
 class Index:
-    """Tables of an index: chunks (ord, id, page, type, course_code, title, text), postings, vocabulary, vectors, sizes.
+    """Tables of an index: chunks (ord, id, page, type, course_code, title, text), postings in blocks, vocabulary, vectors, sizes.
 
     embedder makes the vectors of questions, which have query_prefix before them, as asymmetric models want it.
     """
@@ -37,7 +37,7 @@ class Index:
         return self.postings, self.vocabulary, self.n, self.n_tokens
 
     def save(self, path: str) -> None:
-        """Write the tables: postings sorted by term, so that a question's terms are found by the files' statistics."""
+        """Write the tables: postings sorted by term, so that files and row groups without a question's terms are passed over."""
         for name in ("chunks", "postings", "vocabulary", "vectors"):
             df = getattr(self, name)
             df = df.repartitionByRange("term").sortWithinPartitions("term") if name in ("postings", "vocabulary") else df
@@ -139,7 +139,7 @@ def index_of(chunks: DataFrame, embedder: Callable[[pd.Series], pd.Series] | Non
     made = vectors.indexed(chunks, stored, embedder or vectors.hashed_embedding, batch, force)
     vecs = materialised(chunks.select("ord", "id").join(made, "id").select("ord", "id", "v"))
     posts, vocab, n, n_tokens = lexical.indexed(chunks)
-    return Index(chunks, posts, vocab, vecs, n, n_tokens, *(() if embedder is None else (embedder, QUERY_PREFIX)))
+    return Index(chunks, materialised(blocks.packed(posts)), vocab, vecs, n, n_tokens, *(() if embedder is None else (embedder, QUERY_PREFIX)))
 
 
 def documents_of(pages: DataFrame, tables: DataFrame | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import text as T
-from ..operators import answer, chunking, documents, entities, extraction, fusion, layout, lexical, records, sections, tables, vectors
+from ..operators import answer, blocks, chunking, documents, entities, extraction, fusion, layout, lexical, records, sections, tables, vectors
 from . import index as plan
 
 QUERIES, SQL = {}, {}
@@ -268,6 +268,12 @@ def bm25_batch(spark, d):
     return _lexical(spark, d).select("query_id", "ord", "score", F.col("rank").cast("long").alias("rank"))
 
 
+@query(f"WITH {_DOC}, {_POST}, {_ASK} SELECT query_id, cast(count(*) AS bigint) AS postings, cast(count(DISTINCT (term, ord // 1024)) AS bigint) AS blocks FROM ask JOIN post USING (term) GROUP BY query_id")
+def bm25_rows_read(spark, d):
+    """What the blocks of postings save: a question's postings, and the rows that hold them."""
+    return blocks.rows_read(_questions(spark, d), blocks.packed(lexical.postings(_corpus(spark, d))))
+
+
 @query("SELECT item_id AS query_id, doc_id AS ord, 0.0::double AS score FROM benchmark, (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 5)")
 def bm25_zero_padding(spark, d):
     asked = _questions(spark, d).withColumn("text", F.lit("qqqqzzzz"))
