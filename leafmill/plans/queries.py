@@ -9,6 +9,8 @@ from .. import config
 from ..functions import text as T
 from ..operators import answer, blocks, chunking, documents, entities, extraction, fusion, layout, lexical, records, sections, tables, vectors
 from . import index as plan
+from .segments import Segments
+from .stages import folder
 
 QUERIES, SQL = {}, {}
 
@@ -280,6 +282,37 @@ def bm25_zero_padding(spark, d):
     return lexical.search(asked, _corpus(spark, d), 5).select("query_id", "ord", "score")
 
 
+_REVISED = "(SELECT doc_id, CASE WHEN doc_id % 13 = 2 THEN concat(coalesce(text, ''), ' third edition') WHEN doc_id % 7 = 1 THEN concat(coalesce(text, ''), ' revised edition') ELSE text END AS text FROM documents WHERE doc_id % 11 <> 3)"
+_REVISED_TABLES = f"{_DOC.replace('FROM documents', f'FROM {_REVISED}')}, {_POST}, {_STAT}, {_VOC}"
+
+
+def _segmented(spark, d) -> Segments:
+    """Three batches: most documents; the others and revised ones; deletions and new revisions.  One comes again, then all are merged."""
+    index = Segments(spark, folder(spark, "segments"))
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("ord"), F.col("source").alias("type"), (F.col("doc_id") % 270).cast("int").alias("page"), F.lit(False).alias("deleted"), "text")
+    said = lambda words: F.concat(F.coalesce("text", F.lit("")), F.lit(words))
+    revised = docs.withColumn("text", F.when(F.col("id") % 7 == 1, said(" revised edition")).otherwise(F.col("text"))).where("id % 5 = 4 or id % 7 = 1")
+    last = docs.withColumn("deleted", F.col("id") % 11 == 3).withColumn("text", said(" third edition")).where("deleted or id % 13 = 2")
+    for epoch, batch in enumerate((docs.where("id % 5 <> 4"), revised, last)):
+        index.apply(batch, epoch)
+    index.apply(revised, 1)
+    index.merge(tier=100)
+    return index
+
+
+@query(f"WITH {_REVISED_TABLES} SELECT term, df, round(idf, 6) AS idf FROM voc")
+def segment_vocabulary(spark, d):
+    """The vocabulary that deltas of batches add up to."""
+    return _segmented(spark, d).index().vocabulary.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(f"WITH {_REVISED_TABLES}, {_ASK}, {_SCORE} SELECT query_id, ord, score, rank FROM lex")
+def segment_search(spark, d):
+    """A search over segments finds what one over the final documents does."""
+    index = _segmented(spark, d).index()
+    return lexical.search(_questions(spark, d), index.chunks, config.DEPTH, index=index.lexical).select("query_id", "ord", "score", F.col("rank").cast("long").alias("rank"))
+
+
 def _vectors(spark, d):
     return _t(spark, d, "embeddings").select(F.col("vec_id").alias("ord"), F.col("embedding").alias("v"))
 

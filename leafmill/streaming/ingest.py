@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import vectors
+from ..plans.segments import Segments
 
 
 def ingest(spark: SparkSession, source: str, schema: str, store: str, checkpoint: str) -> StreamingQuery:
@@ -27,6 +28,21 @@ def ingest(spark: SparkSession, source: str, schema: str, store: str, checkpoint
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingest_changes(spark: SparkSession, source: str, schema: str, index: Segments, checkpoint: str, merge: bool = True) -> StreamingQuery:
+    """Apply files of changes (see ``Segments``) as they arrive, a segment a batch; small segments are merged in between.
+
+    A batch that runs again after a failure finds its epoch in the manifest and changes nothing.
+    """
+
+    def batch(df: DataFrame, epoch: int) -> None:
+        index.apply(df, epoch)
+        if merge:
+            index.merge()
+
+    stream = spark.readStream.schema(schema).parquet(source)
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def once_each(events: DataFrame, key: str, at: str, late: str) -> DataFrame:
     """A stream without repeats of a key that arrive within the watermark."""
     return events.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
