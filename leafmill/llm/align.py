@@ -34,8 +34,12 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, dropped, map_arrow, table, text_or_empty, written
 from .tokens import _byte_letters
 
-#: Units that a worker remembers in each of two generations, and the longest of them in characters.
+#: Units that a worker remembers in each of two generations, about, and the longest of them in characters.
 REMEMBER, LONGEST = 100_000, 64
+#: Units that are encoded in one call, and characters of texts that are taken together.
+AT_ONCE, TOGETHER = 4096, 1 << 21
+#: What a unit has that does not come back byte by byte, or a text that has such a unit.
+NO_TOKENS: tuple = (0, 0, 0, "", (), ())
 #: Irregular pairs that go to every task are fewer than this.
 FREQUENT = 1 << 19
 
@@ -64,10 +68,12 @@ class Aligner:
             self.a_bytes[i] = token.encode() if token in special else bytes(letters[c] for c in token)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.a_size, self.b_size = (np.array([len(t) for t in v], np.int64) for v in (self.a_bytes, self.b_bytes))
+        self.a_size, self.b_size = (list(map(len, v)) for v in (self.a_bytes, self.b_bytes))
+        self.a_said, self.b_said = ([str(i) for i in range(len(v))] for v in (self.a_bytes, self.b_bytes))
         # of several B ids of the same bytes the last: byte pieces, which stand first, are for characters without one
         plain = {t: i for i, t in enumerate(self.b_bytes) if not (self.b.is_control(i) or self.b.is_unknown(i))}
         self.same = np.array([plain.get(t, -1) for t in self.a_bytes], np.int64)
+        self.same_as = self.same.tolist()
         self.apart = not any(" " in p.lstrip("▁").replace("▁", " ") for p in pieces)
         self.known: dict[str, tuple] = {}
         self.older: dict[str, tuple] = {}
@@ -76,56 +82,78 @@ class Aligner:
         """The text in parts that begin with a blank, which is left out; neither tokenizer merges over them."""
         return _CUT(text) if self.apart else [text]
 
-    def unit(self, unit: str) -> tuple:
-        got = self.known.get(unit)
-        if got is None:
-            got = self.older.get(unit) or self.aligned(unit)
-            if len(unit) <= LONGEST:
-                if len(self.known) >= REMEMBER:
-                    self.known, self.older = {}, self.known
-                self.known[unit] = got
-        return got
-
-    def aligned(self, unit: str) -> tuple:
-        """A's tokens, B's tokens, groups, their text, A ids of exact links, irregular pairs, whether all bytes came back."""
-        raw = (" " + unit).encode("utf-8", "surrogatepass")
-        try:
-            a, b = np.array(self.a.encode(" " + unit, add_special_tokens=False).ids, np.int64), np.array(self.b.encode(unit), np.int64)
-        except UnicodeEncodeError:  # half a surrogate pair is no text
-            return 0, 0, 0, "", [], [], False
-        if b"".join([self.a_bytes[i] for i in a]) != raw or b"".join([self.b_bytes[i] for i in b]) != raw:
-            return 0, 0, 0, "", [], [], False
-        ends_a, ends_b = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
-        both = np.intersect1d(ends_a, ends_b, assume_unique=True)
-        last_a, last_b = np.searchsorted(ends_a, both), np.searchsorted(ends_b, both)
-        exact = (np.diff(last_a, prepend=-1) == 1) & (np.diff(last_b, prepend=-1) == 1)
-        x, y = a[last_a], b[last_b]
-        exact &= self.same[x] == y
-        sides = (np.split(v, last[:-1] + 1) for v, last in ((a, last_a), (b, last_b)))
-        text = ";".join([f"{','.join(map(str, p.tolist()))}|{','.join(map(str, q.tolist()))}" for p, q in zip(*sides, strict=True)])
-        return len(a), len(b), len(both), text, x[exact].tolist(), (x[~exact] << 32 | y[~exact]).tolist(), True
-
-    def row(self, text: str) -> tuple:
-        """The same of a whole text, with a digest in place of the groups' text."""
-        none = 0, 0, 0, "", [], []
-        if not text:
-            return none
-        n_a = n_b = groups = 0
-        exact: list[int] = []
-        odd: list[int] = []
-        digest, unit, before = hashlib.sha256(), self.unit, b""
-        for part in self.units(text):
-            a, b, n, said, e, o, whole = unit(part)
-            if not whole:
-                return none
-            n_a += a
-            n_b += b
-            groups += n
-            digest.update(before + said.encode())
-            before = b";"
-            exact += e
-            odd += o
-        return n_a, n_b, groups, digest.hexdigest(), exact, odd
+    def rows(self, texts: list[str]) -> list[tuple]:
+        """For each text: A's tokens, B's tokens, groups, digest, A ids of exact links, irregular pairs."""
+        cut = [self.units(t) if t else [] for t in texts]
+        found = self.found({u for units in cut for u in units})
+        return [self.row([found[u] for u in units]) for units in cut]
+
+    def found(self, units: set[str]) -> dict[str, tuple]:
+        """What is known of the units, encoding those that are new in one go."""
+        known, older = self.known, self.older
+        out = {u: got for u in units if (got := known.get(u) or older.get(u))}
+        new = [u for u in units if u not in out]
+        for at in range(0, len(new), AT_ONCE):
+            part = new[at : at + AT_ONCE]
+            try:
+                a, b = [e.ids for e in self.a.encode_batch([" " + u for u in part], add_special_tokens=False)], self.b.encode(part)
+            except (UnicodeEncodeError, TypeError):  # half a surrogate pair is no text
+                whole = [u for u in part if _is_text(u)]
+                out |= dict.fromkeys(part, NO_TOKENS)
+                part, a, b = whole, [e.ids for e in self.a.encode_batch([" " + u for u in whole], add_special_tokens=False)], self.b.encode(whole)
+            for u, x, y in zip(part, a, b, strict=True):
+                out[u] = self.aligned((" " + u).encode(), x, y)
+        if len(known) > REMEMBER:
+            self.older, known = known, {}
+            self.known = known
+        for u in units:
+            if len(u) <= LONGEST:
+                known[u] = out[u]
+        return out
+
+    def aligned(self, raw: bytes, a: list[int], b: list[int]) -> tuple:
+        """A's tokens, B's tokens, groups, their text, A ids of exact links, irregular pairs; nothing if not all bytes came back."""
+        of_a, of_b, said_a, said_b, same = self.a_bytes, self.b_bytes, self.a_said, self.b_said, self.same_as
+        if b"".join([of_a[i] for i in a]) != raw or b"".join([of_b[i] for i in b]) != raw:
+            return NO_TOKENS
+        size_a, size_b, groups, exact, odd = self.a_size, self.b_size, [], [], []
+        i = j = from_a = from_b = 0
+        end_a, end_b = size_a[a[0]], size_b[b[0]]
+        while True:
+            if end_a == end_b:
+                x, y = a[i], b[j]
+                if i == from_a and j == from_b and same[x] == y:
+                    exact.append(x)
+                    groups.append(said_a[x] + "|" + said_b[y])
+                else:
+                    odd.append(x << 32 | y)
+                    groups.append(",".join([said_a[k] for k in a[from_a : i + 1]]) + "|" + ",".join([said_b[k] for k in b[from_b : j + 1]]))
+                from_a, from_b = i + 1, j + 1
+                if from_a == len(a):
+                    return len(a), len(b), len(groups), ";".join(groups), tuple(exact), tuple(odd)
+            behind = end_b - end_a
+            if behind >= 0:
+                i += 1
+                end_a += size_a[a[i]]
+            if behind <= 0:
+                j += 1
+                end_b += size_b[b[j]]
+
+    def row(self, parts: list[tuple]) -> tuple:
+        """The parts of a text as one, with a digest in place of the groups' text."""
+        if not parts or not all(p[0] for p in parts):
+            return NO_TOKENS
+        digest = hashlib.sha256(";".join([p[3] for p in parts]).encode()).hexdigest()
+        a, b, n = (sum([p[k] for p in parts]) for k in range(3))
+        return a, b, n, digest, [x for p in parts for x in p[4]], [x for p in parts for x in p[5]]
+
+
+def _is_text(unit: str) -> bool:
+    try:
+        unit.encode()
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 _CUT = re.compile(r"(?<=[^\s᠎]) (?=[^\s᠎])").split
@@ -144,7 +172,13 @@ def links(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"].replace("bigint", "long")
 
     def one(batch: pa.RecordBatch) -> dict:
-        rows = list(zip(*map(aligner(paths).row, batch.column("text").to_pylist()), strict=True))
+        texts, found, at, size = batch.column("text").to_pylist(), [], 0, 0
+        for k, t in enumerate(texts):
+            size += len(t)
+            if size >= TOGETHER or k + 1 == len(texts):
+                found += aligner(paths).rows(texts[at : k + 1])
+                at, size = k + 1, 0
+        rows = list(zip(*found, strict=True))
         packed = {"exact": [np.array(x, "<i4").tobytes() for x in rows[4]], "odd": [np.array(x, "<i8").tobytes() for x in rows[5]]}
         return {"rid": batch.column("rid"), "doc_id": batch.column("doc_id")} | dict(zip(("n_a", "n_b", "n_groups", "groups_sha256"), rows, strict=False)) | packed
 
