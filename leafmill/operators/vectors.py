@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ..config import EMBED_BATCH
 
-#: Query vectors that go to the tasks at once.
-QUERY_BLOCK = 4096
+#: Query vectors that go to the tasks at once, and vectors or queries of a block where both are dealt to a grid.
+QUERY_BLOCK, SIDE = 4096, 8192
 #: Cells of the index at most, vectors they are fitted to, vectors that the share to probe is found with, and its recall there.
 MAX_CELLS, SAMPLED, TRIED, RECALL = 1024, 20_000, 200, 0.95
 #: Pairs of a query and a vector that a task holds at once.
@@ -50,23 +50,54 @@ def embed(rows: DataFrame, embedder: Callable[[pd.Series], pd.Series] = hashed_e
     return rows.withColumn("v", F.pandas_udf(run, "array<float>")("text"))
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, few: int = QUERY_BLOCK, side: int = SIDE) -> DataFrame:
     """query_id, ord, distance, rank: exact cosine neighbours.
 
-    Queries go to the tasks in blocks; every task keeps its own k best of each query, and the best of those
-    are ranked.  No pair of a query and a vector becomes a row beyond that.
+    Up to ``few`` queries go to all tasks, so that vectors do not move.  More of them meet the vectors on a grid: both
+    sides are dealt to blocks, each pair of blocks is one cell, and a cell keeps the k best of each of its queries.
+    No pair of a query and a vector becomes a row beyond that.
     """
-    out, block = None, []
-    for r in queries.select("query_id", "v").toLocalIterator():
-        block.append((r.query_id, r.v))
-        if len(block) == QUERY_BLOCK:
-            part = _block(block, vectors, k)
-            out, block = part if out is None else out.unionByName(part), []
-    if block or out is None:
-        part = _block(block, vectors, k)
-        out = part if out is None else out.unionByName(part)
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "v").where("v is not null")
+    given = vectors.select(F.col("ord").cast("long").alias("ord"), "v").where("v is not null")
+    some = asked.limit(few + 1).collect() if few else None
+    return best(_block([(r.query_id, r.v) for r in some], given, k) if some is not None and len(some) <= few else _grid(asked, given, k, side), k)
+
+
+def best(found: DataFrame, k: int) -> DataFrame:
+    """The k nearest of each query, with their rank."""
     w = Window.partitionBy("query_id").orderBy("distance", "ord")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """A column of arrays of equal length, as rows of length one."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return _unit(flat.reshape(len(column), -1)) if len(column) else np.zeros((0, 0))
+
+
+def _grid(asked: DataFrame, given: DataFrame, k: int, side: int) -> DataFrame:
+    blocks = lambda df: max(1, -(-df.count() // side))
+    rows, columns = blocks(asked), blocks(given)
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = asked.withColumn("row", own("query_id", rows)).withColumn("column", every(columns))
+    v = given.withColumn("column", own("ord", columns)).withColumn("row", every(rows))
+
+    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, ords = left.column("query_id").to_numpy(), right.column("ord").to_numpy()
+        out = ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)])
+        if len(ids) and len(ords):
+            a, b = matrix(left.column("v")), matrix(right.column("v"))
+            for at in range(0, len(a), max(1, PAIRS // len(b))):
+                part = slice(at, at + max(1, PAIRS // len(b)))
+                d = np.round(np.maximum(0.0, 1 - a[part] @ b.T), 6)
+                top = np.lexsort((np.broadcast_to(ords, d.shape), d), axis=1)[:, :k]
+                for x, y in zip(out, (np.repeat(ids[part], top.shape[1]), ords[top].ravel(), np.take_along_axis(d, top, 1).ravel()), strict=True):
+                    x.append(y)
+        return pa.table(dict(zip(("query_id", "ord", "distance"), map(np.concatenate, out), strict=True)))
+
+    return q.groupBy("row", "column").cogroup(v.groupBy("row", "column")).applyInArrow(cell, "query_id long, ord long, distance double")
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -86,7 +117,7 @@ def _block(block: list, vectors: DataFrame, k: int) -> DataFrame:
         for b in batches:
             for part in (b.slice(i, rows) for rows in [max(k, PAIRS // len(q))] for i in range(0, b.num_rows, rows)):
                 ords = np.array(part.column("ord"))
-                d = np.round(np.maximum(0.0, 1 - q @ _unit(np.array(part.column("v").to_pylist(), np.float64)).T), 6)
+                d = np.round(np.maximum(0.0, 1 - q @ matrix(part.column("v")).T), 6)
                 d, o = np.hstack([best_d, d]), np.hstack([best_o, np.broadcast_to(ords, d.shape)])
                 best = np.lexsort((o, d), axis=1)[:, :k]
                 best_d, best_o = np.take_along_axis(d, best, 1), np.take_along_axis(o, best, 1)
@@ -159,7 +190,7 @@ def nearest_in_cells(queries: DataFrame, vectors: DataFrame, k: int, recall: flo
         size = np.zeros(len(centres.value.centres), np.int64)
         for b in batches:
             if b.num_rows:
-                size += np.bincount(centres.value.of(_unit(np.array(b.column("v").to_pylist(), np.float64))), minlength=len(size))
+                size += np.bincount(centres.value.of(matrix(b.column("v"))), minlength=len(size))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(size))), pa.array(size)], names=["cell", "n"])
 
     size = np.zeros(len(cells.centres), np.int64)
@@ -172,17 +203,10 @@ def nearest_in_cells(queries: DataFrame, vectors: DataFrame, k: int, recall: flo
         sent = spark.sparkContext.broadcast((np.array([i for i, _ in block], np.int64), q, cells.probes(q, size, cells.share, k)))
         return given.mapInArrow(lambda batches: _probed(batches, centres.value, *sent.value, k), "query_id long, ord long, distance double")
 
-    out, block = None, []
-    for r in queries.select("query_id", "v").where("v is not null").toLocalIterator():
-        block.append((r.query_id, r.v))
-        if len(block) == QUERY_BLOCK:
-            out, block = asked(block) if out is None else out.unionByName(asked(block)), []
-    if block:
-        out = asked(block) if out is None else out.unionByName(asked(block))
-    if out is None:
-        return nearest(queries.limit(0), vectors, k)
-    w = Window.partitionBy("query_id").orderBy("distance", "ord")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    some = [(r.query_id, r.v) for r in queries.select("query_id", "v").where("v is not null").limit(QUERY_BLOCK + 1).collect()]
+    if not some or len(some) > QUERY_BLOCK:  # many queries: the exact grid, or an index written by cells
+        return nearest(queries, vectors, k)
+    return best(asked(some), k)
 
 
 def _probed(batches: Iterator[pa.RecordBatch], cells: Cells, ids: np.ndarray, q: np.ndarray, mask: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
@@ -191,7 +215,7 @@ def _probed(batches: Iterator[pa.RecordBatch], cells: Cells, ids: np.ndarray, q:
     rows = max(k, PAIRS // len(q))
     for b in batches:
         for part in (b.slice(i, rows) for i in range(0, b.num_rows, rows)):
-            ords, u = np.array(part.column("ord")), _unit(np.array(part.column("v").to_pylist(), np.float64))
+            ords, u = np.array(part.column("ord")), matrix(part.column("v"))
             cell = cells.of(u)
             d = np.full((len(q), len(u)), np.inf)
             for c in np.unique(cell):

@@ -220,10 +220,10 @@ def limited_index(spark, d):
 @query("""SELECT query_id, ord, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, ord) AS rank FROM (
  SELECT a.vec_id AS query_id, b.vec_id AS ord, round(greatest(0.0, 1 - list_cosine_similarity(a.embedding::double[], b.embedding::double[])), 6) AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0)) WHERE rank <= 20""")
 def cosine_exact(spark, d):
-    """Exact neighbours of every hundredth vector."""
+    """Exact neighbours of every hundredth vector, both sides on a grid."""
     stored = _vectors(spark, d)
     asked = stored.where("ord % 100 = 0").select(F.col("ord").alias("query_id"), "v")
-    return vectors.nearest(asked, stored, config.DEPTH).select("query_id", "ord", "distance", F.col("rank").cast("long").alias("rank"))
+    return vectors.nearest(asked, stored, config.DEPTH, few=0).select("query_id", "ord", "distance", F.col("rank").cast("long").alias("rank"))
 
 
 @query("""SELECT conv_id, turn, 'Source ' || turn AS label, conv_id % 270 AS page, substr(coalesce(text, ''), 1, 800) AS text FROM conversations WHERE role <> 'user'""")

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import text as T
-from ..operators import answer, blocks, chunking, documents, entities, extraction, fusion, layout, lexical, records, sections, tables, vectors
+from ..operators import answer, blocks, chunking, documents, entities, extraction, fusion, layout, lexical, quantised, records, sections, tables, vectors
 from . import index as plan
 from .segments import Segments
-from .stages import folder
+from .stages import folder, materialised
 
 QUERIES, SQL = {}, {}
 
@@ -338,6 +338,30 @@ def cosine_hashed(spark, d):
     return vectors.nearest_in_cells(stored.where("ord % 100 = 0").select(F.col("ord").alias("query_id"), "v"), stored, config.DEPTH)
 
 
+def _hundredth(spark, d):
+    stored = _vectors(spark, d)
+    return stored.where("ord % 100 = 0").select(F.col("ord").alias("query_id"), "v"), stored
+
+
+@query()
+def cosine_stored(spark, d):
+    """Neighbours of every hundredth vector by the index that is written by cells."""
+    asked, stored = _hundredth(spark, d)
+    at = folder(spark, "cells")
+    quantised.build(stored, at, config.DEPTH)
+    return quantised.CellIndex(spark, at).nearest(asked, config.DEPTH)
+
+
+@query("SELECT method, count(DISTINCT vec_id) AS queries, true AS reached FROM embeddings, (SELECT unnest(['cells', 'stored']) AS method) WHERE vec_id % 100 = 0 GROUP BY method")
+def cosine_recall(spark, d):
+    """Whether both indexes find nine of ten neighbours of every hundredth vector."""
+    asked, stored = _hundredth(spark, d)
+    exact = materialised(vectors.nearest(asked, stored, config.DEPTH))
+    rows = {"cells": vectors.nearest_in_cells(asked, stored, config.DEPTH), "stored": cosine_stored(spark, d)}
+    out = [quantised.recall(found, exact).select(F.lit(name).alias("method"), "queries", (F.col("share") >= 0.9).alias("reached")) for name, found in rows.items()]
+    return out[0].unionByName(out[1])
+
+
 _FUSED = """fused AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, seen) AS rank FROM (
  SELECT query_id, ord, round(sum(1.0::double / (60 + rank)), 10) AS rrf_score, min(m * 1000000 + rank) AS seen, max(CASE WHEN m = 0 THEN rank END) AS r0, max(CASE WHEN m = 1 THEN rank END) AS r1
  FROM (SELECT query_id, ord, rank, 0 AS m FROM lex UNION ALL SELECT query_id, ord, rank, 1 FROM near) GROUP BY query_id, ord))"""
