@@ -1,13 +1,18 @@
 """Page layout: reading order, lines of words, rules, bands and curriculum tables.
 
 Positions are those of a PDF page, y downwards.  Words are rows (page, text, x0, x1, top); ruled lines are rows
-(page, x0, x1, top, height); folds with carried state run as array aggregates of one page.
+(page, x0, x1, top, height); lines are told apart in one array of a page's places, by jumps from line to line.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from ..functions.text import clean_whitespace, one_line, repaired_code
 
@@ -18,6 +23,9 @@ CODE_CELL = (
     r"|FRE|MJE|MCE|[A-Z]{2,5}-[A-Za-z]+)$"
 )
 
+#: Words of a panel that one sweep over its bands takes, about.
+SWEPT = 100_000
+
 
 def without_bands(blocks: DataFrame, band: float = 50.0) -> DataFrame:
     """Blocks (page, height, x0, y0, x1, y1, text) that do not lie in the header or footer band and have text."""
@@ -43,22 +51,42 @@ def reading_order(blocks: DataFrame) -> DataFrame:
     return placed.withColumn("position", F.row_number().over(order))
 
 
+def _anchors(v: np.ndarray, reach: float) -> np.ndarray:
+    """Places in sorted numbers where a group begins: it takes all that lies within reach of its first number."""
+    after, out, i, n = np.searchsorted(v, v + reach, "right"), [], 0, len(v)
+    while i < n:
+        out.append(i)
+        j = max(int(after[i]), i + 1)
+        # the sum above may be rounded otherwise than the difference; a missing number is in the last group
+        while j - 1 > i and v[j - 1] - v[i] > reach:
+            j -= 1
+        while j < n and not v[j] - v[i] > reach:
+            j += 1
+        i = j
+    return np.array(out, np.int64)
+
+
+def _of_numbers(kernel: Callable[[np.ndarray], np.ndarray], kind: str) -> Callable[[Column], Column]:
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else kernel(np.asarray(v, np.float64)).tolist())
+
+    return F.pandas_udf(run, kind)
+
+
 def anchored_lines(values: Column, tolerance: float = 3.0) -> Column:
     """For sorted numbers, the line of each: a line reaches as far as the tolerance from its first number."""
-    zero = F.expr("named_struct('line', -1, 'top', cast(null as double), 'out', cast(array() as array<int>))")
 
-    def step(acc: Column, y: Column) -> Column:
-        new = acc["top"].isNull() | (y - acc["top"] > tolerance)
-        line = F.when(new, acc["line"] + 1).otherwise(acc["line"])
-        return F.struct(line.alias("line"), F.when(new, y).otherwise(acc["top"]).alias("top"), F.concat(acc["out"], F.array(line)).alias("out"))
+    def lines(v: np.ndarray) -> np.ndarray:
+        first = np.zeros(len(v), np.int32)
+        first[_anchors(v, tolerance)] = 1
+        return np.cumsum(first) - 1
 
-    return F.aggregate(values, zero, step, lambda acc: acc["out"])
+    return _of_numbers(lines, "array<int>")(values)
 
 
 def thinned(values: Column, gap: float = 1.0) -> Column:
     """Sorted numbers without those that lie within the gap of the last one kept."""
-    zero = F.expr("cast(array() as array<double>)")
-    return F.aggregate(values, zero, lambda acc, y: F.when((F.size(acc) == 0) | (y - F.try_element_at(acc, F.lit(-1)) > gap), F.concat(acc, F.array(y))).otherwise(acc))
+    return _of_numbers(lambda v: v[_anchors(v, gap)], "array<double>")(values)
 
 
 def words_in_lines(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
@@ -110,10 +138,29 @@ def bands(rules: DataFrame) -> DataFrame:
         "page", "panel", "band", "upper", F.element_at("ys", F.col("band") + 2).alias("lower"))
 
 
-def words_in_bands(words: DataFrame, banded: DataFrame, panels: DataFrame) -> DataFrame:
-    """Words strictly inside a band of their panel (a range join on the page)."""
-    joined = words.join(panels, "page").where((F.col("x0") >= F.col("left")) & (F.col("x0") < F.col("right"))).join(banded, ["page", "panel"])
-    return joined.where((F.col("top") > F.col("upper") + 0.5) & (F.col("top") < F.col("lower") - 0.5))
+def words_in_bands(words: DataFrame, banded: DataFrame, panels: DataFrame, most: int = SWEPT) -> DataFrame:
+    """Words strictly inside a band of their panel; bands of one panel do not overlap.
+
+    Words and bands are swept together down each panel: a word can only lie in the last band that begins above it, so a
+    word is one row, whatever the number of bands.  The words of a panel with more than ``most`` of them are dealt to several
+    sweeps, each of which has all its bands.
+    """
+    inside = words.join(panels, "page").where((F.col("x0") >= F.col("left")) & (F.col("x0") < F.col("right")))
+    many = inside.groupBy("page", "panel").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+    many = many.select("page", "panel", F.ceil(F.col("n") / most).cast("int").alias("parts"))
+    parts = F.coalesce("parts", F.lit(1))
+    names = inside.columns
+    band = F.struct(*[c for c in banded.columns if c not in ("page", "panel")])
+    down = inside.join(many, ["page", "panel"], "left").select("page", "panel", F.pmod(F.xxhash64("top", "x0", "text"), parts).cast("int").alias("part"), F.col("top").alias("at"), F.lit(None).cast(_kind(banded, band)).alias("band"), F.struct(*names).alias("word"))
+    starts = banded.join(many, ["page", "panel"], "left").select("page", "panel", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("upper").alias("at"), band.alias("band"), F.lit(None).cast(_kind(inside, F.struct(*names))).alias("word"))
+    sweep = Window.partitionBy("page", "panel", "part").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = down.unionByName(starts).withColumn("band", F.last("band", ignorenulls=True).over(sweep))
+    found = met.where("word is not null and at > band.upper + 0.5 and at < band.lower - 0.5")
+    return found.select("page", "panel", *(F.col(f"word.{c}") for c in names if c not in ("page", "panel")), *(F.col(f"band.{c}") for c in banded.columns if c not in ("page", "panel")))
+
+
+def _kind(df: DataFrame, c: Column) -> DataType:
+    return df.select(c.alias("c")).schema["c"].dataType
 
 
 def cell_column(x0: Column, course: Column, title: Column, credit: Column) -> Column:
