@@ -27,7 +27,7 @@ EXPECTED_CODES = ["MTH 103", "MTH 221", "MTH 225", "MTH 243", "CMP 220", "COE 48
 # Sizes of chunks and contexts, depths of searches, constants of the two rankings.
 CHUNK_CHARS, CHUNK_OVERLAP, CHUNK_ADVANCE = 1800, 250, 300
 DEPTH, TOP_N, RRF_K = 20, 8, 60
-RERANK_DEPTH, RERANK_KEEP = 15, 5
+RERANK_DEPTH, RERANK_KEEP, RERANK_BATCH = 15, 5, 32
 CONTEXT_CHARS, HISTORY_TURNS = 9000, 3
 DESCRIPTION_CHARS = 5000
 BM25_K1, BM25_B, BM25_EPSILON = 1.5, 0.75, 0.25

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
-from ..config import RERANK_KEEP, RRF_K, TOP_N
+from ..config import RERANK_BATCH, RERANK_KEEP, RRF_K, TOP_N
 from ..functions.text import tokens
 
 _FAR = 1_000_000
@@ -43,16 +46,91 @@ def compare(lexical: DataFrame, vector: DataFrame, n: int = TOP_N) -> DataFrame:
 
 
 def overlap(query: Column, text: Column) -> Column:
-    """The default reranker: the share of the question's distinct tokens that the text has."""
+    """The share of the question's distinct tokens that the text has."""
     asked = F.array_distinct(tokens(query))
     return F.when(F.size(asked) > 0, F.size(F.array_intersect(asked, tokens(text))) / F.size(asked)).otherwise(0.0)
 
 
-def rerank(hits: DataFrame, model: Callable[[pd.Series, pd.Series], pd.Series] | None = None, keep: int = RERANK_KEEP) -> DataFrame:
-    """hits (query_id, query, ord, text, rank) with rerank_score and rerank_rank; blank questions have none."""
+@F.pandas_udf(ArrayType(IntegerType()))
+def _windows(asked: pd.Series, found: pd.Series) -> pd.Series:
+    """For each pair of distinct terms and a text's tokens: how many of the terms it has, and the tokens of its smallest part with all of them."""
+
+    def one(terms: np.ndarray, words: np.ndarray) -> list[int]:
+        wanted = set(terms)
+        places = [(i, w) for i, w in enumerate(words) if w in wanted]
+        last: dict[str, int] = {}
+        have, least, first = len({w for _, w in places}), len(words) + 1, 0
+        for at, (i, w) in enumerate(places):
+            last[w] = at
+            if len(last) == have:
+                # the part begins at the first place that is the last one of its term
+                while last[places[first][1]] != first:
+                    first += 1
+                least = min(least, i - places[first][0] + 1)
+        return [have, least if have else 0]
+
+    return pd.Series([one(a, b) for a, b in zip(asked, found, strict=True)])
+
+
+def proximity(query: Column, text: Column) -> Column:
+    """The share of the question's distinct tokens that the text has, less up to a half where they lie far apart.
+
+    Far apart is measured by the smallest part of the text that has all of them: share * (1 + found / tokens in it) / 2.
+    """
+    asked = F.array_distinct(tokens(query))
+    met = _windows(asked, tokens(text))
+    return F.when(F.size(asked) > 0, F.coalesce(met[0] / F.size(asked) * (1 + F.try_divide(met[0], met[1])) / 2, F.lit(0.0))).otherwise(0.0)
+
+
+class Model:
+    """A scorer of pairs that is loaded once by each worker process and gets at most ``batch`` pairs at once.
+
+    load returns a function of questions and texts; key names the model among those of a worker.
+    """
+
+    def __init__(self, load: Callable[[], Callable[[list[str], list[str]], Sequence[float]]], batch: int = RERANK_BATCH, key: str | None = None) -> None:
+        if batch < 1:
+            raise ValueError("a batch has a pair at least")
+        self.load, self.batch, self.key = load, batch, key or uuid.uuid4().hex
+
+    def scores(self, query: Column, text: Column) -> Column:
+        load, size, key = self.load, self.batch, self.key
+
+        def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            model = loaded(key, load)
+            for asked, texts in parts:
+                asked, texts, out = asked.fillna("").tolist(), texts.fillna("").tolist(), []
+                for i in range(0, len(asked), size):
+                    got = [float(x) for x in model(asked[i : i + size], texts[i : i + size])]
+                    if len(got) != len(asked[i : i + size]):
+                        raise ValueError(f"the model returned {len(got)} scores for {len(asked[i : i + size])} pairs")
+                    out += got
+                yield pd.Series(out, dtype=float)
+
+        # the same as a hint, without which pandas_udf takes it for a function of one batch
+        run.__annotations__ = {"parts": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+        return F.pandas_udf(run, "double")(query, text)
+
+
+_LOADED: dict[str, Callable] = {}
+
+
+def loaded(key: str, load: Callable[[], Callable]) -> Callable:
+    """The model of this worker process."""
+    if key not in _LOADED:
+        _LOADED[key] = load()
+    return _LOADED[key]
+
+
+def rerank(hits: DataFrame, model: Model | Callable[[pd.Series, pd.Series], pd.Series] | None = None, keep: int = RERANK_KEEP, by: Callable[[Column, Column], Column] = overlap) -> DataFrame:
+    """hits (query_id, query, ord, text, rank) with rerank_score and rerank_rank; blank questions have none.
+
+    Scores come from the model, or from ``by`` where there is none.
+    """
     if keep < 1:
         raise ValueError("keep is 1 at least")
-    score = overlap(F.col("query"), F.col("text")) if model is None else F.pandas_udf(model, "double")("query", "text")
+    query, text = F.col("query"), F.col("text")
+    score = by(query, text) if model is None else model.scores(query, text) if isinstance(model, Model) else F.pandas_udf(model, "double")(query, text)
     scored = hits.where(F.trim("query") != "").withColumn("rerank_score", F.round(score, 6))
     w = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "rank")
     return scored.withColumn("rerank_rank", F.row_number().over(w)).where(F.col("rerank_rank") <= keep)

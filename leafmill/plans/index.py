@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEPTH, EMBED_BATCH, EXCERPT_CHARS, QUERY_PREFIX, RERANK_DEPTH, RERANK_KEEP, RRF_K, TOP_N, Settings
-from ..operators import answer, blocks, chunking, documents, extraction, fusion, lexical, records, vectors
+from ..operators import answer, blocks, chunking, digest, documents, extraction, fusion, lexical, records, vectors
 from ..operators.answer import first_sentences, word_by_word
 from .stages import materialised
 
@@ -43,7 +43,8 @@ class Index:
             df = df.repartitionByRange("term").sortWithinPartitions("term") if name in ("postings", "vocabulary") else df
             df.write.mode("overwrite").parquet(f"{path}/{name}")
         s = lexical.signature(self.chunks).first()
-        self.chunks.sparkSession.createDataFrame([(self.n, self.n_tokens, s.signature)], "n long, n_tokens long, signature string").write.mode("overwrite").parquet(f"{path}/stats")
+        content = digest.text(digest.value(digest.digest(self.chunks, "id", "text")))
+        self.chunks.sparkSession.createDataFrame([(self.n, self.n_tokens, s.signature, content)], "n long, n_tokens long, signature string, content string").write.mode("overwrite").parquet(f"{path}/stats")
 
     @staticmethod
     def load(spark: SparkSession, path: str, chunks: DataFrame | None = None, embedder: Callable[[pd.Series], pd.Series] | None = None) -> Index:
@@ -57,9 +58,14 @@ class Index:
         return Index(*[spark.read.parquet(f"{path}/{n}") for n in ("chunks", "postings", "vocabulary", "vectors")], s.n, s.n_tokens, *own)
 
     @staticmethod
-    def is_fresh(spark: SparkSession, path: str, chunks: DataFrame | None) -> bool:
-        """Whether the saved index has the ids of the chunks; without any to compare with it counts as fresh."""
-        return chunks is None or spark.read.parquet(f"{path}/stats").first().signature == lexical.signature(chunks).first().signature
+    def is_fresh(spark: SparkSession, path: str, chunks: DataFrame | None, content: bool = False) -> bool:
+        """Whether the saved index has the ids of the chunks, and with content their texts; without any it counts as fresh."""
+        if chunks is None:
+            return True
+        stats = spark.read.parquet(f"{path}/stats").first()
+        if content:
+            return stats.content == digest.text(digest.value(digest.digest(chunks, "id", "text")))
+        return stats.signature == lexical.signature(chunks).first().signature
 
     def embedded(self, questions: DataFrame) -> DataFrame:
         return vectors.embed(questions.select("query_id", "text"), self.embedder, self.query_prefix)
@@ -86,7 +92,7 @@ class Index:
         if keep > depth:
             raise ValueError("more to keep than to rerank")
         found = self.search(questions, n=depth).join(questions.select("query_id", F.col("text").alias("query")), "query_id")
-        return fusion.rerank(found, model, keep)
+        return fusion.rerank(found, model, keep, by=fusion.proximity)
 
     def answer(self, questions: DataFrame, turns: DataFrame | None = None, generator=first_sentences, n: int | None = None, settings: Settings | None = None) -> DataFrame:
         """questions (query_id, text, conv_id if there are turns) with context, messages, answer, footer and sources.

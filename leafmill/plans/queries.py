@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import text as T
-from ..operators import answer, blocks, chunking, documents, entities, extraction, fusion, layout, lexical, quantised, records, sections, tables, vectors
+from ..functions import udtf
+from ..operators import answer, blocks, chunking, digest, documents, entities, extraction, fusion, layout, lexical, quantised, records, sections, tables, vectors
 from . import index as plan
 from .segments import Segments
 from .stages import folder, materialised
@@ -203,6 +204,41 @@ def chunk_text(spark, d):
     return rows.select(F.col("document_id").alias("doc_id"), F.col("ordinal").cast("long").alias("ordinal"), "text")
 
 
+@query(f"SELECT doc_id, ordinal, text FROM ({CHUNK_SQL})")
+def chunk_table_function(spark, d):
+    """Chunks by a table function in SQL."""
+    udtf.register(spark)
+    _t(spark, d, "documents").createOrReplaceTempView("leafmill_documents")
+    return spark.sql("SELECT doc_id, cast(c.ordinal AS bigint) AS ordinal, c.text FROM leafmill_documents d, LATERAL chunk_text(d.text) c")
+
+
+_ROW_DIGEST = "sha256(coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(text) || ':' || text, '-'))"
+_LIMBS = "SELECT count(*) AS n, " + " || ".join(f"format('{{:08x}}', CAST(sum(('0x' || substr(h, {8 * i + 1}, 8))::BIGINT) % 4294967296 AS BIGINT))" for i in range(8)) + f" AS digest FROM (SELECT {_ROW_DIGEST} AS h FROM {{0}})"
+
+
+@query(_LIMBS.replace("{0}", "documents"))
+def content_digest(spark, d):
+    """A digest of ids and texts that is the same in any order."""
+    return _said(spark, digest.value(digest.digest(_t(spark, d, "documents"), "doc_id", "text")))
+
+
+_EXCLAIMED = "(SELECT doc_id, CASE WHEN doc_id % 7 = 1 THEN text || '!' ELSE text END AS text FROM documents)"
+
+
+@query(f"SELECT *, false AS fresh FROM ({_LIMBS.replace('{0}', _EXCLAIMED)})")
+def digest_after_upsert(spark, d):
+    """The digest of a store after an upsert, from the rows it adds and those it replaces."""
+    docs = _t(spark, d, "documents").select("doc_id", "text")
+    of = lambda rows: digest.value(digest.digest(rows, "doc_id", "text"))
+    stored, old = of(docs), docs.where("doc_id % 7 = 1")
+    now = digest.added(digest.added(stored, of(old), -1), of(old.withColumn("text", F.concat("text", F.lit("!")))))
+    return _said(spark, now).withColumn("fresh", F.lit(now == stored))
+
+
+def _said(spark, value):
+    return spark.createDataFrame([(value[0], digest.text(value))], "n long, digest string")
+
+
 @query("""SELECT cast(sum(n) AS bigint) AS n_ids, sha256(string_agg(s, '|' ORDER BY b)) AS signature FROM
  (SELECT substr(md5(id), 1, 3) AS b, count(*) AS n, sha256(string_agg(id, '|' ORDER BY id)) AS s FROM (SELECT cast(doc_id AS varchar) AS id FROM documents) GROUP BY 1)""")
 def corpus_signature(spark, d):
@@ -398,6 +434,19 @@ def rerank_overlap(spark, d):
     return fusion.rerank(hits).select("query_id", "ord", "rerank_score", F.col("rerank_rank").cast("long").alias("rerank_rank"))
 
 
+@query(rf"""{BM25}, pair AS MATERIALIZED (SELECT query_id, ord, rank, {_SET.format('b.text')} AS qs, doc.t AS t FROM lex JOIN benchmark b ON b.item_id = query_id JOIN doc USING (ord) WHERE rank <= 15),
+occ AS MATERIALIZED (SELECT query_id, ord, i, t[i] AS term FROM (SELECT query_id, ord, qs, t, unnest(range(1, len(t) + 1)) AS i FROM pair) WHERE list_contains(qs, t[i])),
+nxt AS (SELECT a.query_id, a.ord, a.i, b.term, max(b.i) AS last FROM occ a JOIN occ b ON a.query_id = b.query_id AND a.ord = b.ord AND b.i <= a.i GROUP BY ALL),
+win AS (SELECT query_id, ord, i, i - min(last) + 1 AS w, count(*) AS m FROM nxt GROUP BY query_id, ord, i),
+least AS (SELECT query_id, ord, m, min(w) AS w FROM win JOIN (SELECT query_id, ord, max(m) AS m FROM win GROUP BY ALL) USING (query_id, ord, m) GROUP BY ALL),
+s AS (SELECT query_id, ord, rank, round(coalesce(m / len(qs) * (1 + m / w) / 2, 0.0), 6) AS score FROM pair LEFT JOIN least USING (query_id, ord))
+SELECT * FROM (SELECT query_id, ord, score AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS rerank_rank FROM s) WHERE rerank_rank <= 5""")
+def rerank_proximity(spark, d):
+    """The default reranker: how many of the question's terms a text has, and how close together."""
+    hits = _hits(spark, d).join(_questions(spark, d).select("query_id", F.col("text").alias("query")), "query_id")
+    return fusion.rerank(hits, by=fusion.proximity).select("query_id", "ord", "rerank_score", F.col("rerank_rank").cast("long").alias("rerank_rank"))
+
+
 _BLOCK = """blk AS (SELECT *, sum(length(block)) OVER (PARTITION BY query_id ORDER BY rank) AS cum FROM (SELECT query_id, rank, doc_id % 270 AS page, source, '[p. ' || (doc_id % 270) || '] ' || coalesce(text, '') AS block FROM lex JOIN documents ON ord = doc_id WHERE rank <= 8)),
 fit AS (SELECT * FROM blk WHERE rank = 1 OR cum <= 9000)"""
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import EMBED_BATCH, QUERY_PREFIX
-from ..operators import lexical, vectors
+from ..operators import digest, lexical, vectors
 from .index import Index
 from .stages import materialised
 
@@ -60,11 +60,11 @@ class Segments:
         return [int(n[:-5]) for n in self._listed("manifest") if n.endswith(".json") and n[:-5].isdigit()]
 
     def manifest(self, version: int | None = None) -> dict:
-        """version, epoch, n, tokens, segments (name, rows), dead and vocabulary (names of tables)."""
+        """version, epoch, n, tokens, digest, segments (name, rows), dead and vocabulary (names of tables)."""
         if version is None:
             version = max(self.versions(), default=0)
         if not version:
-            return {"version": 0, "epoch": -1, "n": 0, "tokens": 0, "segments": [], "dead": [], "vocabulary": []}
+            return {"version": 0, "epoch": -1, "n": 0, "tokens": 0, "segments": [], "dead": [], "vocabulary": [], "digest": digest.NONE}
         return json.loads("\n".join(r.value for r in self.spark.read.text(f"{self.path}/manifest/{version:010}.json").collect()))
 
     def _commit(self, m: dict) -> dict:
@@ -129,7 +129,7 @@ class Segments:
         new = rows.where("not deleted").withColumns({c: F.lit(None).cast(t) for c, t in missing.items()}).select(*(F.col(c.split()[0]).cast(c.split()[1]) for c in CHUNK.split(", ")))
         ids = rows.select("id")
         ids = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
-        old = materialised(self._live(m, "chunks", CHUNK).join(ids, "id", "left_semi").select("segment", "ord", "text"))
+        old = materialised(self._live(m, "chunks", CHUNK).join(ids, "id", "left_semi").select("segment", "ord", "id", "text"))
 
         name = f"{epoch:010}-{uuid.uuid4().hex[:8]}"
         at = f"segments/{name}"
@@ -143,11 +143,16 @@ class Segments:
         self._write(delta.where("df <> 0"), f"vocabulary/{name}")
         n_new, n_old = stored.count(), old.count()
         tokens = [posts.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0] for posts in (added, gone)]
+        of = lambda rows: digest.value(digest.digest(rows, "id", "text"))
         return self._commit(m | {
-            "epoch": epoch, "n": m["n"] + n_new - n_old, "tokens": m["tokens"] + tokens[0] - tokens[1],
+            "digest": digest.added(digest.added(m["digest"], of(old), -1), of(stored)), "epoch": epoch, "n": m["n"] + n_new - n_old, "tokens": m["tokens"] + tokens[0] - tokens[1],
             "segments": m["segments"] + ([{"name": name, "rows": n_new}] if n_new else []),
             "dead": m["dead"] + ([name] if n_old else []), "vocabulary": [*m["vocabulary"], name]})
 
+    def is_fresh(self, chunks: DataFrame) -> bool:
+        """Whether the index has the ids and texts of the chunks, by its digest."""
+        return self.manifest()["digest"] == digest.value(digest.digest(chunks, "id", "text"))
+
     def merge(self, tier: int = TIER, tries: int = 3) -> dict:
         """Put the smallest segments together, while the next is not much larger than all of them; the manifest after it."""
         for left in range(tries - 1, -1, -1):

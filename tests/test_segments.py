@@ -4,6 +4,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from leafmill.plans.index import index_of
 from leafmill.plans.segments import Conflict, Segments
@@ -49,6 +50,8 @@ def check(spark, segments, parts):
     idf = lambda x: {r.term: (r.df, round(r.idf, 9)) for r in x.vocabulary.collect()}
     assert idf(grown) == idf(built)
     assert found(grown, asked) == found(built, asked)
+    assert segments.is_fresh(chunks)
+    assert not rows or not segments.is_fresh(chunks.withColumn("text", F.concat("text", F.lit("."))))
 
 
 def test_batches_merge_and_vacuum(spark, tmp_path):
