@@ -10,7 +10,8 @@ from . import layout, tables
 # Years in their order, headers and title of their tables.
 YEARS = ["First Year", "Second Year", "Third Year", "Fourth Year", "Fifth Year"]
 CURRICULUM_HEADERS, CURRICULUM_TITLE = ["Term", "Course #", "Course Title", "Credit Hours"], "Proposed Sequence of Study"
-TABLE = ["page", "table_index", "table_id", "type", "title", "year", "year_credit_hours", "headers", "rows", "text"]
+TABLE = ["page", "table_index", "table_id", "type", "title", "year", "year_credit_hours", "headers", "rows", "text", "notes", "bbox"]
+NO_NOTES, NO_BOX = "cast(array() as array<string>)", "cast(null as array<double>)"
 
 
 def curriculum_tables(words: DataFrame, rects: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -24,16 +25,17 @@ def curriculum_tables(words: DataFrame, rects: DataFrame, sizes: DataFrame) -> D
     return found.select(
         F.col("page").cast("long").alias("page"), F.col("table_index").cast("int").alias("table_index"), F.concat(F.lit("page_"), F.col("page").cast("string"), F.lit("_curriculum_"), F.col("number").cast("string")).alias("table_id"),
         F.lit("curriculum").alias("type"), F.lit(CURRICULUM_TITLE).alias("title"), "year", F.col("credit_hours").cast("int").alias("year_credit_hours"), tables.strings(CURRICULUM_HEADERS).alias("headers"), "rows",
-        tables.curriculum_text(F.col("page"), F.col("year"), F.col("rows")).alias("text"))
+        tables.curriculum_text(F.col("page"), F.col("year"), F.col("rows")).alias("text"), F.expr(NO_NOTES).alias("notes"), F.expr(NO_BOX).alias("bbox"))
 
 
 def general_tables(raw: DataFrame) -> DataFrame:
-    """Raw tables (page, table_index, rows) in the form of the first normaliser that knows them."""
+    """Raw tables (page, table_index, rows, bbox if known) in the form of the first normaliser that knows them."""
+    raw = raw if "bbox" in raw.columns else raw.withColumn("bbox", F.expr(NO_BOX))
     made = raw.withColumn("table_id", F.concat(F.lit("page_"), F.col("page").cast("string"), F.lit("_table_"), (F.col("table_index") + 1).cast("string")))
     kept = tables.processed(made.select("page", "table_id", "rows"))
     none = F.lit(None)
-    return kept.join(made.select("table_id", "table_index"), "table_id").select(
-        F.col("page").cast("long").alias("page"), F.col("table_index").cast("int").alias("table_index"), "table_id", "type", "title", none.cast("string").alias("year"), none.cast("int").alias("year_credit_hours"), "headers", "rows", "text")
+    return kept.join(made.select("table_id", "table_index", "bbox"), "table_id").select(
+        F.col("page").cast("long").alias("page"), F.col("table_index").cast("int").alias("table_index"), "table_id", "type", "title", none.cast("string").alias("year"), none.cast("int").alias("year_credit_hours"), "headers", "rows", "text", F.expr(NO_NOTES).alias("notes"), "bbox")
 
 
 def page_tables(words: DataFrame, rects: DataFrame, sizes: DataFrame, raw: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions import text as T
 from ..functions import udtf
+from ..sources import page_files as page_source
 from ..operators import answer, blocks, chunking, digest, documents, entities, extraction, fusion, layout, lexical, quantised, records, sections, tables, vectors
 from . import index as plan
 from .segments import Segments
@@ -180,6 +181,17 @@ def document_ids(spark, d):
     return documents.numbered(_t(spark, d, "documents").select("doc_id"), "doc_id", []).select("doc_id", F.format_string("record_%05d", "position").alias("id"))
 
 
+@query("SELECT 'file ' || (doc_id % 2) AS file, doc_id AS page, coalesce(text, '') AS text, [source, lang] AS blocks FROM documents")
+def page_files(spark, d):
+    """Documents written as two indented files of pages and read again by the data source, in ranges of bytes."""
+    at = folder(spark, "page-files")
+    rows = _t(spark, d, "documents").select((F.col("doc_id") % 2).alias("name"), F.to_json(F.struct(F.col("doc_id").cast("string").alias("page_num"), F.coalesce("text", F.lit("")).alias("content"), F.array(F.struct(F.col("source").alias("text")), F.struct(F.col("lang").alias("text"))).alias("blocks"))).alias("value"))
+    rows.write.partitionBy("name").text(at)
+    page_source.register(spark)
+    parts = [spark.read.format("leafmill_pages").option("bytes", 100_000).load(f"{at}/name={k}").withColumn("file", F.lit(f"file {k}")) for k in range(2)]
+    return parts[0].unionByName(parts[1]).select("file", F.col("page").cast("long").alias("page"), "text", F.transform("blocks", lambda b: b["text"]).alias("blocks"))
+
+
 @query("""SELECT 'document' AS type, cast(doc_id AS varchar) AS id, coalesce(text, '') AS text FROM documents
  UNION ALL SELECT 'message', conv_id || '/' || turn, coalesce(text, '') FROM conversations""")
 def unified_documents(spark, d):

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.stages import materialised
+
 BLOCKS = "array<struct<x0:double,y0:double,x1:double,y1:double,text:string>>"
 PAGES = f"page string, page_number string, page_num string, number string, text string, content string, page_text string, full_text string, blocks {BLOCKS}"
 TABLES = "table_id string, table_index int, page int, title string, type string, headers array<string>, rows array<array<string>>, year string, year_credit_hours int, text string"
@@ -56,9 +58,13 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_pdf_layout(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """words, rects, sizes and raw tables of PDF files, as ``extraction.page_tables`` takes them."""
-    files = spark.read.format("binaryFile").load(path).select("content")
-    row = "kind string, page int, text string, x0 double, x1 double, top double, height double, table_index int, cells array<array<string>>"
+    """files, and words, rects, sizes and raw tables of PDF files, as ``extraction.page_tables`` takes them.
+
+    Each file is parsed once and what it has is written.  Pages of several files are numbered on: files (file,
+    first_page, pages) says where each begins.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    row = "kind string, file string, page int, text string, x0 double, x1 double, top double, height double, table_index int, cells array<array<string>>, bbox array<double>"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         try:
@@ -66,21 +72,26 @@ def read_pdf_layout(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         except ImportError as e:
             raise ImportError("reading PDF files needs pymupdf") from e
         for frame in frames:
-            for content in frame["content"]:
+            for name, content in zip(frame["path"], frame["content"], strict=True):
                 with pymupdf.open(stream=bytes(content), filetype="pdf") as pdf:
                     for n, page in enumerate(pdf, 1):
-                        rows = [("word", n, w[4], w[0], w[2], w[1], None, None, None) for w in page.get_text("words")]
-                        rows += [("rect", n, None, d["rect"].x0, d["rect"].x1, d["rect"].y0, d["rect"].height, None, None) for d in page.get_drawings()]
-                        rows.append(("size", n, None, 0.0, page.rect.width, 0.0, page.rect.height, None, None))
+                        rows = [("word", name, n, w[4], w[0], w[2], w[1], None, None, None, None) for w in page.get_text("words")]
+                        rows += [("rect", name, n, None, d["rect"].x0, d["rect"].x1, d["rect"].y0, d["rect"].height, None, None, None) for d in page.get_drawings()]
+                        rows.append(("size", name, n, None, 0.0, page.rect.width, 0.0, page.rect.height, None, None, None))
                         found = page.find_tables(vertical_strategy="lines", horizontal_strategy="lines", intersection_tolerance=5).tables
-                        rows += [("table", n, None, None, None, None, None, i, t.extract()) for i, t in enumerate(found)]
+                        rows += [("table", name, n, None, None, None, None, None, i, t.extract(), [float(x) for x in t.bbox]) for i, t in enumerate(found)]
                         yield pd.DataFrame(rows, columns=[c.split()[0] for c in row.split(", ")])
 
-    every = files.mapInPandas(run, row)
-    of = lambda kind, *columns: every.where(F.col("kind") == kind).select("page", *columns)
+    every = materialised(files.mapInPandas(run, row))
+    # a row a file
+    pages = every.where("kind = 'size'").groupBy("file").agg(F.max("page").alias("pages"))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    placed = pages.select("file", (F.coalesce(F.sum("pages").over(before), F.lit(0)) + 1).cast("int").alias("first_page"), F.col("pages").cast("int").alias("pages"))
+    numbered = every.join(F.broadcast(placed), "file").withColumn("page", F.col("page") + F.col("first_page") - 1)
+    of = lambda kind, *columns: numbered.where(F.col("kind") == kind).select("page", *columns)
     return {
-        "words": of("word", "text", "x0", "x1", "top"), "rects": of("rect", "x0", "x1", "top", "height"),
-        "sizes": of("size", F.col("x1").alias("width"), "height"), "raw": of("table", "table_index", F.col("cells").alias("rows")),
+        "files": placed, "words": of("word", "text", "x0", "x1", "top"), "rects": of("rect", "x0", "x1", "top", "height"),
+        "sizes": of("size", F.col("x1").alias("width"), "height"), "raw": of("table", "table_index", F.col("cells").alias("rows"), "bbox"),
     }
 
 
