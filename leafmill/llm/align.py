@@ -25,6 +25,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -85,8 +86,8 @@ class Aligner:
     def rows(self, texts: list[str]) -> list[tuple]:
         """For each text: A's tokens, B's tokens, groups, digest, A ids of exact links, irregular pairs."""
         cut = [self.units(t) if t else [] for t in texts]
-        found = self.found({u for units in cut for u in units})
-        return [self.row([found[u] for u in units]) for units in cut]
+        found = self.found(set().union(*cut))
+        return [self.row(list(map(found.__getitem__, units))) for units in cut]
 
     def found(self, units: set[str]) -> dict[str, tuple]:
         """What is known of the units, encoding those that are new in one go."""
@@ -96,7 +97,7 @@ class Aligner:
         for at in range(0, len(new), AT_ONCE):
             part = new[at : at + AT_ONCE]
             try:
-                a, b = [e.ids for e in self.a.encode_batch([" " + u for u in part], add_special_tokens=False)], self.b.encode(part)
+                a, b = [e.ids for e in self.a.encode_batch_fast([" " + u for u in part], add_special_tokens=False)], self.b.encode(part)
             except (UnicodeEncodeError, TypeError):  # half a surrogate pair is no text
                 whole = [u for u in part if _is_text(u)]
                 out |= dict.fromkeys(part, NO_TOKENS)
@@ -141,11 +142,10 @@ class Aligner:
 
     def row(self, parts: list[tuple]) -> tuple:
         """The parts of a text as one, with a digest in place of the groups' text."""
-        if not parts or not all(p[0] for p in parts):
+        if not parts or NO_TOKENS in parts:
             return NO_TOKENS
-        digest = hashlib.sha256(";".join([p[3] for p in parts]).encode()).hexdigest()
-        a, b, n = (sum([p[k] for p in parts]) for k in range(3))
-        return a, b, n, digest, [x for p in parts for x in p[4]], [x for p in parts for x in p[5]]
+        a, b, n, said, exact, odd = zip(*parts, strict=True)
+        return sum(a), sum(b), sum(n), hashlib.sha256(";".join(said).encode()).hexdigest(), list(chain.from_iterable(exact)), list(chain.from_iterable(odd))
 
 
 def _is_text(unit: str) -> bool:
