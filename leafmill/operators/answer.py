@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import CONTEXT_CHARS, HISTORY_TURNS
+from ..config import CONTEXT_CHARS, HISTORY_TURNS, Settings
 from ..functions.text import strip
 
 SYSTEM = "Answer from the excerpts alone. Each is labelled with its page as [p. N]; name the page of every fact, and say so if the excerpts hold no answer."
@@ -96,18 +98,27 @@ def _series(generator: Callable[[pd.Series], pd.Series]):
     def run(prompts: pd.Series) -> pd.Series:
         return generator(prompts.fillna(""))
 
-    return run
+    return run  # a plain function with hints, whatever the generator is
+
+
+def with_options(generator: Callable[..., pd.Series], settings: Settings) -> Callable[[pd.Series], pd.Series]:
+    """The generator with the settings as its ``options``, where it has that parameter."""
+    if "options" not in inspect.signature(generator).parameters:
+        return generator
+    return partial(generator, options={"temperature": settings.temperature, "num_ctx": settings.context_tokens})
 
 
 def guarded(generator: Callable[[pd.Series], pd.Series]) -> Callable[[pd.Series], pd.Series]:
     """The generator prompt by prompt, with an error as the answer to a prompt it fails on."""
 
-    def one(prompt: str) -> str:
+    def one(prompt: str, **options) -> str:
         try:
-            return generator(pd.Series([prompt])).iloc[0]
+            return generator(pd.Series([prompt]), **options).iloc[0]
         except Exception as e:  # noqa: BLE001  the user's own code
             return f"Something went wrong generating an answer: {e}"
 
+    if "options" in inspect.signature(generator).parameters:
+        return lambda prompts, options: prompts.map(lambda p: one(p, options=options))
     return lambda prompts: prompts.map(one)
 
 

@@ -18,7 +18,8 @@ def first_wins(rows: DataFrame, keys: list[Column], order: list[str | Column]) -
     place = F.struct(*[(F.col(o) if isinstance(o, str) else o).alias(f"o{i}") for i, o in enumerate(order)])
     keyed = rows.select("*", *named, place.alias("__place"))
     first = keyed.groupBy(*[f"__k{i}" for i in range(len(keys))]).agg(F.min("__place").alias("__place")).select("__place")
-    return keyed.join(first, "__place", "left_semi").select(*rows.columns)
+    # rows that share a place are repeats of one another: one of them stays
+    return keyed.join(first, "__place", "left_semi").dropDuplicates([f"__k{i}" for i in range(len(keys))]).select(*rows.columns)
 
 
 def dedup_courses(rows: DataFrame) -> DataFrame:

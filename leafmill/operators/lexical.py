@@ -40,17 +40,21 @@ def top_k(scored: DataFrame, k: int, also: Column | None = None) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(kept if also is None else kept | also)
 
 
-def search(questions: DataFrame, corpus: DataFrame, k: int, pad: bool = True, index: tuple | None = None, **options) -> DataFrame:
+def search(questions: DataFrame, corpus: DataFrame, k: int, pad: bool = True, index: tuple | None = None, first: list[int] | None = None, **options) -> DataFrame:
     """The k best of every question; with pad, documents of score 0 follow in corpus order.
 
-    index: postings or blocks of them, vocabulary, documents, tokens.
+    index: postings or blocks of them, vocabulary, documents, tokens; first: the first places of the corpus, if known.
     """
     posts, vocab, n, n_tokens = index or indexed(corpus)
     asked = questions.select(F.col("query_id").cast("long").alias("query_id"), "text")
     found = blocks.named(posts, asked)
     found = found if "range" in found.columns else blocks.packed(found, options.get("width", blocks.WIDTH))
     # a question with fewer than k scored documents finds the rest among the first 2k of the corpus
-    first = [r.ord for r in corpus.select(F.col("ord").cast("long").alias("ord")).orderBy("ord").limit(2 * k).collect()] if pad else []
+    if not pad:
+        first = []
+    elif first is None or len(first) < min(2 * k, n):
+        first = first_of(corpus, 2 * k)
+    first = first[: 2 * k]
     scored = blocks.scores(asked, found, vocab, n, n_tokens, k, first, **options)
     if not pad:
         return top_k(scored, k)
@@ -60,6 +64,11 @@ def search(questions: DataFrame, corpus: DataFrame, k: int, pad: bool = True, in
     return top_k(scored.drop("first").unionByName(blank.withColumn("score", F.lit(0.0))), k)
 
 
+def first_of(corpus: DataFrame, n: int) -> list[int]:
+    """The n first places of the corpus."""
+    return [r.ord for r in corpus.select(F.col("ord").cast("long").alias("ord")).orderBy("ord").limit(n).collect()]
+
+
 def indexed(corpus: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
     """Postings, vocabulary, documents and tokens: texts are tokenised once, and what many steps read is written."""
     posts = materialised(postings(corpus))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import warnings
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -15,6 +16,11 @@ from ..operators import answer, blocks, chunking, digest, documents, extraction,
 from ..operators.answer import first_sentences, word_by_word
 from .stages import materialised
 
+TABLES = ("chunks", "postings", "vocabulary", "vectors")
+STATS = "n long, n_tokens long, signature string, content string, first array<long>"
+#: Places of the corpus that a saved index knows as its first.
+FIRST = 100
+
 
 @dataclass
 class Index:
@@ -31,31 +37,63 @@ class Index:
     n_tokens: int
     embedder: Callable[[pd.Series], pd.Series] = vectors.hashed_embedding
     query_prefix: str = ""
+    #: The first places of the corpus, if known: what searches with too few hits are filled with.
+    first: list[int] | None = None
 
     @property
     def lexical(self) -> tuple:
         return self.postings, self.vocabulary, self.n, self.n_tokens
 
-    def save(self, path: str) -> None:
-        """Write the tables: postings sorted by term, so that files and row groups without a question's terms are passed over."""
-        for name in ("chunks", "postings", "vocabulary", "vectors"):
+    def save(self, path: str, mode: str = "overwrite") -> bool:
+        """Write the tables: postings sorted by term, so that files and row groups without a question's terms are passed over.
+
+        They are written beside the path and put there when all are whole.  mode is what to do where an index is:
+        overwrite, error or ignore; returns whether this index is there now.
+        """
+        if mode not in ("overwrite", "error", "ignore"):
+            raise ValueError("mode is overwrite, error or ignore")
+        spark = self.chunks.sparkSession
+        at, draft = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path.rstrip('/')}.{uuid.uuid4().hex}"))
+        files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        there = lambda: files.exists(at) and bool(files.listStatus(at))
+        if mode != "overwrite" and there():
+            if mode == "error":
+                raise FileExistsError(f"there is an index at {path}")
+            return False
+        for name in TABLES:
             df = getattr(self, name)
             df = df.repartitionByRange("term").sortWithinPartitions("term") if name in ("postings", "vocabulary") else df
-            df.write.mode("overwrite").parquet(f"{path}/{name}")
+            df.write.parquet(f"{draft.toString()}/{name}")
         s = lexical.signature(self.chunks).first()
         content = digest.text(digest.value(digest.digest(self.chunks, "id", "text")))
-        self.chunks.sparkSession.createDataFrame([(self.n, self.n_tokens, s.signature, content)], "n long, n_tokens long, signature string, content string").write.mode("overwrite").parquet(f"{path}/stats")
+        stats = (self.n, self.n_tokens, s.signature, content, self.first or lexical.first_of(self.chunks, FIRST))
+        spark.createDataFrame([stats], STATS).coalesce(1).write.parquet(f"{draft.toString()}/stats")
+        if mode == "overwrite":
+            files.delete(at, True)
+        elif there():  # another writer was faster
+            files.delete(draft, True)
+            if mode == "error":
+                raise FileExistsError(f"there is an index at {path}")
+            return False
+        elif files.exists(at):
+            files.delete(at, True)
+        files.mkdirs(at.getParent())
+        if not files.rename(draft, at):
+            raise OSError(f"the index could not be put at {path}")
+        return True
 
     @staticmethod
     def load(spark: SparkSession, path: str, chunks: DataFrame | None = None, embedder: Callable[[pd.Series], pd.Series] | None = None) -> Index:
         """A saved index; warns where it is empty, or older than the chunks given."""
-        s = spark.read.parquet(f"{path}/stats").first()
+        s = spark.read.schema(STATS).parquet(f"{path}/stats").first()
         if not s.n:
             warnings.warn(f"the index at {path} is empty", stacklevel=2)
         if not Index.is_fresh(spark, path, chunks):
             warnings.warn(f"the index at {path} is stale: build it anew", stacklevel=2)
         own = () if embedder is None else (embedder, QUERY_PREFIX)
-        return Index(*[spark.read.parquet(f"{path}/{n}") for n in ("chunks", "postings", "vocabulary", "vectors")], s.n, s.n_tokens, *own)
+        found = Index(*[spark.read.parquet(f"{path}/{n}") for n in TABLES], s.n, s.n_tokens, *own)
+        found.first = s["first"]
+        return found
 
     @staticmethod
     def is_fresh(spark: SparkSession, path: str, chunks: DataFrame | None, content: bool = False) -> bool:
@@ -72,7 +110,7 @@ class Index:
 
     def hits(self, questions: DataFrame, depth: int = DEPTH, n: int = TOP_N, k: int = RRF_K) -> DataFrame:
         """query_id, ord, rrf_score, methods, rank_0, rank_1, rank: both searches fused, for questions (query_id, text)."""
-        words = lexical.search(questions, self.chunks, depth, index=self.lexical)
+        words = lexical.search(questions, self.chunks, depth, index=self.lexical, first=self.first)
         return fusion.fuse([words, vectors.nearest(self.embedded(questions), self.vectors, depth)], k, n)
 
     def nearest(self, questions: DataFrame, n: int = 5) -> DataFrame:
@@ -97,7 +135,8 @@ class Index:
     def answer(self, questions: DataFrame, turns: DataFrame | None = None, generator=first_sentences, n: int | None = None, settings: Settings | None = None) -> DataFrame:
         """questions (query_id, text, conv_id if there are turns) with context, messages, answer, footer and sources.
 
-        chunks_used lists all that were found, sources those that were packed.
+        chunks_used lists all that were found, sources those that were packed.  A generator with a parameter ``options``
+        gets the settings' temperature and size of the context.
         """
         settings, spark = settings or Settings(), questions.sparkSession
         n = settings.top_n if n is None else n
@@ -109,7 +148,7 @@ class Index:
         out = asked.join(answer.contexts(found), "query_id", "left").withColumn("context", F.coalesce("context", F.lit("")))
         used = found.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("chunks_used"))
         listed = answer.unique_sources(sources).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("position", "label", "page", "type", answer.badge(F.col("methods")).alias("badge")))).alias("sources"))
-        out = answer.answers(answer.messages(out, turns), generator).join(answer.footers(sources), "query_id", "left").join(used, "query_id", "left").join(listed, "query_id", "left")
+        out = answer.answers(answer.messages(out, turns), answer.with_options(generator, settings)).join(answer.footers(sources), "query_id", "left").join(used, "query_id", "left").join(listed, "query_id", "left")
         return out.select("query_id", "conv_id", "query", "retrieval_query", "context", "messages", "answer", "footer", "chunks_used", "sources")
 
     def turns(self, turns: DataFrame, generator=first_sentences, settings: Settings | None = None) -> DataFrame:
