@@ -149,6 +149,22 @@ def title_filter(spark, d):
     return _t(spark, d, "part").select("p_partkey", entities.valid_title(t).alias("valid"))
 
 
+_TITLED = "(SELECT p_partkey, p_name || CASE p_partkey % 4 WHEN 0 THEN ':' WHEN 1 THEN ' ABC 101' WHEN 2 THEN ' students must' ELSE '' END AS t FROM part)"
+_VALID = "length(t) BETWEEN 2 AND 160 AND NOT regexp_matches(lower(t), '" + "|".join(entities.PROSE) + r"') AND NOT regexp_matches(t, '\b[A-Z]{2,4}\s+\d{3}[A-Z]?\b') AND NOT suffix(t, ':')"
+_CODED = [*config.EXPECTED_CODES[:-1], "ABC 100", "ABC 200"]
+
+
+@query(f"""WITH r AS (SELECT {_CODED}[p_partkey % {len(_CODED)} + 1] AS code, {_VALID} AS valid FROM {_TITLED})
+SELECT 'courses' AS "check", count(*) AS value FROM r UNION ALL SELECT 'suspicious titles', count(*) FILTER (NOT valid) FROM r
+UNION ALL SELECT 'has ' || c, (SELECT count(*) FROM r WHERE code = c) FROM (SELECT unnest({config.EXPECTED_CODES}) AS c)""")
+def course_checks(spark, d):
+    """The report over courses of which many titles are suspicious and all expected codes but one are there."""
+    n = F.col("p_partkey") % 4
+    title = F.concat("p_name", F.when(n == 0, ":").when(n == 1, " ABC 101").when(n == 2, " students must").otherwise(""))
+    code = F.element_at(tables.strings(_CODED), (F.col("p_partkey") % len(_CODED) + 1).cast("int"))
+    return entities.report(_t(spark, d, "part").select(code.alias("course_code"), title.alias("title")))
+
+
 @query("SELECT n_nationkey, '| Nation | Region | Key |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| ' || n_name || ' | ' || r_name || ' |  |' AS markdown FROM nation JOIN region ON n_regionkey = r_regionkey")
 def markdown_rows(spark, d):
     joined = _t(spark, d, "nation").join(_t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
