@@ -93,7 +93,7 @@ def _met(asked: DataFrame, blocks: DataFrame, chunks: int) -> DataFrame:
     return lists.select("term", "chunk", F.col("x.query_id").alias("who"), F.col("x.w").alias("w"), F.col("x.floor").alias("floor")).join(blocks, "term").drop("term")
 
 
-def scores(questions: DataFrame, blocks: DataFrame, vocab: DataFrame, n: int, n_tokens: int, k: int, first: list[int] | None = None, width: int = WIDTH, few: int = FEW, rare: int = RARE) -> DataFrame:
+def scores(questions: DataFrame, blocks: DataFrame, vocab: DataFrame, n: int, n_tokens: int, k: int, first: list[int] | None = None, width: int = WIDTH, few: int = FEW, rare: int = RARE, n_questions: int | None = None) -> DataFrame:
     """query_id, ord, score: the k best of every question and range of places that share a term with it.
 
     Documents whose places are in first are in the result wherever they share a term.
@@ -101,7 +101,7 @@ def scores(questions: DataFrame, blocks: DataFrame, vocab: DataFrame, n: int, n_
     mean = n_tokens / n if n else 1.0
     asked = asked_terms(questions.select(F.col("query_id").cast("long").alias("query_id"), "text")).join(vocab, "term")
     asked = asked.select("query_id", "term", "df", (F.col("times") * F.col("idf")).alias("w"))
-    chunks = max(1, -(-questions.count() // CHUNK))
+    chunks = max(1, -(-(questions.count() if n_questions is None else n_questions) // CHUNK))
     none = F.lit(float("-inf"))
     schema, kernel = "query_id long, ord long, score double", _scored(k, mean, width, first or [])
     if n > few * width:
@@ -122,11 +122,17 @@ def _ranked(scored: DataFrame, k: int) -> DataFrame:
     return top_k(scored, k)
 
 
-def named(blocks: DataFrame, questions: DataFrame) -> DataFrame:
-    """blocks of the questions' terms: few terms are a filter that files sorted by term are pruned with."""
-    terms = questions.select(F.explode(tokens(F.col("text"))).alias("term")).distinct()
-    some = [r.term for r in terms.limit(NAMED + 1).collect()]
-    return blocks.where(F.col("term").isin(some)) if len(some) <= NAMED else blocks.join(terms, "term", "left_semi")
+def named(blocks: DataFrame, questions: DataFrame) -> tuple[DataFrame, int]:
+    """blocks of the questions' terms, and the number of questions.
+
+    Few terms are a filter that files sorted by term are pruned with; what decides it is one pass over some questions.
+    """
+    asked = questions.select(F.array_distinct(tokens(F.col("text"))).alias("t"))
+    some = asked.limit(CHUNK + 1).collect()
+    terms = {t for r in some for t in r.t}
+    if len(some) <= CHUNK and len(terms) <= NAMED:
+        return blocks.where(F.col("term").isin(sorted(terms))), len(some)
+    return blocks.join(asked.select(F.explode("t").alias("term")).distinct(), "term", "left_semi"), questions.count()
 
 
 def rows_read(questions: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ def search(questions: DataFrame, corpus: DataFrame, k: int, pad: bool = True, in
     """
     posts, vocab, n, n_tokens = index or indexed(corpus)
     asked = questions.select(F.col("query_id").cast("long").alias("query_id"), "text")
-    found = blocks.named(posts, asked)
+    found, n_questions = blocks.named(posts, asked)
     found = found if "range" in found.columns else blocks.packed(found, options.get("width", blocks.WIDTH))
     # a question with fewer than k scored documents finds the rest among the first 2k of the corpus
     if not pad:
@@ -55,7 +55,7 @@ def search(questions: DataFrame, corpus: DataFrame, k: int, pad: bool = True, in
     elif first is None or len(first) < min(2 * k, n):
         first = first_of(corpus, 2 * k)
     first = first[: 2 * k]
-    scored = blocks.scores(asked, found, vocab, n, n_tokens, k, first, **options)
+    scored = blocks.scores(asked, found, vocab, n, n_tokens, k, first, n_questions=n_questions, **options)
     if not pad:
         return top_k(scored, k)
     scored = top_k(scored.withColumn("first", F.col("ord").isin(first)), k, F.col("first")).drop("rank")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 import warnings
 from collections.abc import Callable, Iterator
@@ -10,6 +11,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..config import DEPTH, EMBED_BATCH, EXCERPT_CHARS, QUERY_PREFIX, RERANK_DEPTH, RERANK_KEEP, RRF_K, TOP_N, Settings
 from ..operators import answer, blocks, chunking, digest, documents, extraction, fusion, lexical, records, vectors
@@ -17,7 +19,7 @@ from ..operators.answer import first_sentences, word_by_word
 from .stages import materialised
 
 TABLES = ("chunks", "postings", "vocabulary", "vectors")
-STATS = "n long, n_tokens long, signature string, content string, first array<long>"
+STATS = "n long, n_tokens long, signature string, content string, first array<long>, schemas array<string>"
 #: Places of the corpus that a saved index knows as its first.
 FIRST = 100
 
@@ -66,7 +68,7 @@ class Index:
             df.write.parquet(f"{draft.toString()}/{name}")
         s = lexical.signature(self.chunks).first()
         content = digest.text(digest.value(digest.digest(self.chunks, "id", "text")))
-        stats = (self.n, self.n_tokens, s.signature, content, self.first or lexical.first_of(self.chunks, FIRST))
+        stats = (self.n, self.n_tokens, s.signature, content, self.first or lexical.first_of(self.chunks, FIRST), [getattr(self, name).schema.json() for name in TABLES])
         spark.createDataFrame([stats], STATS).coalesce(1).write.parquet(f"{draft.toString()}/stats")
         if mode == "overwrite":
             files.delete(at, True)
@@ -91,7 +93,8 @@ class Index:
         if not Index.is_fresh(spark, path, chunks):
             warnings.warn(f"the index at {path} is stale: build it anew", stacklevel=2)
         own = () if embedder is None else (embedder, QUERY_PREFIX)
-        found = Index(*[spark.read.parquet(f"{path}/{n}") for n in TABLES], s.n, s.n_tokens, *own)
+        kinds = [StructType.fromJson(json.loads(x)) for x in s.schemas]
+        found = Index(*[spark.read.schema(kind).parquet(f"{path}/{n}") for n, kind in zip(TABLES, kinds, strict=True)], s.n, s.n_tokens, *own)
         found.first = s["first"]
         return found
 
