@@ -33,6 +33,8 @@ WINDOW = 10
 BLOCK_BYTES, MAX_BLOCKS = 16 << 20, 4
 #: Bits of the map that lets windows through to the join, and rows of one window in a part.
 FILTER_BITS, SPLIT = 1 << 29, 4096
+#: Windows with more hits than SPLIT that are broadcast at most.
+FREQUENT = 1 << 18
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -179,7 +181,10 @@ def _joined(docs: DataFrame, bench: DataFrame, window: int, bits: int) -> DataFr
         return out
 
     met = written(map_arrow(rows.dropDuplicates(["row"]).select("row", "text"), one, "row binary, i long, n int, words binary"), "bench-met")
-    often = F.broadcast(met.groupBy("words").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > SPLIT).select("words", F.ceil(F.col("c") / SPLIT).cast("int").alias("parts")))
+    often = met.groupBy("words").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > SPLIT).select("words", F.ceil(F.col("c") / SPLIT).cast("int").alias("parts"))
+    often = written(often, "bench-often")
+    # a window is some 60 bytes; beyond the bound its rows are dealt by a join like the others
+    often = F.broadcast(often) if often.count() <= FREQUENT else often
     parts = F.coalesce("parts", F.lit(1))
     there = listed.select("item", "words").join(often, "words", "left").select("item", "words", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     here = met.join(often, "words", "left").withColumn("part", F.pmod(F.xxhash64("row", "i"), parts).cast("int"))
