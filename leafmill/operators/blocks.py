@@ -10,6 +10,7 @@ no better document falls below; a range whose bounds do not add up to that score
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -93,14 +94,16 @@ def _met(asked: DataFrame, blocks: DataFrame, chunks: int) -> DataFrame:
     return lists.select("term", "chunk", F.col("x.query_id").alias("who"), F.col("x.w").alias("w"), F.col("x.floor").alias("floor")).join(blocks, "term").drop("term")
 
 
-def scores(questions: DataFrame, blocks: DataFrame, vocab: DataFrame, n: int, n_tokens: int, k: int, first: list[int] | None = None, width: int = WIDTH, few: int = FEW, rare: int = RARE, n_questions: int | None = None) -> DataFrame:
+def scores(questions: DataFrame, blocks: DataFrame, vocab: DataFrame, n: int, n_tokens: int, k: int, first: list[int] | None = None, width: int = WIDTH, few: int = FEW, rare: int = RARE, n_questions: int | None = None, weights: DataFrame | None = None) -> DataFrame:
     """query_id, ord, score: the k best of every question and range of places that share a term with it.
 
-    Documents whose places are in first are in the result wherever they share a term.
+    Documents whose places are in first are in the result wherever they share a term.  weights: what ``named`` has found.
     """
     mean = n_tokens / n if n else 1.0
-    asked = asked_terms(questions.select(F.col("query_id").cast("long").alias("query_id"), "text")).join(vocab, "term")
-    asked = asked.select("query_id", "term", "df", (F.col("times") * F.col("idf")).alias("w"))
+    asked = weights
+    if asked is None:
+        asked = asked_terms(questions.select(F.col("query_id").cast("long").alias("query_id"), "text")).join(vocab, "term")
+        asked = asked.select("query_id", "term", "df", (F.col("times") * F.col("idf")).alias("w"))
     chunks = max(1, -(-(questions.count() if n_questions is None else n_questions) // CHUNK))
     none = F.lit(float("-inf"))
     schema, kernel = "query_id long, ord long, score double", _scored(k, mean, width, first or [])
@@ -122,17 +125,27 @@ def _ranked(scored: DataFrame, k: int) -> DataFrame:
     return top_k(scored, k)
 
 
-def named(blocks: DataFrame, questions: DataFrame) -> tuple[DataFrame, int]:
-    """blocks of the questions' terms, and the number of questions.
+def named(blocks: DataFrame, questions: DataFrame, vocab: DataFrame) -> tuple[DataFrame, int, DataFrame | None]:
+    """blocks of the questions' terms, the number of questions, and query_id, term, df, w if both are few.
 
-    Few terms are a filter that files sorted by term are pruned with; what decides it is one pass over some questions.
+    Few terms are a filter that files sorted by term are pruned with, those of the vocabulary too; what decides it is
+    one pass over some questions, as term and times of each.
     """
-    asked = questions.select(F.array_distinct(tokens(F.col("text"))).alias("t"))
-    some = asked.limit(CHUNK + 1).collect()
-    terms = {t for r in some for t in r.t}
+    times = F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("term"), F.size(F.filter("t", lambda y: y == x)).alias("times")))
+    some = questions.select("query_id", tokens(F.col("text")).alias("t")).select("query_id", times.alias("t")).limit(CHUNK + 1).coalesce(1).collect()
+    terms = sorted({x.term for r in some for x in r.t})
     if len(some) <= CHUNK and len(terms) <= NAMED:
-        return blocks.where(F.col("term").isin(sorted(terms))), len(some)
-    return blocks.join(asked.select(F.explode("t").alias("term")).distinct(), "term", "left_semi"), questions.count()
+        have = {r.term: r for r in vocab.where(F.col("term").isin(terms)).select("term", "df", "idf").collect()}
+        asked = Counter()
+        for r in some:
+            for x in r.t:
+                asked[r.query_id, x.term] += x.times
+        rows = [(q, t, have[t].df, n * have[t].idf) for (q, t), n in asked.items() if t in have]
+        columns = [pa.array(c, kind) for c, kind in zip(zip(*rows) if rows else [()] * 4, (pa.int64(), pa.string(), pa.int64(), pa.float64()), strict=True)]
+        weights = questions.sparkSession.createDataFrame(pa.table(dict(zip(("query_id", "term", "df", "w"), columns, strict=True))))
+        return blocks.where(F.col("term").isin(terms)), len(some), weights
+    asked = questions.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).distinct()
+    return blocks.join(asked, "term", "left_semi"), questions.count(), None
 
 
 def rows_read(questions: DataFrame, blocks: DataFrame) -> DataFrame:

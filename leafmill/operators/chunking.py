@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import CHUNK_ADVANCE, CHUNK_CHARS, CHUNK_OVERLAP
 from ..functions.text import clean_whitespace
+from ..plans.stages import dealt
 
 
 def spans(text: str, most: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP, advance: int = CHUNK_ADVANCE) -> list[tuple[int, int]]:
@@ -33,5 +34,5 @@ def chunks(documents: DataFrame) -> DataFrame:
     """documents (id, text and more) as chunks: id, document_id, ordinal and the chunk's text."""
     udf = F.pandas_udf(chunk_texts, "array<string>")
     others = [c for c in documents.columns if c not in ("id", "text")]
-    rows = documents.withColumn("__c", udf(clean_whitespace(F.col("text")))).select(F.col("id").alias("document_id"), *others, F.posexplode("__c").alias("ordinal", "text"))
+    rows = dealt(documents).withColumn("__c", udf(clean_whitespace(F.col("text")))).select(F.col("id").alias("document_id"), *others, F.posexplode("__c").alias("ordinal", "text"))
     return rows.select(F.concat(F.col("document_id").cast("string"), F.lit("_chunk_"), F.format_string("%03d", "ordinal")).alias("id"), "document_id", "ordinal", *others, "text")

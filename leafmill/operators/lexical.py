@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import BM25_EPSILON
 from ..functions.text import tokens
-from ..plans.stages import materialised
+from ..plans.stages import dealt, materialised
 from . import blocks
 
 
 def postings(corpus: DataFrame) -> DataFrame:
     """term, ord, tf, dl (the document's tokens)."""
-    words = corpus.select("ord", tokens(F.col("text")).alias("t")).select("ord", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    texts = dealt(corpus.select("ord", "text")).select("ord", tokens(F.col("text")).alias("t")).select("ord", F.size("t").alias("dl"), "t")
+    # outer: else a filter on the size is put before it, for which each text is taken apart once more
+    words = texts.select("ord", "dl", F.explode_outer("t").alias("term")).where("term is not null")
     return words.groupBy("term", "ord", "dl").agg(F.count(F.lit(1)).alias("tf")).select("term", "ord", F.col("tf").cast("long").alias("tf"), F.col("dl").cast("long").alias("dl"))
 
 
 def corpus_stats(corpus: DataFrame) -> DataFrame:
-    return corpus.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size(tokens(F.col("text")))), F.lit(0)).cast("long").alias("tokens"))
+    return dealt(corpus.select("text")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size(tokens(F.col("text")))), F.lit(0)).cast("long").alias("tokens"))
 
 
 def vocabulary(posts: DataFrame, n: int) -> DataFrame:
@@ -33,11 +35,25 @@ def weighted(df: DataFrame, n: int) -> DataFrame:
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("mean") * BM25_EPSILON).otherwise(F.col("raw")).alias("idf"))
 
 
-def top_k(scored: DataFrame, k: int, also: Column | None = None) -> DataFrame:
-    """query_id, ord, score, rank: best first, ties in corpus order; and rows that ``also`` names, whatever their rank."""
+def top_k(scored: DataFrame, k: int) -> DataFrame:
+    """query_id, ord, score, rank: best first, ties in corpus order."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "ord")
-    kept = F.col("rank") <= k
-    return scored.withColumn("rank", F.row_number().over(w)).where(kept if also is None else kept | also)
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def padded(scored: DataFrame, questions: DataFrame, first: list[int], k: int) -> DataFrame:
+    """query_id, ord, score, rank: the k best of every question, of what is scored and of the places ``first``, which else have score 0.
+
+    Before rows of a question meet, each task cuts them to k and those of ``first``.
+    """
+    places = f"cast(array({', '.join(map(str, first))}) AS array<bigint>)"
+    order = f"PARTITION BY query_id ORDER BY array_contains({places}, ord) DESC, score DESC, ord"
+    held = scored.selectExpr("query_id", "ord", "score", f"row_number() OVER ({order}) AS rank").where(F.col("rank") <= k + len(first))
+    hits = held.groupBy("query_id").agg(F.expr("collect_list(struct(0.0D - score AS s, ord)) AS hits"))
+    rows = questions.select("query_id").distinct().join(hits, "query_id", "left").selectExpr("query_id", "coalesce(hits, cast(array() AS array<struct<s:double,ord:bigint>>)) AS hits")
+    every = f"concat(hits, transform(array_except({places}, hits.ord), o -> struct(0.0D AS s, o AS ord)))"
+    best = rows.selectExpr("query_id", f"posexplode_outer(slice(array_sort({every}), 1, {int(k)})) AS (at, x)").where("x is not null")
+    return best.selectExpr("query_id", "x.ord AS ord", "0.0D - x.s AS score", "at + 1 AS rank")
 
 
 def search(questions: DataFrame, corpus: DataFrame, k: int, pad: bool = True, index: tuple | None = None, first: list[int] | None = None, **options) -> DataFrame:
@@ -47,7 +63,7 @@ def search(questions: DataFrame, corpus: DataFrame, k: int, pad: bool = True, in
     """
     posts, vocab, n, n_tokens = index or indexed(corpus)
     asked = questions.select(F.col("query_id").cast("long").alias("query_id"), "text")
-    found, n_questions = blocks.named(posts, asked)
+    found, n_questions, weights = blocks.named(posts, asked, vocab)
     found = found if "range" in found.columns else blocks.packed(found, options.get("width", blocks.WIDTH))
     # a question with fewer than k scored documents finds the rest among the first 2k of the corpus
     if not pad:
@@ -55,13 +71,8 @@ def search(questions: DataFrame, corpus: DataFrame, k: int, pad: bool = True, in
     elif first is None or len(first) < min(2 * k, n):
         first = first_of(corpus, 2 * k)
     first = first[: 2 * k]
-    scored = blocks.scores(asked, found, vocab, n, n_tokens, k, first, n_questions=n_questions, **options)
-    if not pad:
-        return top_k(scored, k)
-    scored = top_k(scored.withColumn("first", F.col("ord").isin(first)), k, F.col("first")).drop("rank")
-    blank = asked.select("query_id", F.explode(F.lit(first).cast("array<bigint>")).alias("ord"))
-    blank = blank.join(scored.where("first").select("query_id", "ord"), ["query_id", "ord"], "left_anti")
-    return top_k(scored.drop("first").unionByName(blank.withColumn("score", F.lit(0.0))), k)
+    scored = blocks.scores(asked, found, vocab, n, n_tokens, k, first, n_questions=n_questions, weights=weights, **options)
+    return padded(scored, asked, first, k) if pad else top_k(scored, k)
 
 
 def first_of(corpus: DataFrame, n: int) -> list[int]:

@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 from ..config import DEPTH, EMBED_BATCH, EXCERPT_CHARS, QUERY_PREFIX, RERANK_DEPTH, RERANK_KEEP, RRF_K, TOP_N, Settings
 from ..operators import answer, blocks, chunking, digest, documents, extraction, fusion, lexical, records, vectors
 from ..operators.answer import first_sentences, word_by_word
-from .stages import materialised
+from .stages import dealt, materialised
 
 TABLES = ("chunks", "postings", "vocabulary", "vectors")
 STATS = "n long, n_tokens long, signature string, content string, first array<long>, schemas array<string>"
@@ -183,7 +183,7 @@ def index_of(chunks: DataFrame, embedder: Callable[[pd.Series], pd.Series] | Non
 
     stored: vectors (id, v) of an earlier index, which stay for the ids they have unless force is set.
     """
-    chunks = materialised(chunks if limit is None else chunks.orderBy("ord").limit(limit))
+    chunks = materialised(dealt(chunks) if limit is None else chunks.orderBy("ord").limit(limit))
     made = vectors.indexed(chunks, stored, embedder or vectors.hashed_embedding, batch, force)
     vecs = materialised(chunks.select("ord", "id").join(made, "id").select("ord", "id", "v"))
     posts, vocab, n, n_tokens = lexical.indexed(chunks)

@@ -25,6 +25,20 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Bytes of input for each core, by a plan's estimate, from which on it fills the cores by itself.
+SMALL = 64 << 20
+
+
+def dealt(df: DataFrame, small: int = SMALL) -> DataFrame:
+    """df, its rows dealt to all cores where it is small: a file of one row group is one task, however long its work.
+
+    Inputs of more than ``small`` bytes a core are not moved, nor those of unknown size.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(2 * cores) if size <= small * cores else df
+
+
 def folder(spark: SparkSession, name: str) -> str:
     """A new path beside the checkpoints."""
     return f"{_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
