@@ -58,3 +58,25 @@ def test_rows_read(spark):
     asked = spark.createDataFrame([(1, "the stone"), (2, "the the")], "query_id long, text string")
     packed = blocks.packed(lexical.postings(corpus), 100)
     assert {r.query_id: (r.postings, r.blocks) for r in blocks.rows_read(asked, packed).collect()} == {1: (306, 6), 2: (300, 3)}
+
+
+def test_small_inputs_are_dealt_to_all_cores(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from leafmill.plans.stages import dealt
+
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
+    one = spark.read.parquet(str(tmp_path / "one"))
+    parts = dealt(one).withColumn("part", F.spark_partition_id())
+    assert parts.select("part").distinct().count() > 1 and parts.count() == 100
+    assert dealt(one, small=0).rdd.getNumPartitions() == one.rdd.getNumPartitions()
+
+
+def test_padding_keeps_hits_among_the_first_places(spark):
+    from leafmill.operators.lexical import padded
+
+    asked = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "query_id long, text string")
+    scored = spark.createDataFrame([(1, 0, -0.5), (1, 9, 2.0)], "query_id long, ord long, score double")
+    got = [tuple(r) for r in padded(scored, asked, [0, 1, 2], 4).orderBy("query_id", "rank").collect()]
+    assert got == [(1, 9, 2.0, 1), (1, 1, 0.0, 2), (1, 2, 0.0, 3), (1, 0, -0.5, 4), (2, 0, 0.0, 1), (2, 1, 0.0, 2), (2, 2, 0.0, 3)]
+    assert padded(scored.limit(0), asked.limit(0), [], 4).collect() == []
