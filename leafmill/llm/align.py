@@ -7,7 +7,8 @@ one vector as long as A's vocabulary.  Only the links of irregular groups are co
 
 1. One pass encodes the texts and writes, for each row, its counts, digest, the A ids of exact links and the irregular pairs.
    Texts are cut at single blanks between other characters, where neither tokenizer can merge (checked on B's vocabulary;
-   A splits there before it merges), so a worker encodes a unit that it knows only once.
+   A splits there before it merges), and units at line feeds and before a closing mark; a worker encodes a part that it knows
+   only once, many new ones in one text, whose tokens are aligned by one sorted search over their ends.
 2. Counts: a vector of A's vocabulary by partial sums; irregular pairs, counted within each batch first, in the one shuffle of pairs.
 3. A pass over what step 1 wrote adds up counts and best links.  The vectors and the pairs with more than a FREQUENT-th of all
    irregular links, which are fewer than FREQUENT, go to every task; the other pairs of a row are looked up by a join, in
@@ -21,6 +22,7 @@ further columns, whatever their names, are ignored.  Vocabulary files are read b
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import re
@@ -35,12 +37,15 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, dropped, map_arrow, table, text_or_empty, written
 from .tokens import _byte_letters
 
-#: Units that a worker remembers in each of two generations, about, and the longest of them in characters.
-REMEMBER, LONGEST = 100_000, 64
-#: Units that are encoded in one call, and characters of texts that are taken together.
-AT_ONCE, TOGETHER = 4096, 1 << 21
-#: What a unit has that does not come back byte by byte, or a text that has such a unit.
-NO_TOKENS: tuple = (0, 0, 0, "", (), ())
+#: Parts that a worker remembers in each of two generations, about, and the longest of them in characters.
+REMEMBER, LONGEST = 150_000, 64
+#: Parts that are encoded and aligned in one go, those of them in one text, and characters of texts that are taken together.
+AT_ONCE, JOINED, TOGETHER = 8192, 512, 1 << 21
+#: The part that begins each such text, and marks that are kept apart from the word before them.
+FILLER, TAILS = " a", ".,;:!?"
+#: What a part has that does not come back byte by byte, and a text that has such a part.
+NO_TOKENS: tuple = (0, 0, b"", b"", b"")
+NOTHING: tuple = (0, 0, 0, "", b"", b"")
 #: Irregular pairs that go to every task are fewer than this.
 FREQUENT = 1 << 19
 
@@ -69,83 +74,201 @@ class Aligner:
             self.a_bytes[i] = token.encode() if token in special else bytes(letters[c] for c in token)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.a_size, self.b_size = (list(map(len, v)) for v in (self.a_bytes, self.b_bytes))
-        self.a_said, self.b_said = ([str(i) for i in range(len(v))] for v in (self.a_bytes, self.b_bytes))
+        self.sizes = [np.array(list(map(len, v)), np.int64) for v in (self.a_bytes, self.b_bytes)]
+        # each id as digits, with zeros before them and room for a sign behind
+        said = [b"%d," % i for i in range(max(map(len, self.sizes)))]
+        self.widths = np.array(list(map(len, said)), np.int64)
+        self.digits = np.frombuffer(b"".join(x.rjust(self.widths.max(), b"\0") for x in said), np.uint8).reshape(len(said), -1)
         # of several B ids of the same bytes the last: byte pieces, which stand first, are for characters without one
         plain = {t: i for i, t in enumerate(self.b_bytes) if not (self.b.is_control(i) or self.b.is_unknown(i))}
         self.same = np.array([plain.get(t, -1) for t in self.a_bytes], np.int64)
-        self.same_as = self.same.tolist()
         self.apart = not any(" " in p.lstrip("▁").replace("▁", " ") for p in pieces)
-        self.known: dict[str, tuple] = {}
-        self.older: dict[str, tuple] = {}
+        self.lines_apart = self.apart and not any(b"\n" in t and len(t) > 1 for t in self.b_bytes)
+        self.tails = self._tails()
+        self.known: dict[str | bytes, tuple] = {}
+        self.older: dict[str | bytes, tuple] = {}
+
+    def _tails(self) -> dict[str, tuple]:
+        """What is known of marks that may end a word, where B has no piece over a letter and the mark."""
+        out = {}
+        whole = lambda t: (self.a.encode(" " + t, add_special_tokens=False).ids, self.b.encode(t))
+        a, b = whole("a")
+        pieces = [t.decode("utf-8", "replace") for v in (self.a_bytes, self.b_bytes) for t in v]
+        for mark in TAILS if self.apart else "":
+            over = any(mark in p[1:] and any(_is_letter(x) and y == mark for x, y in zip(p, p[1:])) for p in pieces)
+            x, y = whole("a" + mark)
+            if not over and x[: len(a)] == a and y[: len(b)] == b:
+                out[mark] = self.aligned(mark.encode(), x[len(a) :], y[len(b) :])
+        return out
 
     def units(self, text: str) -> list[str]:
         """The text in parts that begin with a blank, which is left out; neither tokenizer merges over them."""
         return _CUT(text) if self.apart else [text]
 
+    def parts(self, unit: str) -> list[tuple[str | bytes, str]]:
+        """The words of a unit, each with the mark after it; those that follow a line feed are bytes, which are no unit."""
+        lines = _LINES(unit) if self.lines_apart and "\n" in unit else [unit]
+        marked = [(t[:-1], t[-1]) if len(t) > 1 and t[-1] in self.tails and _is_letter(t[-2]) else (t, "") for t in lines]
+        return [(("\n" + w).encode("utf-8", "surrogatepass") if k else w, m) for k, (w, m) in enumerate(marked)]
+
     def rows(self, texts: list[str]) -> list[tuple]:
-        """For each text: A's tokens, B's tokens, groups, digest, A ids of exact links, irregular pairs."""
-        cut = [self.units(t) if t else [] for t in texts]
-        found = self.found(set().union(*cut))
-        return [self.row(list(map(found.__getitem__, units))) for units in cut]
-
-    def found(self, units: set[str]) -> dict[str, tuple]:
-        """What is known of the units, encoding those that are new in one go."""
-        known, older = self.known, self.older
-        out = {u: got for u in units if (got := known.get(u) or older.get(u))}
-        new = [u for u in units if u not in out]
-        for at in range(0, len(new), AT_ONCE):
-            part = new[at : at + AT_ONCE]
-            try:
-                a, b = [e.ids for e in self.a.encode_batch_fast([" " + u for u in part], add_special_tokens=False)], self.b.encode(part)
-            except (UnicodeEncodeError, TypeError):  # half a surrogate pair is no text
-                whole = [u for u in part if _is_text(u)]
-                out |= dict.fromkeys(part, NO_TOKENS)
-                part, a, b = whole, [e.ids for e in self.a.encode_batch([" " + u for u in whole], add_special_tokens=False)], self.b.encode(whole)
-            for u, x, y in zip(part, a, b, strict=True):
-                out[u] = self.aligned((" " + u).encode(), x, y)
-        if len(known) > REMEMBER:
-            self.older, known = known, {}
-            self.known = known
+        """For each text: A's tokens, B's tokens, groups, digest, A ids of exact links, irregular pairs (as bytes)."""
+        collects = gc.isenabled()
+        gc.disable()  # what is made here is many and has no cycles
+        try:
+            cut = [self.units(t) if t else [] for t in texts]
+            long = self.learn(set().union(*cut).difference(self.known))
+            known = self.known.__getitem__
+            out = [self.row(list(map(known, units))) for units in cut]
+            for u in long:
+                del self.known[u]
+            if len(self.known) > REMEMBER:
+                self.older, self.known = self.known, {}
+        finally:
+            if collects:
+                gc.enable()
+        return out
+
+    def learn(self, units: set[str]) -> list[str | bytes]:
+        """Make units known, encoding what is new of their parts in one go; those that are too long to be remembered."""
+        known, older, tails, split, new = self.known, self.older.get, self.tails, [], []
         for u in units:
-            if len(u) <= LONGEST:
-                known[u] = out[u]
+            if (got := older(u)) is not None:
+                known[u] = got
+            elif "\n" in u or u[-1:] in tails:
+                parts = self.parts(u)
+                if parts == [(u, "")]:
+                    new.append(u)
+                else:
+                    split.append((u, parts))
+            else:
+                new.append(u)
+        words = {w for _, parts in split for w, _ in parts}.difference(known, new)
+        for w in words:
+            if (got := older(w)) is not None:
+                known[w] = got
+            else:
+                new.append(w)
+        for at in range(0, len(new), AT_ONCE):
+            some = new[at : at + AT_ONCE]
+            known.update(zip(some, self.encoded([u.decode("utf-8", "surrogatepass") if isinstance(u, bytes) else " " + u for u in some]), strict=True))
+        for u, parts in split:
+            known[u] = _joined([x for w, m in parts for x in ((known[w], tails[m]) if m else (known[w],))])
+        return [u for u in (*new, *(u for u, _ in split)) if len(u) > LONGEST]
+
+    def encoded(self, parts: list[str]) -> list[tuple]:
+        """For each part (with the blank or line feed it begins with) what ``aligned`` says of it."""
+        plain = [k for k, p in enumerate(parts) if _PLAIN(p) and "▁" not in p] if self.apart else []
+        got = self.at_once([parts[k] for k in plain]) if plain else None
+        out: list = [None] * len(parts)
+        for k, x in zip(plain, got or (), strict=False):
+            out[k] = x
+        for k, p in enumerate(parts):
+            if out[k] is None:
+                out[k] = self.alone(p)
+        return out
+
+    def alone(self, part: str) -> tuple:
+        if not _is_text(part):  # half a surrogate pair is no text
+            return NO_TOKENS
+        if part[0] == " ":
+            return self.aligned(part.encode(), self.a.encode(part, add_special_tokens=False).ids, self.b.encode(part[1:]))
+        # a line feed, after the blank that B adds
+        return self.aligned(part.encode(), self.a.encode(part, add_special_tokens=False).ids, self.b.encode(part)[1:])
+
+    def at_once(self, parts: list[str]) -> list[tuple] | None:
+        """The same for parts that stay apart in one text; None where that does not come back byte by byte, part by part."""
+        cut = [q for at in range(0, len(parts), JOINED) for q in (FILLER, *parts[at : at + JOINED])]
+        joined = ["".join(cut[at : at + JOINED + 1]) for at in range(0, len(cut), JOINED + 1)]
+        try:
+            raw = "".join(joined).encode()
+        except UnicodeEncodeError:
+            return None
+        a = list(chain.from_iterable(e.ids for e in self.a.encode_batch_fast(joined, add_special_tokens=False)))
+        b = list(chain.from_iterable(self.b.encode([t[1:] for t in joined])))
+        if b"".join(map(self.a_bytes.__getitem__, a)) != raw or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
+            return None
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        end_a, end_b = np.cumsum(self.sizes[0][a]), np.cumsum(self.sizes[1][b])
+        at = np.searchsorted(end_b, end_a)
+        last_a = np.flatnonzero(end_b[at] == end_a)
+        last_b, ends = at[last_a], end_a[last_a]
+        part_end = np.cumsum([len(q.encode()) for q in cut])
+        of_part = np.searchsorted(ends, part_end)
+        if (ends[of_part] != part_end).any():
+            return None
+        n_a, n_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
+        x, y = a[last_a], b[last_b]
+        exact = (n_a == 1) & (n_b == 1) & (self.same[x] == y)
+        # the groups' text: of each group A's tokens, then B's, as rows of digits with a sign behind them
+        ids, sign = np.empty(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
+        at_a = np.arange(len(a)) + np.repeat(last_b - n_b + 1, n_a)
+        at_b = np.arange(len(b)) + np.repeat(last_a + 1, n_b)
+        ids[at_a], ids[at_b] = a, b
+        sign[at_a[last_a]], sign[at_b[last_b]] = ord("|"), ord(";")
+        wide = self.digits[ids]
+        wide[:, -1] = sign
+        said, size = wide[wide > 0].tobytes(), np.cumsum(self.widths[ids])
+        same, odd = x[exact].astype("<i4").tobytes(), (x << 32 | y)[~exact].astype("<i8").tobytes()
+        till = lambda v: [0, *v.tolist()]
+        ea, eb, n = till(last_a[of_part] + 1), till(last_b[of_part] + 1), till(of_part + 1)
+        e = till(np.cumsum(exact)[of_part])
+        z = till(size[at_b[last_b[of_part]]])
+        out = []
+        for k in range(len(cut)):
+            if k % (JOINED + 1):
+                a0, a1, b0, b1, e0, e1 = ea[k], ea[k + 1], eb[k], eb[k + 1], e[k], e[k + 1]
+                out.append((a1 - a0, b1 - b0, said[z[k] : z[k + 1]], same[4 * e0 : 4 * e1], odd[8 * (n[k] - e0) : 8 * (n[k + 1] - e1)]))
         return out
 
     def aligned(self, raw: bytes, a: list[int], b: list[int]) -> tuple:
-        """A's tokens, B's tokens, groups, their text, A ids of exact links, irregular pairs; nothing if not all bytes came back."""
-        of_a, of_b, said_a, said_b, same = self.a_bytes, self.b_bytes, self.a_said, self.b_said, self.same_as
+        """A's tokens, B's tokens, the groups' text, A ids of exact links and irregular pairs (4 and 8 bytes each); nothing if not all bytes came back."""
+        of_a, of_b, same = self.a_bytes, self.b_bytes, self.same
         if b"".join([of_a[i] for i in a]) != raw or b"".join([of_b[i] for i in b]) != raw:
             return NO_TOKENS
-        size_a, size_b, groups, exact, odd = self.a_size, self.b_size, [], [], []
+        groups, exact, odd = [], [], []
         i = j = from_a = from_b = 0
-        end_a, end_b = size_a[a[0]], size_b[b[0]]
+        end_a, end_b = len(of_a[a[0]]), len(of_b[b[0]])
         while True:
             if end_a == end_b:
                 x, y = a[i], b[j]
                 if i == from_a and j == from_b and same[x] == y:
                     exact.append(x)
-                    groups.append(said_a[x] + "|" + said_b[y])
                 else:
                     odd.append(x << 32 | y)
-                    groups.append(",".join([said_a[k] for k in a[from_a : i + 1]]) + "|" + ",".join([said_b[k] for k in b[from_b : j + 1]]))
+                groups.append(",".join(map(str, a[from_a : i + 1])) + "|" + ",".join(map(str, b[from_b : j + 1])) + ";")
                 from_a, from_b = i + 1, j + 1
                 if from_a == len(a):
-                    return len(a), len(b), len(groups), ";".join(groups), tuple(exact), tuple(odd)
+                    return len(a), len(b), "".join(groups).encode(), np.array(exact, "<i4").tobytes(), np.array(odd, "<i8").tobytes()
             behind = end_b - end_a
             if behind >= 0:
                 i += 1
-                end_a += size_a[a[i]]
+                end_a += len(of_a[a[i]])
             if behind <= 0:
                 j += 1
-                end_b += size_b[b[j]]
+                end_b += len(of_b[b[j]])
 
     def row(self, parts: list[tuple]) -> tuple:
         """The parts of a text as one, with a digest in place of the groups' text."""
-        if not parts or NO_TOKENS in parts:
-            return NO_TOKENS
-        a, b, n, said, exact, odd = zip(*parts, strict=True)
-        return sum(a), sum(b), sum(n), hashlib.sha256(";".join(said).encode()).hexdigest(), list(chain.from_iterable(exact)), list(chain.from_iterable(odd))
+        if not parts:
+            return NOTHING
+        a, b, said, exact, odd = _joined(parts)
+        if not a:
+            return NOTHING
+        return a, b, len(exact) // 4 + len(odd) // 8, hashlib.sha256(said[:-1]).hexdigest(), exact, odd
+
+
+def _joined(parts: list[tuple]) -> tuple:
+    """Parts one after the other as one; a part without tokens leaves the whole without."""
+    a, b, said, exact, odd = zip(*parts, strict=True)
+    if 0 in a:
+        return NO_TOKENS
+    return sum(a), sum(b), b"".join(said), b"".join(exact), b"".join(odd)
+
+
+def _is_letter(c: str) -> bool:
+    """A Latin letter, on which all tables of characters agree."""
+    return c < "\u0250" and c.isalpha()
 
 
 def _is_text(unit: str) -> bool:
@@ -157,6 +280,10 @@ def _is_text(unit: str) -> bool:
 
 
 _CUT = re.compile(r"(?<=[^\s᠎]) (?=[^\s᠎])").split
+#: Line feeds between other characters, at which a unit is cut further.
+_LINES = re.compile(r"(?<=[^\s᠎])\n(?=[^\s᠎])").split
+#: Parts that stay as they are between others.
+_PLAIN = re.compile(r"[ \n][^\s᠎](?:.*[^\s᠎])?", re.DOTALL).fullmatch
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
 
 
@@ -179,8 +306,7 @@ def links(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
                 found += aligner(paths).rows(texts[at : k + 1])
                 at, size = k + 1, 0
         rows = list(zip(*found, strict=True))
-        packed = {"exact": [np.array(x, "<i4").tobytes() for x in rows[4]], "odd": [np.array(x, "<i8").tobytes() for x in rows[5]]}
-        return {"rid": batch.column("rid"), "doc_id": batch.column("doc_id")} | dict(zip(("n_a", "n_b", "n_groups", "groups_sha256"), rows, strict=False)) | packed
+        return {"rid": batch.column("rid"), "doc_id": batch.column("doc_id")} | dict(zip(("n_a", "n_b", "n_groups", "groups_sha256", "exact", "odd"), rows, strict=True))
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", text_or_empty().alias("text"))
     return map_arrow(rows, one, f"rid long, doc_id {kind}, n_a long, n_b long, n_groups long, groups_sha256 string, exact binary, odd binary")

@@ -229,3 +229,30 @@ def test_alignment_of_nothing(spark):
     docs = documents(spark, [(1, None, "en", "s"), (2, "", "en", "s")])
     assert [tuple(r) for r in align.report(docs).orderBy("doc_id").collect()] == [(1, 0, 0, 0, 0, 0, 0, ""), (2, 0, 0, 0, 0, 0, 0, "")]
     assert align.report(docs.where(F.lit(False))).collect() == []
+
+
+def test_alignment_encodes_a_word_once(spark):
+    """Marks behind a word and lines before it make no new word, and the rows stay those of the library."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abdeéinortß") for _ in range(rng.randint(2, 9))) for _ in range(400)]
+    texts = [" ".join(w + m for w in words) for m in ("", ".", ",", ";", "?!")] + [".\n".join(words)] + [f"{w}'s. {w}\n\n{w} \n{w}:1.{w}\n" for w in words[:40]]
+    seen = align.Aligner(*align.default_paths())
+    sent = []
+
+    class Counted:
+        def __init__(self, lib):
+            self.lib = lib
+
+        def encode(self, text, **kw):
+            sent.append(text)
+            return self.lib.encode(text, **kw)
+
+        def encode_batch_fast(self, texts, **kw):
+            sent.extend(texts)
+            return self.lib.encode_batch_fast(texts, **kw)
+
+    seen.a = Counted(seen.a)
+    seen.rows(texts[:4])
+    assert sum(map(len, sent)) < 1.5 * len(texts[0])
+    rows = list(enumerate(texts))
+    assert Counter(tuple(r) for r in align.report(documents(spark, [(i, t, "en", "s") for i, t in rows])).collect()) == brute_alignment(rows)[0]
