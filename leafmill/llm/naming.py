@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, dropped, looked_up, table, text_or_empty, written
@@ -36,10 +36,11 @@ EMPTY = -1
 BLANKS = " \t\n\x0b\x0c\r"
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs as ``doc``, with rid (a number of each row), points (code points of the text), key (its bytes without blanks)."""
+def keyed(docs: DataFrame, *more: Column) -> DataFrame:
+    """rid (a number of each row), doc_id, points (code points of the text), key (its bytes without blanks), text_sha256 (of the key), more."""
     text = text_or_empty()
-    return docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("rid"), F.length(text).alias("points"), F.translate(text, BLANKS, "").cast("binary").alias("key"))
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.length(text).alias("points"), F.translate(text, BLANKS, "").cast("binary").alias("key"), *more)
+    return rows.withColumn("text_sha256", F.sha2("key", 256))
 
 
 def _ranged(rows: DataFrame, values: list[str]) -> DataFrame:
@@ -127,28 +128,29 @@ def names(rows: DataFrame, block: int = BLOCK) -> tuple[DataFrame, list[DataFram
         values, level = ["a", "b"], level + 1
 
 
-def groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """doc, rid, keep_id, group_size, kept, text_sha256 for every row of docs (as ``doc``)."""
-    rows = written(keyed(docs), "naming-rows")
+def groups(docs: DataFrame, block: int = BLOCK, *more: Column) -> DataFrame:
+    """rid, doc_id, keep_id, group_size, kept, text_sha256 and more for every row of docs; no text is moved for it but by ``names``."""
+    rows = written(keyed(docs, *more), "naming-rows")
     found, tables = names(rows.select("rid", "key"), block)
     found = written(found, "naming-names")
     dropped(*tables)
-    facts = rows.select("rid", F.col("doc.doc_id").alias("doc_id"), "points").join(found, "rid")
+    facts = rows.select("rid", "doc_id", "points").join(found, "rid")
     best = F.min(F.struct((-F.col("points")).alias("points"), F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
     each = facts.groupBy("name").agg(best.alias("top"), F.count(F.lit(1)).alias("n"))
     each = written(each.select("name", F.struct("top.doc_id", "top.rid", "n").alias("group"), "n"), "naming-groups")
     known = looked_up(found, each, "name", "group", "rid", found.count()).select("rid", "group")
-    return rows.join(known, "rid").select("doc", "rid", F.col("group.doc_id").alias("keep_id"), F.col("group.n").alias("group_size"), (F.col("group.rid") == F.col("rid")).alias("kept"), F.sha2("key", 256).alias("text_sha256"))
+    out = rows.drop("key", "points").join(known, "rid")
+    return out.select(*(c for c in out.columns if c != "group"), F.col("group.doc_id").alias("keep_id"), F.col("group.n").alias("group_size"), (F.col("group.rid") == F.col("rid")).alias("kept"))
 
 
 def report(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row."""
-    return groups(docs.select("doc_id", "text"), block).select("doc.doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return groups(docs, block).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def one_of_each(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The rows that stay, with all their columns."""
-    return groups(docs, block).where("kept").select("doc.*")
+    return groups(docs, block, F.struct("*").alias("doc")).where("kept").select("doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

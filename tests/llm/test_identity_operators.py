@@ -75,6 +75,15 @@ def test_block_naming_keeps_columns_and_empty_tables(spark):
     assert naming.report(docs.limit(0)).collect() == []
 
 
+def test_block_naming_moves_no_text_to_report(spark, capsys):
+    """Rows meet their groups by number: what the report reads of the written rows has neither text nor key."""
+    found = naming.report(documents(spark, [(1, "a b", "en", "s"), (2, "ab", "de", "s"), (3, None, None, None)]))
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "text_sha256" in plan and not re.search(r"[\[,<](key|text)[#:]", plan)
+    assert [tuple(r) for r in found.select("doc_id", "keep_id", "group_size", "kept").orderBy("doc_id").collect()] == [(1, 1, 2, True), (2, 1, 2, False), (3, 3, 1, True)]
+
+
 # -- Merkle manifest
 
 
