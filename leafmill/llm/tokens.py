@@ -34,7 +34,9 @@ LIMIT = 512
 PIECE = r"'(?:[stmd]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces that a worker remembers in each of two generations, at most, and the longest of them in characters:
 #: about 150 bytes each as a rule, and never more than REMEMBER * LONGEST * 2 bytes.
-REMEMBER, LONGEST = 150_000, 256
+REMEMBER, LONGEST = 300_000, 128
+#: Pairs of tokens that a worker remembers as apart or not, at most.
+BORDERS = 500_000
 #: Prefix lengths at which the program's state is kept for other pieces that begin alike.
 STEMS = (9, 6)
 
@@ -73,10 +75,14 @@ class PrefixCounter:
             self.joined[x << 20 | y] = self.tokens.setdefault(raw(a) + raw(b), len(self.left))
             self.left.append(x)
             self.right.append(y)
-        # the longest token that ends with two bytes
-        self.reach: dict[bytes, int] = {}
+        # lengths of the tokens that end with three bytes or a part of them, longest first
+        sizes: dict[bytes, set[int]] = {}
         for t in self.tokens:
-            self.reach[t[-2:]] = max(self.reach.get(t[-2:], 1), len(t))
+            if len(t) > 2:
+                sizes.setdefault(t[-3:], {1, 2}).add(len(t))
+        self.reach = {end: tuple(sorted(n, reverse=True)) for end, n in sizes.items()}
+        # whether two tokens stay apart, as far as asked
+        self.borders: dict[int, bool] = {}
         self.split_specials = regex.compile("(" + "|".join(map(regex.escape, special)) + ")").split if special else lambda t: [t]
         self.blank = frozenset(regex.findall(r"\s", "".join(map(chr, range(0x3001)))))
         self.blanks = regex.compile(r"\s+").finditer
@@ -144,16 +150,30 @@ class PrefixCounter:
             if len(raw) > cut and (stem := self.stems.get(raw[:cut])):
                 counts, last = list(stem[0]), list(stem[1])
                 break
+        borders = self.borders
         for end in range(len(counts), len(raw) + 1):
-            start = end - reach(raw[end - 2 : end] if end > 1 else raw[:1], 1)
-            for start in range(start if start > 0 else 0, end):
+            # three bytes that end no token of three or more, and the first two, leave two and one
+            for size in reach(raw[end - 3 : end], (2, 1)) if end > 2 else (2, 1):
+                start = end - size
+                if start < 0:
+                    continue
                 token = token_of(raw[start:end])
-                if token is not None and (not start or apart(last[start], token)):
-                    last.append(token)
-                    counts.append(counts[start] + 1)
-                    break
+                if token is None:
+                    continue
+                if start:
+                    border = last[start] << 20 | token
+                    stay = borders.get(border)
+                    if stay is None:
+                        if len(borders) >= BORDERS:
+                            borders.clear()
+                        stay = borders[border] = apart(last[start], token)
+                    if not stay:
+                        continue
+                last.append(token)
+                counts.append(counts[start] + 1)
+                break
             if end in STEMS and len(raw) > end:
-                if len(self.stems) >= REMEMBER // 4:
+                if len(self.stems) >= REMEMBER // 8:
                     self.stems.clear()
                 self.stems[raw[:end]] = (tuple(counts), tuple(last))
         return counts
