@@ -399,6 +399,23 @@ def test_repeats_of_odd_rows(spark, monkeypatch):
     assert cut.columns == docs.columns and sorted(map(str, (r.text for r in cut.collect()))) == sorted(map(str, ["", "", base[:399], None, "", None, "", base[:399]]))
 
 
+def test_repeats_of_texts_with_equal_polynomials(spark):
+    """Texts that differ at every 256th byte, in the pattern of Thue and Morse, have no string of 400 bytes in common there."""
+    rng = random.Random(5)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    pool = letters(1 << 21)
+    at = int(np.argmin(repeats.PrefixHash(pool.encode()).windows(64)))  # names all sections
+    blocks = [pool[at : at + 64] + letters(191) for _ in range(64)]
+    pair = ["".join(b + "ab"[(i.bit_count() + k) % 2] for i, b in enumerate(blocks)) for k in (0, 1)]
+    head, tail = letters(500), letters(40_000)
+    for texts in (pair, [head + t + tail for t in pair]):
+        want = sorted(brute_repeats(texts, 400))
+        assert all(r[1] == 0 for r in want) == (texts is pair)
+        for hot in (1000, 1):
+            got = sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.report(documents(spark, texts), hot=hot).collect())
+            assert got == want
+
+
 def test_run_length_index():
     rng = random.Random(2)
     for _ in range(30):
