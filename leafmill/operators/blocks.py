@@ -11,7 +11,7 @@ no better document falls below; a range whose bounds do not add up to that score
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,8 @@ from ..functions.text import tokens
 WIDTH, CHUNK, FEW, RARE = 1024, 256, 16, 256
 #: Terms of all questions that are looked for by name in the files, at most.
 NAMED = 2000
+#: Tokens whose blocks a task makes at once, but for a longer text.
+TOGETHER = 1 << 20
 #: Below this two scores count as equal: they are rounded to six digits.
 NEAR = 1e-5
 
@@ -41,6 +43,47 @@ def packed(posts: DataFrame, width: int = WIDTH) -> DataFrame:
     return each.select("term", "range", "top_tf", "low_dl", F.col("p.o").alias("ords"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls"))
 
 
+def _parts(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Texts (ord, t: tokens) as parts of blocks: term, range, ords, tfs, dls of what a few texts have of a term."""
+
+    def part(ord_: np.ndarray, words: pa.ListArray) -> pa.RecordBatch:
+        sizes = np.diff(words.offsets.to_numpy())
+        each = pa.table({"term": words.flatten(), "i": np.repeat(np.arange(len(ord_)), sizes)}).group_by(["term", "i"]).aggregate([([], "count_all")]).combine_chunks()
+        terms = each.column("term").combine_chunks().dictionary_encode()
+        terms = terms.combine_chunks() if isinstance(terms, pa.ChunkedArray) else terms
+        code, i = terms.indices.to_numpy(zero_copy_only=False), each.column("i").to_numpy()
+        at = ord_[i] // width
+        order = np.lexsort((ord_[i], at, code))
+        code, i, at, tf = code[order], i[order], at[order], each.column("count_all").to_numpy()[order]
+        first = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (at[1:] != at[:-1])][: len(code)])
+        edge = pa.array(np.r_[first, len(code)].astype(np.int32))
+        lists = [pa.ListArray.from_arrays(edge, pa.array(x.astype(np.int32))) for x in (ord_[i] - at * width, tf, sizes[i])]
+        return pa.RecordBatch.from_arrays([terms.dictionary.take(pa.array(code[first])).cast(pa.string()), pa.array(at[first].astype(np.int64)), *lists], names=["term", "range", "ords", "tfs", "dls"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ord_, words = b.column("ord").to_numpy(zero_copy_only=False), b.column("t")
+            ends, at = np.cumsum(np.diff(words.offsets.to_numpy())), 0
+            while at < len(ord_):
+                end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOGETHER, "right")))
+                yield part(ord_[at:end], words.slice(at, end - at))
+                at = end
+
+    return run
+
+
+def of_texts(corpus: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Blocks of a corpus (ord, text), as ``packed`` makes them of its postings, but no posting is a row: tasks send parts of blocks."""
+    texts = corpus.select(F.col("ord").cast("long").alias("ord"), tokens(F.col("text")).alias("t"))
+    parts = texts.mapInArrow(_parts(width), "term string, range long, ords array<int>, tfs array<int>, dls array<int>")
+    # dealt before they are grouped: parts of a task hardly ever meet there, and sorting them for it would spill
+    each = parts.repartition("term", "range").groupBy("term", "range").agg(F.sort_array(F.flatten(F.collect_list(F.arrays_zip(F.col("ords").alias("o"), F.col("tfs").alias("tf"), F.col("dls").alias("dl"))))).alias("p"))
+    # texts of one place and length count as one, as in ``postings``
+    one = "transform(array_distinct(transform(p, x -> struct(x.o, x.dl))), y -> named_struct('o', y.o, 'tf', aggregate(filter(p, x -> x.o = y.o AND x.dl = y.dl), 0, (n, x) -> n + x.tf), 'dl', y.dl))"
+    each = each.withColumn("p", F.expr(f"CASE WHEN size(array_distinct(p.o)) = size(p) THEN p ELSE {one} END"))
+    return each.select("term", "range", F.array_max("p.tf").cast("long").alias("top_tf"), F.array_min("p.dl").cast("long").alias("low_dl"), F.col("p.o").alias("ords"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls"))
+
+
 def asked_terms(questions: DataFrame) -> DataFrame:
     """query_id, term, times."""
     return questions.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
@@ -87,11 +130,15 @@ def _scored(k: int, mean: float, width: int, first: list[int]) -> Callable[[pa.T
     return run
 
 
-def _met(asked: DataFrame, blocks: DataFrame, chunks: int) -> DataFrame:
-    """A row for each block of a term and each CHUNK of questions that have it: who asks, with which weight."""
+def _met(asked: DataFrame, blocks: DataFrame, chunks: int, few: bool = False) -> DataFrame:
+    """A row for each block of a term and each CHUNK of questions that have it: who asks, with which weight.
+
+    few: the questions are as few as ``named`` takes, so that they go to the blocks and these do not move.
+    """
     by = F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int").alias("chunk")
     lists = asked.groupBy("term", by).agg(F.collect_list(F.struct("query_id", "w", "floor")).alias("x"))
-    return lists.select("term", "chunk", F.col("x.query_id").alias("who"), F.col("x.w").alias("w"), F.col("x.floor").alias("floor")).join(blocks, "term").drop("term")
+    lists = lists.select("term", "chunk", F.col("x.query_id").alias("who"), F.col("x.w").alias("w"), F.col("x.floor").alias("floor"))
+    return (F.broadcast(lists) if few else lists).join(blocks, "term").drop("term")
 
 
 def scores(questions: DataFrame, blocks: DataFrame, vocab: DataFrame, n: int, n_tokens: int, k: int, first: list[int] | None = None, width: int = WIDTH, few: int = FEW, rare: int = RARE, n_questions: int | None = None, weights: DataFrame | None = None) -> DataFrame:
@@ -105,18 +152,18 @@ def scores(questions: DataFrame, blocks: DataFrame, vocab: DataFrame, n: int, n_
         asked = asked_terms(questions.select(F.col("query_id").cast("long").alias("query_id"), "text")).join(vocab, "term")
         asked = asked.select("query_id", "term", "df", (F.col("times") * F.col("idf")).alias("w"))
     chunks = max(1, -(-(questions.count() if n_questions is None else n_questions) // CHUNK))
-    none = F.lit(float("-inf"))
+    none, together = F.lit(float("-inf")), weights is not None
     schema, kernel = "query_id long, ord long, score double", _scored(k, mean, width, first or [])
     if n > few * width:
         # the k-th score by rare terms alone, where no term counts against a document
-        some = _met(asked.where(F.col("df") <= rare).withColumn("floor", none), blocks, chunks)
+        some = _met(asked.where(F.col("df") <= rare).withColumn("floor", none), blocks, chunks, together)
         found = some.groupBy("chunk", "range").applyInArrow(_scored(k, mean, width, []), schema)
         floors = _ranked(found, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
         floors = floors.join(asked.where("w < 0").select("query_id"), "query_id", "left_anti")
         asked = asked.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", none))
     else:
         asked = asked.withColumn("floor", none)
-    return _met(asked, blocks, chunks).groupBy("chunk", "range").applyInArrow(kernel, schema)
+    return _met(asked, blocks, chunks, together).groupBy("chunk", "range").applyInArrow(kernel, schema)
 
 
 def _ranked(scored: DataFrame, k: int) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import BM25_EPSILON
 from ..functions.text import tokens
-from ..plans.stages import dealt, materialised
+from ..plans.stages import dealt, materialised, stored
 from . import blocks
 
 
@@ -87,6 +87,14 @@ def indexed(corpus: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
     return posts, materialised(vocabulary(posts, n)), n, n_tokens
 
 
+def blocked(corpus: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
+    """Like ``indexed``, with blocks of postings, which alone are written."""
+    found = stored(blocks.of_texts(corpus), "blocks")
+    n, n_tokens = corpus.count(), found.agg(F.sum(F.expr("aggregate(tfs, 0L, (n, x) -> n + x)"))).first()[0] or 0
+    df = found.groupBy("term").agg(F.sum(F.size("ords")).cast("long").alias("df"))
+    return found, stored(weighted(df, n), "vocabulary"), n, n_tokens
+
+
 def signature(ids: DataFrame, digits: int = 3) -> DataFrame:
     """One row: the number of ids and a digest of all of them, the same in any order.
 

@@ -14,12 +14,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..config import DEPTH, EMBED_BATCH, EXCERPT_CHARS, QUERY_PREFIX, RERANK_DEPTH, RERANK_KEEP, RRF_K, TOP_N, Settings
-from ..operators import answer, blocks, chunking, digest, documents, extraction, fusion, lexical, records, vectors
+from ..operators import answer, chunking, digest, documents, extraction, fusion, lexical, records, vectors
 from ..operators.answer import first_sentences, word_by_word
 from .stages import dealt, materialised
+from .stages import stored as kept
 
 TABLES = ("chunks", "postings", "vocabulary", "vectors")
 STATS = "n long, n_tokens long, signature string, content string, first array<long>, schemas array<string>"
+#: Hits that are broadcast to find their chunks.
+FEW_HITS = 1 << 16
 #: Places of the corpus that a saved index knows as its first.
 FIRST = 100
 
@@ -127,7 +130,9 @@ class Index:
         return found.select("query_id", "rank", label.alias("label"), "page", fusion.method_label(F.col("methods")).alias("method"), "rrf_score", fusion.snippet(F.col("text")).alias("snippet"))
 
     def search(self, questions: DataFrame, **options) -> DataFrame:
-        return self.hits(questions, **options).join(self.chunks, "ord")
+        found = materialised(self.hits(questions, **options))
+        # few hits go to the chunks, whose texts else move
+        return (F.broadcast(found) if found.count() <= FEW_HITS else found).join(self.chunks, "ord")
 
     def reranked(self, questions: DataFrame, depth: int = RERANK_DEPTH, keep: int = RERANK_KEEP, model=None) -> DataFrame:
         if keep > depth:
@@ -183,11 +188,15 @@ def index_of(chunks: DataFrame, embedder: Callable[[pd.Series], pd.Series] | Non
 
     stored: vectors (id, v) of an earlier index, which stay for the ids they have unless force is set.
     """
-    chunks = materialised(dealt(chunks) if limit is None else chunks.orderBy("ord").limit(limit))
-    made = vectors.indexed(chunks, stored, embedder or vectors.hashed_embedding, batch, force)
-    vecs = materialised(chunks.select("ord", "id").join(made, "id").select("ord", "id", "v"))
-    posts, vocab, n, n_tokens = lexical.indexed(chunks)
-    return Index(chunks, materialised(blocks.packed(posts)), vocab, vecs, n, n_tokens, *(() if embedder is None else (embedder, QUERY_PREFIX)))
+    chunks = kept(dealt(chunks) if limit is None else chunks.orderBy("ord").limit(limit), "chunks")
+    make = embedder or vectors.hashed_embedding
+    if stored is None or force:  # no vector has to find its chunk
+        vecs = vectors.embed(chunks.select("ord", "id", "text"), make, batch=batch).select("ord", "id", "v")
+    else:
+        vecs = chunks.select("ord", "id").join(vectors.indexed(chunks, stored, make, batch), "id").select("ord", "id", "v")
+    vecs = kept(vecs, "vectors")
+    posts, vocab, n, n_tokens = lexical.blocked(chunks)
+    return Index(chunks, posts, vocab, vecs, n, n_tokens, *(() if embedder is None else (embedder, QUERY_PREFIX)))
 
 
 def documents_of(pages: DataFrame, tables: DataFrame | None = None) -> DataFrame:

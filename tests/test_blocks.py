@@ -60,6 +60,39 @@ def test_rows_read(spark):
     assert {r.query_id: (r.postings, r.blocks) for r in blocks.rows_read(asked, packed).collect()} == {1: (306, 6), 2: (300, 3)}
 
 
+def test_blocks_of_texts_are_those_of_their_postings(spark, monkeypatch):
+    rng = random.Random(5)
+    docs = [(3 * i - 50, " ".join(rng.choice(["the", "of", "ab 123", "\u00e9", f"x{rng.randint(0, 40)}"]) for _ in range(rng.randint(0, 30)))) for i in range(200)]
+    corpus = spark.createDataFrame([*docs, (9000, None), (9001, ""), (4, "the the of"), (4, "the of the"), (4, "the")], "ord long, text string")
+    for width, together in ((7, 1 << 20), (100, 50)):
+        monkeypatch.setattr(blocks, "TOGETHER", together)
+        want, got = blocks.packed(lexical.postings(corpus), width), blocks.of_texts(corpus, width)
+        assert got.dtypes == want.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert blocks.of_texts(corpus.limit(0)).collect() == []
+
+
+def test_an_index_is_written_in_little_more_than_its_texts(spark):
+    """No table of postings, and no checkpoint of texts, vectors or blocks."""
+    import os
+
+    from leafmill.plans.index import index_of
+
+    def size():
+        at = spark.sparkContext.getCheckpointDir()
+        return sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(at.removeprefix("file:")) for f in files) if at else 0
+
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(20_000)]
+    rows = [(i, f"c{i}", 1, "prose", "", "", " ".join(words[int(20_000 * rng.random() ** 3)] for _ in range(250))) for i in range(1500)]
+    chunks = spark.createDataFrame(rows, "ord long, id string, page int, type string, course_code string, title string, text string")
+    before, text = size(), sum(len(r[-1]) for r in rows)
+    index = index_of(chunks)
+    assert size() - before < 1.5 * text
+    want = Counter(t for r in rows for t in set(r[-1].split()))
+    assert {r.term: r.df for r in index.vocabulary.collect()} == want and (index.n, index.n_tokens) == (1500, 1500 * 250)
+    assert index.vectors.count() == 1500
+
+
 def test_small_inputs_are_dealt_to_all_cores(spark, tmp_path):
     from pyspark.sql import functions as F
 
