@@ -9,6 +9,7 @@ from .. import config
 from ..functions import text as T
 from ..functions import udtf
 from ..sources import page_files as page_source
+from ..sources.pages import exists
 from ..operators import answer, blocks, chunking, digest, documents, entities, extraction, fusion, layout, lexical, quantised, records, sections, tables, vectors
 from . import index as plan
 from .segments import Segments
@@ -201,11 +202,17 @@ def document_ids(spark, d):
 def page_files(spark, d):
     """Documents written as two indented files of pages and read again by the data source, in ranges of bytes."""
     at = folder(spark, "page-files")
-    rows = _t(spark, d, "documents").select((F.col("doc_id") % 2).alias("name"), F.to_json(F.struct(F.col("doc_id").cast("string").alias("page_num"), F.coalesce("text", F.lit("")).alias("content"), F.array(F.struct(F.col("source").alias("text")), F.struct(F.col("lang").alias("text"))).alias("blocks"))).alias("value"))
+    half = F.coalesce((F.col("doc_id") % 2).cast("string"), F.lit("none"))
+    rows = _t(spark, d, "documents").select(half.alias("name"), F.to_json(F.struct(F.col("doc_id").cast("string").alias("page_num"), F.coalesce("text", F.lit("")).alias("content"), F.array(F.struct(F.col("source").alias("text")), F.struct(F.col("lang").alias("text"))).alias("blocks"))).alias("value"))
     rows.write.partitionBy("name").text(at)
     page_source.register(spark)
-    parts = [spark.read.format("leafmill_pages").option("bytes", 100_000).load(f"{at}/name={k}").withColumn("file", F.lit(f"file {k}")) for k in range(2)]
-    return parts[0].unionByName(parts[1]).select("file", F.col("page").cast("long").alias("page"), "text", F.transform("blocks", lambda b: b["text"]).alias("blocks"))
+    out = spark.createDataFrame([], f"file string, {page_source.SCHEMA.partition('place int, ')[2]}")
+    reader = spark.read.format("leafmill_pages").option("bytes", 1 << 20).option("blank", "keep").option("places", "false")
+    for k in ("0", "1", "-1", "none"):
+        if exists(spark, f"{at}/name={k}"):
+            found = reader.load(f"{at}/name={k}").drop("place").withColumn("file", F.lit(None if k == "none" else f"file {k}").cast("string"))
+            out = out.unionByName(found.withColumn("page", F.lit(None).cast("long")) if k == "none" else found)
+    return out.select("file", "page", "text", F.transform("blocks", lambda b: b["text"]).alias("blocks"))
 
 
 @query("""SELECT 'document' AS type, cast(doc_id AS varchar) AS id, coalesce(text, '') AS text FROM documents

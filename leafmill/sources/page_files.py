@@ -8,6 +8,8 @@ other store there is ``sources.pages.read_pages``.
 
 Defined cases: number and text are taken under any of their names; a page without a number has its place in the file; one
 without text has that of its blocks; a blank file has no rows; an object that is no JSON is an error that names the file.
+Options: bytes of a range; with ``blank`` "keep" a text that is there stays as it is, blank or not; with ``places`` "false" the
+place is null, and what comes before a range is read only for pages without a number.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .pages import BLOCKS
 
-SCHEMA = f"file string, place int, page int, text string, blocks {BLOCKS}"
+SCHEMA = f"file string, place int, page long, text string, blocks {BLOCKS}"
 NUMBERS, TEXTS = ("page", "page_number", "page_num", "number"), ("text", "content", "page_text", "full_text")
 #: Bytes of a range, and how many are read at once to find where the object after it begins.
 RANGE, AHEAD = 16 << 20, 1 << 16
@@ -71,9 +73,21 @@ def mark_of(begin: bytes) -> bytes | None:
     return b"\n" + found[1] + b"{" if found else None
 
 
+def _begin(f) -> bytes:
+    """The beginning of a file; of one that starts with an object, what comes before the end of its first line is left out."""
+    begin = f.read(AHEAD)
+    if begin.lstrip(b"\xef\xbb\xbf \t\r\n").startswith(b"{") and b"\n" not in begin.lstrip(b"\xef\xbb\xbf \t\r\n"):
+        last = begin
+        while b"\n" not in last[2:] and (more := f.read(AHEAD)):
+            last = last[-2:] + more
+        begin += last
+    return begin
+
+
 class PageReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.path, self.size = options["path"], int(options.get("bytes", RANGE))
+        self.keep, self.places = options.get("blank") == "keep", options.get("places") != "false"
         if self.size < 1:
             raise ValueError("a range has a byte at least")
 
@@ -82,7 +96,7 @@ class PageReader(DataSourceReader):
         for file in listed(self.path):
             store, at = _opened(file)
             with store.open_input_file(at) as f:
-                size, mark = f.size(), mark_of(f.read(AHEAD))
+                size, mark = f.size(), mark_of(_begin(f))
             step = self.size if mark else max(1, size)
             out += [Range(file, i, min(i + step, size), mark) for i in range(0, size, step)]
         return out
@@ -91,10 +105,13 @@ class PageReader(DataSourceReader):
         store, at = _opened(partition.file)
         with store.open_input_file(at) as f:
             objects, before = self._objects(f, partition)
-            objects = list(objects)
-            base = before() if objects else 0
+            base = None
             for k, x in enumerate(objects):
-                yield _row(partition.file, base + k + 1, x)
+                number = next((n for n in (_number(x.get(c)) for c in NUMBERS) if n is not None), None)
+                if self.places or number is None:
+                    base = before() if base is None else base
+                place = None if base is None else base + k + 1
+                yield partition.file, place if self.places else None, place if number is None else number, *_contents(x, self.keep)
 
     def _objects(self, f, p: Range):
         """The objects that begin in a range, and a function for how many begin before it."""
@@ -130,14 +147,13 @@ class PageReader(DataSourceReader):
         return parsed(), before
 
 
-def _row(file: str, place: int, x: dict) -> tuple:
-    number = next((n for n in (_number(x.get(c)) for c in NUMBERS) if n is not None), place)
+def _contents(x: dict, keep: bool) -> tuple:
     blocks = [b if isinstance(b, dict) else {"text": str(b)} for b in x.get("blocks") or []]
-    text = next((x[c] for c in TEXTS if isinstance(x.get(c), str) and x[c].strip(" ")), None)
+    text = next((x[c] for c in TEXTS if isinstance(x.get(c), str) and (keep or x[c].strip(" "))), None)
     if text is None:
         text = "\n".join(b["text"] for b in blocks if b.get("text") is not None)
     cells = [tuple(_double(b.get(c)) for c in ("x0", "y0", "x1", "y1")) + (b.get("text"),) for b in blocks]
-    return file, place, number, text, None if x.get("blocks") is None else cells
+    return text, None if x.get("blocks") is None else cells
 
 
 def _number(v) -> int | None:

@@ -54,3 +54,29 @@ def test_errors(spark, tmp_path):
     (tmp_path / "bad.json").write_text('[\n  {"page": 1},\n  {"page": }\n]')
     with pytest.raises(Exception, match="bad.json has an object that is no JSON"):
         spark.read.format("leafmill_pages").load(str(tmp_path / "bad.json")).collect()
+
+
+def test_a_first_line_longer_than_what_is_read_at_once(tmp_path):
+    file = tmp_path / "long.json"
+    rows = [{"page": i, "text": "x" * n} for i, n in enumerate((200_000, 3, 70_000, 5))]
+    for size in (page_files.AHEAD - 1, 1 << 20):
+        file.write_text("\n".join(map(json.dumps, rows)) + "\n")
+        reader = page_files.PageReader({"path": str(file), "bytes": size, "places": "false"})
+        got = [r[1:4] for p in reader.partitions() for r in reader.read(p)]
+        assert got == [(None, r["page"], r["text"]) for r in rows]
+
+
+def test_query_keeps_blank_texts_and_odd_ids(spark, tmp_path):
+    """As its SQL: null and negative ids, ids beyond 32 bits, and texts that are null, empty, blank or long."""
+    from leafmill.plans import queries
+
+    ids = [0, 1, -1, -2, None, None, 2**40, 7, 8, 9]
+    texts = ["a", "", " ", None, "without id", "", "big", "x" * 70_000, "b\n{", "\t"]
+    docs = spark.createDataFrame([(i, t, "en" if t != "a" else None, "web", 0) for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, rows in (("some", docs), ("none", docs.limit(0))):
+        rows.coalesce(1).write.parquet(str(tmp_path / name / "documents.parquet"))
+    got = queries.QUERIES["page_files"](spark, str(tmp_path / "some")).collect()
+    label = lambda i: None if i is None else f"file {int(abs(i) % 2) * (-1 if i < 0 else 1)}"
+    want = [(label(i), i, t or "", ["web", None if t == "a" else "en"]) for i, t in zip(ids, texts, strict=True)]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    assert queries.QUERIES["page_files"](spark, str(tmp_path / "none")).collect() == []
